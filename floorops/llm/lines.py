@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from floorops.llm.common import materialize, without
+from floorops.llm.common import materialize, partitions, without
 
 #: Hash classes of words in the literal table that orders them by rarity.
 CLASSES = 4096
+#: A line's place is its document's id times this, plus its number.
+PLACES = 10_000_000_000
+_NO_ID = -10_000_000_000_000_000_000
 
 
 def _words(line: Column) -> Column:
@@ -16,68 +20,143 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.filter(F.split(line, "[ \\t\\x0B\\f\\r]+"), lambda w: w != ""))
 
 
-def _hash(word: Column) -> Column:
-    """56 bits of a word's hash; the high byte stays free for its rarity."""
-    return F.shiftrightunsigned(F.xxhash64(word), 8)
+def _at(id_col: str) -> Column:
+    """Place of a line in the order of (id, line number), null ids first."""
+    return (F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(_NO_ID).cast("decimal(20,0)")) * F.lit(PLACES) + F.col("no")).cast("decimal(31,0)")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, no, line) of every line; ``key`` is a hash of the text."""
-    return docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("key"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("no", "line")
-    )
+    """(at, k1, line) of every line; ``k1`` is the line's hash."""
+    some = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("no", "line"))
+    return some.select(_at("id").alias("at"), F.xxhash64("line").alias("k1"), "line")
 
 
-def _rarity(lines: DataFrame) -> list[int]:
-    """For each hash class, how often its words occur, on a logarithmic scale below 128."""
-    words = lines.select(F.explode(F.split("line", " ")).alias("w"))
-    count = dict(words.groupBy(F.pmod(_hash(F.col("w")), F.lit(CLASSES)).cast("int").alias("c")).count().collect())
-    return [min(127, 4 * count.get(c, 0).bit_length()) for c in range(CLASSES)]
+def _rarity(docs: DataFrame, text_col: str) -> list[int]:
+    """For each hash class of words, how often they occur, on a logarithmic scale below 128."""
+    words = docs.select(F.explode(F.split(text_col, "[ \n]")).alias("w"))
+    count = dict(words.groupBy(F.pmod(F.hash("w"), F.lit(CLASSES)).alias("c")).count().collect())
+    return [4 * count.get(c, 0).bit_length() for c in range(CLASSES)]
 
 
 def _ordered(line: Column, table: Column) -> Column:
-    """The line's words as numbers, rare ones first: (rarity of the hash class, hash)."""
-    return F.sort_array(
-        F.transform(_words(line), lambda w: F.shiftleft(F.get(table, F.pmod(_hash(w), F.lit(CLASSES)).cast("int")), 56) + _hash(w))
-    )
+    """The line's words as numbers, rare ones first: how often their class occurs, then the longer ones, then a hash."""
+
+    def number(w: Column) -> Column:
+        often = F.get(table, F.pmod(F.hash(w), F.lit(CLASSES)))
+        return F.shiftleft(often * 256 + (F.lit(255) - F.least(F.length(w), F.lit(255))), 40) + F.shiftrightunsigned(F.xxhash64(w), 24)
+
+    return F.sort_array(F.transform(_words(line), number))
+
+
+def _shared(a: str, b: str) -> Column:
+    return F.size(F.array_intersect(_words(F.col(a)), _words(F.col(b))))
 
 
 def similar_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, no, of_id, of_key, of_no): each line that has an earlier match, with its first.
+    """(at, k1, of): each line that has an earlier match, by its place and hash, and the place of one such line.
 
     Lines match if the Jaccard similarity of their word sets is at least
     ``threshold``; lines of fewer than ``min_words`` different words are left
-    alone. Earlier is a smaller (id, text hash, line number), null ids first.
+    alone. Earlier is a smaller (id, line number), null ids first.
 
     Equal lines are one from here on, the first standing for all. Words are
-    ordered by rarity, for which a table of ``CLASSES`` counts is enough: the
-    order decides how many candidates there are, not which matches are found.
-    Two sets can only match if their prefixes (the first n - ceil(t n) + 1
-    words) share a word. Of the pairs that do, those whose sizes differ too
-    much fall to the length filter, and those whose words from the shared one
-    on cannot make up the overlap to the positional filter; the others' words
-    are compared.
+    ordered by rarity, for which the counts of ``CLASSES`` hash classes and
+    then the length are enough: the order decides how many candidates there
+    are, not which matches are found. Two sets can only match if their prefixes
+    (the first n - ceil(t n) + 1 words) share a word. Of the pairs that do,
+    those whose sizes differ too much fall to the length filter, and those
+    whose words from the shared one on cannot make up the overlap to the
+    positional filter; the others' words are compared.
+
+    A line needs only one earlier match. So each is first compared with one
+    candidate: of the earliest lines that have its prefix words, the one that
+    leads most of them. Large groups of near copies end there, without their
+    pairs; the lines that remain are joined with all earlier ones.
     """
     t = threshold
     lines = lines_of(docs, id_col, text_col)
-    table = F.lit(_rarity(lines)).cast("array<bigint>")
-    line_id = [F.xxhash64("line").alias("k1"), F.hash("line").alias("k2")]
-    at = F.struct(F.col("id").isNotNull().alias("has"), "id", "key", "no").alias("at")
-    first = materialize(lines.select(*line_id, at).groupBy("k1", "k2").agg(F.min("at").alias("at")), "line-firsts")
-
-    sets = lines.select(*line_id, _ordered(F.col("line"), table).alias("w")).filter(F.size("w") >= min_words)
+    table = F.lit(_rarity(docs, text_col)).cast("array<bigint>")
     n = F.size("w")
     size = (n - F.ceil(n * F.lit(t) - 1e-9) + 1).cast("int")
-    prefix = sets.select("k1", "k2", n.alias("n"), F.posexplode(F.slice("w", F.lit(1), size)).alias("p", "x")).select(
-        F.hash("x").alias("word"), "k1", "k2", (F.col("n") * 65536 + F.least("p", F.lit(65535))).alias("np")
+    prefix = (
+        lines.select("at", "k1", _ordered(F.col("line"), table).alias("w"))
+        .filter(n >= min_words)
+        .select("at", "k1", n.alias("n"), F.posexplode(F.slice("w", F.lit(1), size)).alias("p", "x"))
+        .select(F.hash("x").alias("word"), "k1", "at", (F.col("n").cast("bigint") * 65536 + F.least("p", F.lit(65535))).alias("np"))
+        .repartition(partitions(docs.sparkSession), "word")
+        .groupBy("word", "k1")
+        .agg(F.min("at").alias("at"), F.min("np").alias("np"))
     )
-    a, b = prefix.alias("a"), prefix.alias("b")
 
-    def part(side: str) -> tuple[Column, Column]:
-        np = F.col(f"{side}.np")
-        return F.shiftright(np, 16), np.bitwiseAND(65535)
+    def fits(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
+        need = F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9)
+        return (na >= nb * t - 1e-9) & (nb >= na * t - 1e-9) & (F.least(na - pa, nb - pb) + F.least(pa, pb) >= need)
+
+    def parts(np: str) -> tuple[Column, Column]:
+        return F.shiftright(F.col(np), 16), F.col(np).bitwiseAND(65535)
 
-    (na, pa), (nb, pb) = part("a"), part("b")
-    fits = (na >= nb * t - 1e-9) & (F.least(na - pa, nb - pb) + F.least(pa, pb) >= F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9))
-    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & ((na < nb) | ((na == nb) & (F.col("a.k1") < F.col("b.k1")))) & fits)
-    return pairs
+    by_word = W.partitionBy("word").orderBy("at", "k1")
+    led = (
+        prefix.withColumns({c: F.first(F.col(b)).over(by_word) for c, b in (("o_at", "at"), ("o1", "k1"), ("o_np", "np"))})
+        .withColumn("df", F.count("*").over(W.partitionBy("word")))
+        .filter("df > 1")
+        .drop("df")
+    )
+    led = materialize(led, "line-prefixes")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(k1, at, of) of the pairs (k1, at, o1, o_at) whose lines match, one for each k1."""
+        wanted = pairs.select("k1").union(pairs.select(F.col("o1").alias("k1"))).distinct()
+        text = materialize(lines.select("k1", "line").join(wanted, "k1", "left_semi").groupBy("k1").agg(F.max("line").alias("line")), "line-texts")
+        both = pairs.join(text, "k1").join(text.select(F.col("k1").alias("o1"), F.col("line").alias("other")), "o1")
+        shared, sizes = _shared("line", "other"), F.size(_words(F.col("line"))) + F.size(_words(F.col("other")))
+        return both.withColumn("shared", shared).filter(F.col("shared") >= F.lit(t) * (sizes - F.col("shared")) - 1e-9).groupBy("k1").agg(F.min("at").alias("at"), F.min("o_at").alias("of"))
+
+    ahead = led.filter((F.col("o_at") < F.col("at")) & fits(*parts("np"), *parts("o_np"))).groupBy("k1", "at", "o1", "o_at").agg(F.count("*").alias("n"))
+    best = ahead.groupBy("k1", "at").agg(F.max_by(F.struct("o1", "o_at"), F.struct("n", -F.col("o_at"))).alias("o")).select("k1", "at", "o.o1", "o.o_at")
+    settled = materialize(verified(materialize(best, "line-heads")), "line-settled")
+
+    rest = led.join(settled.select("k1"), "k1", "left_anti").select("word", "k1", "at", "np")
+    other = led.select("word", F.col("k1").alias("o1"), F.col("at").alias("o_at"), F.col("np").alias("o_np"))
+    pairs = rest.join(other, "word").filter((F.col("o_at") < F.col("at")) & fits(*parts("np"), *parts("o_np"))).select("k1", "at", "o1", "o_at").distinct()
+    pairs = materialize(pairs.join(best, ["k1", "at", "o1", "o_at"], "left_anti"), "line-pairs")
+    found = settled.unionByName(verified(pairs))
+
+    # the first of equal lines has the match found; the others have the first
+    long = lines.filter(F.size(_words(F.col("line"))) >= min_words).select("at", "k1")
+    first = long.groupBy("k1").agg(F.min("at").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    copies = long.join(first, "k1").filter("at > head").select("at", "k1", F.col("head").alias("of"))
+    return found.select("at", "k1", "of").unionByName(copies)
+
+
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with later matching lines removed from the text; adds ``n_lines`` and ``removed`` (their numbers, sorted).
+
+    See ``similar_lines`` for what matches; all lines are judged on the input.
+
+    Defined cases: a null text stays null and has 0 lines; an empty text has
+    one line, which stays, as do all lines of fewer than ``min_words`` words;
+    null ids sort first and are one document for the order; rows that share an
+    id are judged line by line in the order of (id, line number), lines at the
+    same place not matching each other; an empty table gives an empty result;
+    input columns called like the new ones are replaced. Ids are integers.
+    """
+    docs = without(docs, "n_lines", "removed", "_gone", "_doc")
+    found = similar_lines(docs, threshold, min_words, id_col, text_col)
+    gone = (
+        found.select(F.floor((F.col("at") - F.pmod(F.col("at"), F.lit(PLACES))) / F.lit(PLACES)).cast("decimal(20,0)").alias("_doc"), F.struct(F.pmod(F.col("at"), F.lit(PLACES)).cast("int").alias("no"), "k1").alias("line"))
+        .groupBy("_doc")
+        .agg(F.sort_array(F.collect_set("line")).alias("_gone"))
+    )
+    doc = F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(_NO_ID).cast("decimal(20,0)"))
+    joined = docs.withColumn("_doc", doc).join(gone, "_doc", "left")
+    numbered = F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("no"), F.xxhash64(x).alias("k1"), x.alias("line")))
+    kept = F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains(F.col("_gone"), F.struct(x["no"].alias("no"), x["k1"].alias("k1")))), lambda x: x["line"]), "\n")
+    removed = F.transform(F.filter(numbered, lambda x: F.array_contains(F.col("_gone"), F.struct(x["no"].alias("no"), x["k1"].alias("k1")))), lambda x: x["no"])
+    has = F.col("_gone").isNotNull() & F.col(text_col).isNotNull()
+    keep = [F.when(has, kept).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(
+        *keep,
+        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.split(text_col, "\n"))).cast("long").alias("n_lines"),
+        F.when(has, removed).otherwise(F.array().cast("array<int>")).alias("removed"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from floorops.llm.common import crc_mod
 from floorops.llm.decontamination import benchmark_hits
 from floorops.llm.html import extract_main_text
+from floorops.llm.lines import dedup_lines
 from floorops.llm.packing import pack
 from floorops.llm.quality import quality_scores
 from floorops.llm.sharding import shard_by_bytes
@@ -41,6 +42,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(table(spark, sf_dir, "documents"), 4096)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -73,7 +79,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_html_extraction, op4_simhash, op6_packing, op7_topk, op8_substrings, op9_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_html_extraction, op4_simhash, op5_line_dedup, op6_packing, op7_topk, op8_substrings, op9_decontamination, op10_quality)}
 
 ORACLE = {
     "op7_topk": """
