@@ -22,7 +22,7 @@ def _words(line: Column) -> Column:
 
 def _at(id_col: str) -> Column:
     """Place of a line in the order of (id, line number), null ids first."""
-    return (F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(_NO_ID).cast("decimal(20,0)")) * F.lit(PLACES) + F.col("no")).cast("decimal(31,0)")
+    return (F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(str(_NO_ID)).cast("decimal(20,0)")) * F.lit(PLACES) + F.col("no")).cast("decimal(31,0)")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -148,7 +148,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, id_
         .groupBy("_doc")
         .agg(F.sort_array(F.collect_set("line")).alias("_gone"))
     )
-    doc = F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(_NO_ID).cast("decimal(20,0)"))
+    doc = F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(str(_NO_ID)).cast("decimal(20,0)"))
     joined = docs.withColumn("_doc", doc).join(gone, "_doc", "left")
     numbered = F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("no"), F.xxhash64(x).alias("k1"), x.alias("line")))
     kept = F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains(F.col("_gone"), F.struct(x["no"].alias("no"), x["k1"].alias("k1")))), lambda x: x["line"]), "\n")
