@@ -99,7 +99,7 @@ def _read(text: bytes | None) -> list[bytes]:
 def sketch_cells(docs: DataFrame, text_col: str, most: int) -> int:
     """Four cells for each mark that the text can be expected to keep; a power of two, at most ``most``."""
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    return min(most, max(SEGMENT, 1 << int(size / 6 * 2 / (20 - RUN + 2) * 4).bit_length() - 1))
+    return min(most, max(SEGMENT, 1 << int(size / 6 * 2 / (20 - RUN + 2) * 4 + 1).bit_length() - 1))
 
 
 def repeated_marks(docs: DataFrame, window: int, text_col: str, cells: int) -> dict[int, bytes]:
@@ -193,22 +193,23 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, c
                 [ids, pa.array(keys), pa.array(pos.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(blobs, pa.binary())], names=["id", "key", "pos", "h1", "h2", "settled"]
             )
 
-        docs_, chunk, n = [], [], 0
+        docs_, chunk, n, has = [], [], 0, set()
         for batch in batches:
             for d, text, key in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = _read(text)
-                if len(words) < window:
+                if len(words) < window or (d, key) in has:
                     continue
                 h = hashes.of(words)
                 at = np.flatnonzero(twice(window_marks(h, window)[0]))
                 if not len(at):
                     continue
                 docs_.append((d, key))
+                has.add((d, key))
                 chunk.append((rolled(h, window, _A)[at], rolled(h, window, _D)[at], at))
                 n += len(at)
                 if n >= 2_000_000:
                     yield from settle(docs_, chunk)
-                    docs_, chunk, n = [], [], 0
+                    docs_, chunk, n, has = [], [], 0, set()
         if docs_:
             yield from settle(docs_, chunk)
 
@@ -216,7 +217,8 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, c
         run, "id long, key long, pos int, h1 long, h2 long, settled binary"
     )
     group = W.partitionBy("h1", "h2").orderBy(F.col("id").asc_nulls_first(), "key", "pos")
-    later = found.withColumn("n", F.row_number().over(group)).filter((F.col("n") > 1) | F.col("settled").isNotNull())
+    # rank: the same window of repeated rows is no earlier one
+    later = found.withColumn("n", F.rank().over(group)).filter((F.col("n") > 1) | F.col("settled").isNotNull())
     return later.groupBy("id", "key").agg(F.collect_list(F.when(F.col("settled").isNull(), F.col("pos"))).alias("starts"), F.collect_list("settled").alias("settled"))
 
 
