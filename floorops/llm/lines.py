@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from floorops.llm.common import materialize, partitions, without
 
-#: Hash classes of words in the literal table that orders them by rarity.
-CLASSES = 4096
+#: Hash classes of words in the literal table (one byte each) that orders them by rarity.
+CLASSES = 65536
+#: A set of lines to look up is broadcast up to this many hashes (16 MB as a hash table), and shuffled beyond.
+BROADCAST_LINES = 1_000_000
 #: A line's place is its document's id times this, plus its number.
 PLACES = 10_000_000_000
 _NO_ID = -10_000_000_000_000_000_000
@@ -31,23 +35,29 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return some.select(_at("id").alias("at"), F.xxhash64("line").alias("k1"), "line")
 
 
-def _rarity(docs: DataFrame, text_col: str) -> list[int]:
-    """For each hash class of words, how often they occur, on a logarithmic scale below 128."""
+def _rarity(docs: DataFrame, text_col: str) -> bytes:
+    """For each hash class of words, how often they occur, on a logarithmic scale from 1 to 127."""
     words = docs.select(F.explode(F.split(text_col, "[ \n]")).alias("w"))
     count = dict(words.groupBy(F.pmod(F.hash("w"), F.lit(CLASSES)).alias("c")).count().collect())
-    return [4 * count.get(c, 0).bit_length() for c in range(CLASSES)]
+    return bytes(min(127, 1 + int(4 * math.log2(1 + count.get(c, 0)))) for c in range(CLASSES))
 
 
 def _ordered(line: Column, table: Column) -> Column:
     """The line's words as numbers, rare ones first: how often their class occurs, then the longer ones, then a hash."""
 
     def number(w: Column) -> Column:
-        often = F.get(table, F.pmod(F.hash(w), F.lit(CLASSES)))
+        often = F.ascii(F.substring(table, F.pmod(F.hash(w), F.lit(CLASSES)) + 1, 1).cast("string")).cast("bigint")
         return F.shiftleft(often * 256 + (F.lit(255) - F.least(F.length(w), F.lit(255))), 40) + F.shiftrightunsigned(F.xxhash64(w), 24)
 
     return F.sort_array(F.transform(_words(line), number))
 
 
+def _parity(words: Column, half: int) -> Column:
+    """64 bits of a set: each word whose hash falls into this half of 128 bits turns its bit over."""
+    mine = F.filter(words, lambda x: x.bitwiseAND(64) == 64 * half)
+    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int"))))
+
+
 def _shared(a: str, b: str) -> Column:
     return F.size(F.array_intersect(_words(F.col(a)), _words(F.col(b))))
 
@@ -66,7 +76,9 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, i
     (the first n - ceil(t n) + 1 words) share a word. Of the pairs that do,
     those whose sizes differ too much fall to the length filter, and those
     whose words from the shared one on cannot make up the overlap to the
-    positional filter; the others' words are compared.
+    positional filter. Those left are compared by the parities of 128 hash
+    classes of their words, which differ in no more classes than the sets do in
+    words; the words themselves are compared for what passes this too.
 
     A line needs only one earlier match. So each is first compared with one
     candidate: of the earliest lines that have its prefix words, the one that
@@ -74,53 +86,64 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, i
     pairs; the lines that remain are joined with all earlier ones.
     """
     t = threshold
+    spark = docs.sparkSession
     lines = lines_of(docs, id_col, text_col)
-    table = F.lit(_rarity(docs, text_col)).cast("array<bigint>")
+    table = F.lit(_rarity(docs, text_col))
     n = F.size("w")
     size = (n - F.ceil(n * F.lit(t) - 1e-9) + 1).cast("int")
-    prefix = (
-        lines.select("at", "k1", _ordered(F.col("line"), table).alias("w"))
-        .filter(n >= min_words)
-        .select("at", "k1", n.alias("n"), F.posexplode(F.slice("w", F.lit(1), size)).alias("p", "x"))
-        .select(F.hash("x").alias("word"), "k1", "at", (F.col("n").cast("bigint") * 65536 + F.least("p", F.lit(65535))).alias("np"))
-        .repartition(partitions(docs.sparkSession), "word")
-        .groupBy("word", "k1")
-        .agg(F.min("at").alias("at"), F.min("np").alias("np"))
-    )
-
-    def fits(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
-        need = F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9)
-        return (na >= nb * t - 1e-9) & (nb >= na * t - 1e-9) & (F.least(na - pa, nb - pb) + F.least(pa, pb) >= need)
 
-    def parts(np: str) -> tuple[Column, Column]:
-        return F.shiftright(F.col(np), 16), F.col(np).bitwiseAND(65535)
+    def prefixes(of: DataFrame) -> DataFrame:
+        """(word, np, ...) for each prefix word of the lines; ``np`` holds the set's size and the word's position."""
+        kept = [c for c in of.columns if c != "line"]
+        sets = of.select(*kept, _ordered(F.col("line"), table).alias("w")).filter(n >= min_words)
+        words = sets.select(*kept, n.alias("n"), _parity(F.col("w"), 0).alias("b0"), _parity(F.col("w"), 1).alias("b1"), F.posexplode(F.slice("w", F.lit(1), size)).alias("p", "x"))
+        return words.select(F.hash("x").alias("word"), *kept, (F.col("n").cast("bigint") * 65536 + F.least("p", F.lit(65535))).alias("np"), "b0", "b1")
 
-    by_word = W.partitionBy("word").orderBy("at", "k1")
-    led = (
-        prefix.withColumns({c: F.first(F.col(b)).over(by_word) for c, b in (("o_at", "at"), ("o1", "k1"), ("o_np", "np"))})
-        .withColumn("df", F.count("*").over(W.partitionBy("word")))
-        .filter("df > 1")
-        .drop("df")
+    postings = (
+        prefixes(lines)
+        .repartition(partitions(spark), "word")
+        .groupBy("word", "k1")
+        .agg(F.min("at").alias("at"), F.min("np").alias("np"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
     )
-    led = materialize(led, "line-prefixes")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(k1, at, of) of the pairs (k1, at, o1, o_at) whose lines match, one for each k1."""
-        wanted = pairs.select("k1").union(pairs.select(F.col("o1").alias("k1"))).distinct()
-        text = materialize(lines.select("k1", "line").join(wanted, "k1", "left_semi").groupBy("k1").agg(F.max("line").alias("line")), "line-texts")
+    def fits(a: str, b: str) -> Column:
+        """Whether the length, positional and parity filters pass rows of the columns with these prefixes."""
+        na, nb = (F.shiftright(F.col(f"{x}np"), 16) for x in (a, b))
+        pa, pb = (F.col(f"{x}np").bitwiseAND(65535) for x in (a, b))
+        need = F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9)
+        differ = F.bit_count(F.col(f"{a}b0").bitwiseXOR(F.col(f"{b}b0"))) + F.bit_count(F.col(f"{a}b1").bitwiseXOR(F.col(f"{b}b1")))
+        return (na >= nb * t - 1e-9) & (nb >= na * t - 1e-9) & (F.least(na - pa, nb - pb) + F.least(pa, pb) >= need) & (differ <= na + nb - 2 * need)
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(k1, at, of) of the pairs (k1, at, o1, o_at) whose lines match, one for each k1; and (k1, line) of all lines in the pairs."""
+        wanted = materialize(pairs.select("k1").union(pairs.select(F.col("o1").alias("k1"))).distinct(), "line-wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
+        text = materialize(lines.select("k1", "line").join(wanted, "k1", "left_semi").groupBy("k1").agg(F.first("line").alias("line")), "line-texts")
         both = pairs.join(text, "k1").join(text.select(F.col("k1").alias("o1"), F.col("line").alias("other")), "o1")
         shared, sizes = _shared("line", "other"), F.size(_words(F.col("line"))) + F.size(_words(F.col("other")))
-        return both.withColumn("shared", shared).filter(F.col("shared") >= F.lit(t) * (sizes - F.col("shared")) - 1e-9).groupBy("k1").agg(F.min("at").alias("at"), F.min("o_at").alias("of"))
-
-    ahead = led.filter((F.col("o_at") < F.col("at")) & fits(*parts("np"), *parts("o_np"))).groupBy("k1", "at", "o1", "o_at").agg(F.count("*").alias("n"))
-    best = ahead.groupBy("k1", "at").agg(F.max_by(F.struct("o1", "o_at"), F.struct("n", -F.col("o_at"))).alias("o")).select("k1", "at", "o.o1", "o.o_at")
-    settled = materialize(verified(materialize(best, "line-heads")), "line-settled")
+        same = both.withColumn("shared", shared).filter(F.col("shared") >= F.lit(t) * (sizes - F.col("shared")) - 1e-9)
+        return same.groupBy("k1").agg(F.min("at").alias("at"), F.min("o_at").alias("of")), text
 
-    rest = led.join(settled.select("k1"), "k1", "left_anti").select("word", "k1", "at", "np")
-    other = led.select("word", F.col("k1").alias("o1"), F.col("at").alias("o_at"), F.col("np").alias("o_np"))
-    pairs = rest.join(other, "word").filter((F.col("o_at") < F.col("at")) & fits(*parts("np"), *parts("o_np"))).select("k1", "at", "o1", "o_at").distinct()
+    by_word = W.partitionBy("word").orderBy("at", "k1")
+    led = postings.withColumns({f"o_{c}": F.first(c).over(by_word) for c in ("at", "k1", "np", "b0", "b1")}).withColumn("df", F.count("*").over(W.partitionBy("word"))).filter("df > 1")
+    ahead = (F.col("o_at") < F.col("at")) & fits("", "o_")
+    led = materialize(led.select("word", "k1", "at", "np", "b0", "b1", F.when(ahead, F.col("o_k1")).alias("o1"), F.when(ahead, F.col("o_at")).alias("o_at")), "line-prefixes")
+
+    heads = led.filter("o1 IS NOT NULL").groupBy("k1", "at", "o1", "o_at").agg(F.count("*").alias("n"))
+    best = heads.groupBy("k1", "at").agg(F.max_by(F.struct("o1", "o_at"), F.struct("n", -F.col("o_at"))).alias("o")).select("k1", "at", "o.o1", "o.o_at")
+    best = materialize(best, "line-heads")
+    settled, text = verified(best)
+    settled = materialize(settled, "line-settled")
+
+    # settled lines stay as earlier ones only; marks with their prefix words tell them, so that both sides of the join are dealt out once
+    marks = prefixes(text.join(settled.select("k1"), "k1", "left_semi")).select("word", "k1", F.lit(True).alias("settled"))
+    dealt = led.drop("o1", "o_at").unionByName(marks, allowMissingColumns=True).repartition(partitions(spark), "word")
+    marked = dealt.withColumn("settled", F.max("settled").over(W.partitionBy("word", "k1"))).filter("at IS NOT NULL")
+    other = marked.select("word", *[F.col(c).alias(f"o_{c}") for c in ("k1", "at", "np", "b0", "b1", "settled")])
+    pairs = marked.filter("settled IS NULL").join(other, "word").filter((F.col("o_at") < F.col("at")) & fits("", "o_"))
+    pairs = pairs.groupBy("k1", "at", F.col("o_k1").alias("o1"), "o_at").agg(F.max("o_settled").alias("o_settled"))
     pairs = materialize(pairs.join(best, ["k1", "at", "o1", "o_at"], "left_anti"), "line-pairs")
-    found = settled.unionByName(verified(pairs))
+    found = settled.unionByName(verified(pairs.drop("o_settled"))[0])
 
     # the first of equal lines has the match found; the others have the first
     long = lines.filter(F.size(_words(F.col("line"))) >= min_words).select("at", "k1")
