@@ -21,7 +21,17 @@ _NO_ID = -10_000_000_000_000_000_000
 
 def _words(line: Column) -> Column:
     """Different words of a line."""
-    return F.array_distinct(F.filter(F.split(line, "[ \\t\\x0B\\f\\r]+"), lambda w: w != ""))
+    return F.array_distinct(_tokens(line))
+
+
+def _tokens(line: Column, limit: int = -1) -> Column:
+    return F.array_remove(F.split(line, "[ \\t\\x0B\\f\\r]+", limit), "")
+
+
+def _has_words(line: Column, n: int) -> Column:
+    """Whether a line has ``n`` different words; most lines show it at their start, the others are looked through."""
+    start = F.slice(_tokens(line, 4 * n + 2), 1, 4 * n)
+    return F.when(F.size(F.array_distinct(start)) >= n, True).otherwise(F.size(_words(line)) >= n)
 
 
 def _at(id_col: str) -> Column:
@@ -31,13 +41,13 @@ def _at(id_col: str) -> Column:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(at, k1, line) of every line; ``k1`` is the line's hash."""
-    some = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("no", "line"))
+    some = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("no", "line"))
     return some.select(_at("id").alias("at"), F.xxhash64("line").alias("k1"), "line")
 
 
 def _rarity(docs: DataFrame, text_col: str) -> bytes:
     """For each hash class of words, how often they occur, on a logarithmic scale from 1 to 127."""
-    words = docs.select(F.explode(F.split(text_col, "[ \n]")).alias("w"))
+    words = docs.select(F.explode_outer(F.split(text_col, "[ \n]")).alias("w"))
     count = dict(words.groupBy(F.pmod(F.hash("w"), F.lit(CLASSES)).alias("c")).count().collect())
     return bytes(min(127, 1 + int(4 * math.log2(1 + count.get(c, 0)))) for c in range(CLASSES))
 
@@ -49,13 +59,12 @@ def _ordered(line: Column, table: Column) -> Column:
         often = F.ascii(F.substring(table, F.pmod(F.hash(w), F.lit(CLASSES)) + 1, 1).cast("string")).cast("bigint")
         return F.shiftleft(often * 256 + (F.lit(255) - F.least(F.length(w), F.lit(255))), 40) + F.shiftrightunsigned(F.xxhash64(w), 24)
 
-    return F.sort_array(F.transform(_words(line), number))
+    return F.sort_array(F.array_distinct(F.transform(_tokens(line), number)))
 
 
-def _parity(words: Column, half: int) -> Column:
-    """64 bits of a set: each word whose hash falls into this half of 128 bits turns its bit over."""
-    mine = F.filter(words, lambda x: x.bitwiseAND(64) == 64 * half)
-    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int"))))
+def _parity(words: Column, odd: bool) -> Column:
+    """64 bits of a set: each of its words, or each with an odd number, turns the bit of its hash over."""
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", x.bitwiseAND(1) if odd else F.lit(1).cast("bigint"), F.hash(x))))
 
 
 def _shared(a: str, b: str) -> Column:
@@ -90,14 +99,14 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, i
     lines = lines_of(docs, id_col, text_col)
     table = F.lit(_rarity(docs, text_col))
     n = F.size("w")
-    size = (n - F.ceil(n * F.lit(t) - 1e-9) + 1).cast("int")
+    size = F.when(n >= min_words, n - F.ceil(n * F.lit(t) - 1e-9) + 1).otherwise(0).cast("int")
 
     def prefixes(of: DataFrame) -> DataFrame:
         """(word, np, ...) for each prefix word of the lines; ``np`` holds the set's size and the word's position."""
         kept = [c for c in of.columns if c != "line"]
-        sets = of.select(*kept, _ordered(F.col("line"), table).alias("w")).filter(n >= min_words)
-        words = sets.select(*kept, n.alias("n"), _parity(F.col("w"), 0).alias("b0"), _parity(F.col("w"), 1).alias("b1"), F.posexplode(F.slice("w", F.lit(1), size)).alias("p", "x"))
-        return words.select(F.hash("x").alias("word"), *kept, (F.col("n").cast("bigint") * 65536 + F.least("p", F.lit(65535))).alias("np"), "b0", "b1")
+        sets = of.select(*kept, _ordered(F.col("line"), table).alias("w"))
+        words = sets.select(*kept, n.alias("n"), _parity(F.col("w"), False).alias("b0"), _parity(F.col("w"), True).alias("b1"), F.posexplode_outer(F.slice("w", F.lit(1), size)).alias("p", "x"))
+        return words.filter("p IS NOT NULL").select(F.hash("x").alias("word"), *kept, (F.col("n").cast("bigint") * 65536 + F.least("p", F.lit(65535))).alias("np"), "b0", "b1")
 
     postings = (
         prefixes(lines)
@@ -111,7 +120,8 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, i
         na, nb = (F.shiftright(F.col(f"{x}np"), 16) for x in (a, b))
         pa, pb = (F.col(f"{x}np").bitwiseAND(65535) for x in (a, b))
         need = F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9)
-        differ = F.bit_count(F.col(f"{a}b0").bitwiseXOR(F.col(f"{b}b0"))) + F.bit_count(F.col(f"{a}b1").bitwiseXOR(F.col(f"{b}b1")))
+        both, odd = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("b0", "b1"))
+        differ = F.bit_count(both.bitwiseXOR(odd)) + F.bit_count(odd)
         return (na >= nb * t - 1e-9) & (nb >= na * t - 1e-9) & (F.least(na - pa, nb - pb) + F.least(pa, pb) >= need) & (differ <= na + nb - 2 * need)
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +156,7 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, i
     found = settled.unionByName(verified(pairs.drop("o_settled"))[0])
 
     # the first of equal lines has the match found; the others have the first
-    long = lines.filter(F.size(_words(F.col("line"))) >= min_words).select("at", "k1")
+    long = lines.filter(_has_words(F.col("line"), min_words)).select("at", "k1")
     first = long.groupBy("k1").agg(F.min("at").alias("head"), F.count("*").alias("n")).filter("n > 1")
     copies = long.join(first, "k1").filter("at > head").select("at", "k1", F.col("head").alias("of"))
     return found.select("at", "k1", "of").unionByName(copies)
