@@ -89,10 +89,11 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, i
     classes of their words, which differ in no more classes than the sets do in
     words; the words themselves are compared for what passes this too.
 
-    A line needs only one earlier match. So each is first compared with one
-    candidate: of the earliest lines that have its prefix words, the one that
-    leads most of them. Large groups of near copies end there, without their
-    pairs; the lines that remain are joined with all earlier ones.
+    A line needs only one earlier match. So each is first compared with two
+    candidates: of the earliest lines that have its prefix words, and of the
+    lines next before it there, those that share most of them. Large groups of
+    near copies end there, without their pairs; the lines that remain are
+    joined with all earlier ones.
     """
     t = threshold
     spark = docs.sparkSession
@@ -135,19 +136,22 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, i
         return same.groupBy("k1").agg(F.min("at").alias("at"), F.min("o_at").alias("of")), text
 
     by_word = W.partitionBy("word").orderBy("at", "k1")
-    led = postings.withColumns({f"o_{c}": F.first(c).over(by_word) for c in ("at", "k1", "np", "b0", "b1")}).withColumn("df", F.count("*").over(W.partitionBy("word"))).filter("df > 1")
-    ahead = (F.col("o_at") < F.col("at")) & fits("", "o_")
-    led = materialize(led.select("word", "k1", "at", "np", "b0", "b1", F.when(ahead, F.col("o_k1")).alias("o1"), F.when(ahead, F.col("o_at")).alias("o_at")), "line-prefixes")
-
-    heads = led.filter("o1 IS NOT NULL").groupBy("k1", "at", "o1", "o_at").agg(F.count("*").alias("n"))
-    best = heads.groupBy("k1", "at").agg(F.max_by(F.struct("o1", "o_at"), F.struct("n", -F.col("o_at"))).alias("o")).select("k1", "at", "o.o1", "o.o_at")
+    seen = ("at", "k1", "np", "b0", "b1")
+    led = postings.withColumns({f"o_{c}": F.first(c).over(by_word) for c in seen} | {f"p_{c}": F.lag(c).over(by_word) for c in seen})
+    led = led.withColumn("df", F.count("*").over(W.partitionBy("word"))).filter("df > 1")
+    tried = [F.when((F.col(f"{x}at") < F.col("at")) & fits("", x), F.struct(F.col(f"{x}k1").alias("o1"), F.col(f"{x}at").alias("o_at"))).alias(f"{x}line") for x in ("o_", "p_")]
+    led = materialize(led.select("word", *seen, *tried), "line-prefixes")
+
+    heads = led.select("k1", "at", F.posexplode(F.array("o_line", "p_line")).alias("which", "o")).filter("o IS NOT NULL")
+    heads = heads.groupBy("k1", "at", "which", "o.o1", "o.o_at").agg(F.count("*").alias("n"))
+    best = heads.groupBy("k1", "at", "which").agg(F.max_by(F.struct("o1", "o_at"), F.struct("n", -F.col("o_at"))).alias("o")).select("k1", "at", "o.o1", "o.o_at").distinct()
     best = materialize(best, "line-heads")
     settled, text = verified(best)
     settled = materialize(settled, "line-settled")
 
     # settled lines stay as earlier ones only; marks with their prefix words tell them, so that both sides of the join are dealt out once
     marks = prefixes(text.join(settled.select("k1"), "k1", "left_semi")).select("word", "k1", F.lit(True).alias("settled"))
-    dealt = led.drop("o1", "o_at").unionByName(marks, allowMissingColumns=True).repartition(partitions(spark), "word")
+    dealt = led.drop("o_line", "p_line").unionByName(marks, allowMissingColumns=True).repartition(partitions(spark), "word")
     marked = dealt.withColumn("settled", F.max("settled").over(W.partitionBy("word", "k1"))).filter("at IS NOT NULL")
     other = marked.select("word", *[F.col(c).alias(f"o_{c}") for c in ("k1", "at", "np", "b0", "b1", "settled")])
     pairs = marked.filter("settled IS NULL").join(other, "word").filter((F.col("o_at") < F.col("at")) & fits("", "o_"))
