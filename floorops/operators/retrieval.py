@@ -40,6 +40,18 @@ def expand(rels: DataFrame, seeds: DataFrame) -> DataFrame:
     return both.join(seeds.select(F.col("id").alias("src")), "src", "left_semi").groupBy("src", "dst", "type").agg(F.count("*").alias("n"))
 
 
+def node_search(nodes: DataFrame, text: str, n: int = 50) -> DataFrame:
+    """Nodes (id, props) with the text in any property, at most ``n``."""
+    return nodes.filter(F.exists(F.map_values("props"), lambda v: F.contains(v, F.lit(text)))).orderBy("id").limit(n)
+
+
+def keyword_nodes(nodes: DataFrame, text: str, n: int) -> DataFrame:
+    """At most ``n`` nodes (id, name) whose name holds any word of two or more characters, whatever its case."""
+    words = [w.lower() for w in text.replace(",", " ").split() if len(w) >= 2]
+    name = F.lower("name")
+    return nodes.filter(F.exists(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: F.contains(name, w))).orderBy("id").limit(n)
+
+
 def induced(rels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Relations with both ends among the nodes."""
     ids = nodes.select("id")

@@ -22,3 +22,9 @@ def stream_messages(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """New messages by the MD5 of sender and first 80 characters, repeats within the watermark dropped."""
     key = F.md5(F.concat_ws("|", "from", F.substring("content", 1, 80)))
     return stream.withColumn("key", key).withWatermark("time", delay).dropDuplicatesWithinWatermark(["key"])
+
+
+def new_messages_to(stream: DataFrame, path: str, checkpoint: str, delay: str = "1 day"):
+    """Start a query that appends new messages to the folder of their day."""
+    rows = stream_messages(stream, delay).withColumn("day", F.to_date("time"))
+    return rows.writeStream.format("parquet").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
