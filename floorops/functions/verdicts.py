@@ -221,3 +221,18 @@ def headings(c: Column) -> Column:
     lines = F.regexp_extract_all(c, F.lit(r"(?m)^(#{1,4}\s+\S.*)$"), F.lit(1))
     parts = F.transform(lines, lambda x: F.struct(F.length(F.regexp_extract(x, r"^(#+)", 1)).alias("level"), F.trim(F.regexp_replace(x, r"^#+\s+", "")).alias("heading")))
     return F.filter(parts, lambda x: F.char_length(x["heading"]) < 80)
+
+
+def media_markers(c: Column) -> Column:
+    """Struct (text, images, refs): ``[IMAGE: x]`` and ``[REF: x]`` markers taken out of the text."""
+
+    def found(kind: str) -> Column:
+        return F.regexp_extract_all(c, F.lit(rf"\[{kind}:\s*([^\]]*)\]"), F.lit(1))
+
+    return F.struct(F.trim(F.regexp_replace(c, r"\[(IMAGE|REF):[^\]]*\]", "")).alias("text"), found("IMAGE").alias("images"), found("REF").alias("refs"))
+
+
+def channel_tags(c: Column) -> Column:
+    """Array of (from, content) of the ``<channel ...>`` blocks in a text."""
+    blocks = F.regexp_extract_all(c, F.lit(r"(?s)(<channel\b[^>]*>.*?</channel>)"), F.lit(1))
+    return F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, r'^<channel[^>]*\bfrom="([^"]*)"', 1).alias("from"), F.trim(F.regexp_replace(b, r"(?s)^<[^>]*>|</channel>$", "")).alias("content")))

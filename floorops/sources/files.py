@@ -57,3 +57,49 @@ def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 def write_sessions(df: DataFrame, combined: str, per_session: str) -> None:
     df.write.mode("append").json(combined)
     df.write.mode("append").partitionBy("session_id").json(per_session)
+
+
+def read_transcripts(spark: SparkSession, path: str, agents: dict[str, str]) -> DataFrame:
+    """Assistant and user rows of nested transcripts; the folder's name gives the agent by a lookup, else stands itself. Content stays JSON text."""
+    schema = "type STRING, timestamp STRING, requestId STRING, message STRUCT<role: STRING, content: STRING, usage: STRUCT<input_tokens: BIGINT, output_tokens: BIGINT>>, _bad STRING"
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path).select("*", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder")).filter("_bad IS NULL AND type IN ('assistant', 'user')")
+    agent = F.coalesce(*[F.when(F.col("folder") == k, F.lit(v)) for k, v in agents.items()], F.col("folder"))
+    return rows.select(agent.alias("agent"), "type", "timestamp", F.col("requestId").alias("request_id"), "message.content", "message.usage.*")
+
+
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of daily files, each a JSON array."""
+    return spark.read.schema('id STRING, `from` STRING, `to` STRING, content STRING, time TIMESTAMP').json(path, multiLine=True)
+
+
+def write_messages(msgs: DataFrame, path: str, tz: str = "Asia/Seoul") -> None:
+    """Append messages as JSON lines to the folder of their local day."""
+    msgs.withColumn("day", F.to_date(F.from_utc_timestamp("time", tz))).write.mode("append").partitionBy("day").json(path)
+
+
+def read_checklists(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
+    """Items of a JSON map from folders to arrays; folders renamed by the dictionary, items without a name skipped."""
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "MAP<STRING, ARRAY<STRUCT<name: STRING, standard: STRING>>>").alias("m"))
+    items = text.select(F.explode("m").alias("folder", "items")).select("folder", F.posexplode("items").alias("pos", "item")).filter("trim(item.name) <> ''")
+    named = F.coalesce(*[F.when(F.col("folder") == k, F.lit(v)) for k, v in names.items()], F.col("folder"))
+    return items.select(named.alias("equipment"), "pos", "item.*")
+
+
+def read_attachment_csv(spark: SparkSession, path: str, id_col: str, name_col: str, file_col: str) -> DataFrame:
+    """(id, name, attachment) of the rows of a UTF-8 CSV whose attachment is not blank; a byte-order mark is left out."""
+    rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
+    return rows.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.trim(file_col).alias("attachment")).filter("attachment <> ''")
+
+
+def files_modified_on(files: DataFrame, day: str, tz: str, col: str = "modified") -> DataFrame:
+    """Files modified on a local day."""
+    return files.filter(F.to_date(F.from_utc_timestamp(col, tz)) == F.lit(day).cast("date"))
+
+
+def read_table(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1, **options: str) -> DataFrame:
+    """A database's table over JDBC, read in ``parts`` ranges of ``key`` where one is named."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if key:
+        reader = reader.options(partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts)
+    return reader.load()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from floorops.functions import verdicts as V
 from floorops.operators import chunks, neighbours, records
 from floorops.plans.registry import QueryRegistry
+from floorops.sources import files
 from floorops.streaming import stateful
 
 
@@ -154,3 +155,24 @@ def test_index_stream_keeps_the_newest(spark, tmp_path):
     run()
     got = stateful.current_chunks(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert sorted((r.source_file, r.content) for r in got) == [("a", "changed"), ("b", "two")]
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.jsonl").write_text('{"type":"assistant","requestId":"r","message":{"role":"assistant","content":[{"t":1}],"usage":{"input_tokens":3,"output_tokens":4}}}\n{bad\n{"type":"summary"}\n')
+    row = files.read_transcripts(spark, str(tmp_path / "p"), {"p": "agent"}).collect()
+    assert [(r.agent, r.request_id, r.content, r.output_tokens) for r in row] == [("agent", "r", '[{"t":1}]', 4)]
+    (tmp_path / "c.json").write_text('{"X":[{"name":"n","standard":"s"},{"name":" "}],"Y":[{"name":"m"}]}')
+    assert sorted(tuple(r) for r in files.read_checklists(spark, str(tmp_path / "c.json"), {"X": "press"}).collect()) == [("Y", 0, "m", None), ("press", 0, "n", "s")]
+    (tmp_path / "a.csv").write_text("﻿id,title,file\n1,t, a.pdf \n2,u,  \n")
+    assert [tuple(r) for r in files.read_attachment_csv(spark, str(tmp_path / "a.csv"), "id", "title", "file").collect()] == [("1", "t", "a.pdf")]
+    (tmp_path / "d.json").write_text('[{"id":"1","from":"a","content":"x","time":"2024-01-01T16:00:00Z"}]')
+    msgs = files.read_messages(spark, str(tmp_path / "d.json"))
+    files.write_messages(msgs, str(tmp_path / "out"))
+    assert [str(r.day) for r in spark.read.json(str(tmp_path / "out")).select("day").collect()] == ["2024-01-02"]
+
+
+def test_markers(spark):
+    df = spark.createDataFrame([("see [IMAGE: a.png] this [REF: b]", '<channel source="x" from="me">hi\nyou</channel>')], "t string, c string")
+    r = df.select(V.media_markers(F.col("t")).alias("m"), V.channel_tags(F.col("c")).alias("c")).first()
+    assert (r.m.text, r.m.images, r.m.refs) == ("see  this", ["a.png"], ["b"]) and [tuple(x) for x in r.c] == [("me", "hi\nyou")]
