@@ -223,16 +223,27 @@ def headings(c: Column) -> Column:
     return F.filter(parts, lambda x: F.char_length(x["heading"]) < 80)
 
 
+# The forms of the markers.
+IMAGE, REFERENCE, EXCERPT = r"\[매뉴얼 이미지:\s*(https?://[^\]]+)\]", r"\[참조:\s*(https?://\S+)\s*([^\]]*)\]", r"📎\s*매뉴얼 발췌본:\s*(https?://\S+)"
+
+
 def media_markers(c: Column) -> Column:
-    """Struct (text, images, refs): ``[IMAGE: x]`` and ``[REF: x]`` markers taken out of the text."""
+    """Struct (text, images, refs (url, label), excerpts): media markers taken out of the text."""
+
+    def found(form: str, group: int = 1) -> Column:
+        return F.regexp_extract_all(c, F.lit(form), F.lit(group))
 
-    def found(kind: str) -> Column:
-        return F.regexp_extract_all(c, F.lit(rf"\[{kind}:\s*([^\]]*)\]"), F.lit(1))
+    refs = F.zip_with(found(REFERENCE), found(REFERENCE, 2), lambda u, n: F.struct(u.alias("url"), n.alias("label")))
+    text = reduce(lambda x, form: F.regexp_replace(x, form, ""), (IMAGE, REFERENCE, EXCERPT), c)
+    return F.struct(ustrip(text).alias("text"), found(IMAGE).alias("images"), refs.alias("refs"), found(EXCERPT).alias("excerpts"))
 
-    return F.struct(F.trim(F.regexp_replace(c, r"\[(IMAGE|REF):[^\]]*\]", "")).alias("text"), found("IMAGE").alias("images"), found("REF").alias("refs"))
 
+def channel_tags(c: Column, source: str = "agent-channel") -> Column:
+    """Array of (from, ts, content) of the ``<channel>`` blocks of a source that hold text; an unnamed sender is ``unknown``."""
+    blocks = F.regexp_extract_all(c, F.lit(rf'(?s)(<channel[^>]*source="{source}"[^>]*>.*?</channel>)'), F.lit(1))
+
+    def one(b: Column) -> Column:
+        sender = F.nullif(F.regexp_extract(b, r'\bfrom="([^"]+)"', 1), F.lit(""))
+        return F.struct(F.coalesce(sender, F.lit("unknown")).alias("from"), F.regexp_extract(b, r'\bts="([^"]+)"', 1).alias("ts"), ustrip(F.regexp_replace(b, r"(?s)^<[^>]*>|</channel>$", "")).alias("content"))
 
-def channel_tags(c: Column) -> Column:
-    """Array of (from, content) of the ``<channel ...>`` blocks in a text."""
-    blocks = F.regexp_extract_all(c, F.lit(r"(?s)(<channel\b[^>]*>.*?</channel>)"), F.lit(1))
-    return F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, r'^<channel[^>]*\bfrom="([^"]*)"', 1).alias("from"), F.trim(F.regexp_replace(b, r"(?s)^<[^>]*>|</channel>$", "")).alias("content")))
+    return F.filter(F.transform(blocks, one), lambda x: x["content"] != "")

@@ -173,6 +173,7 @@ def test_readers(spark, tmp_path):
 
 
 def test_markers(spark):
-    df = spark.createDataFrame([("see [IMAGE: a.png] this [REF: b]", '<channel source="x" from="me">hi\nyou</channel>')], "t string, c string")
+    df = spark.createDataFrame([("see [매뉴얼 이미지: http://h/a.png] this [참조: http://h/b page 3]", '<channel source="agent-channel" from="me" ts="1">hi\nyou</channel><channel source="agent-channel"> </channel>')], "t string, c string")
     r = df.select(V.media_markers(F.col("t")).alias("m"), V.channel_tags(F.col("c")).alias("c")).first()
-    assert (r.m.text, r.m.images, r.m.refs) == ("see  this", ["a.png"], ["b"]) and [tuple(x) for x in r.c] == [("me", "hi\nyou")]
+    assert (r.m.text, r.m.images, [tuple(x) for x in r.m.refs], r.m.excerpts) == ("see  this", ["http://h/a.png"], [("http://h/b", "page 3")], [])
+    assert [tuple(x) for x in r.c] == [("me", "1", "hi\nyou")]
