@@ -177,3 +177,11 @@ def test_markers(spark):
     r = df.select(V.media_markers(F.col("t")).alias("m"), V.channel_tags(F.col("c")).alias("c")).first()
     assert (r.m.text, r.m.images, [tuple(x) for x in r.m.refs], r.m.excerpts) == ("see  this", ["http://h/a.png"], [("http://h/b", "page 3")], [])
     assert [tuple(x) for x in r.c] == [("me", "1", "hi\nyou")]
+
+
+def test_sheets_and_names(spark):
+    rows = spark.createDataFrame([("s", 2, "c", None), ("s", 1, "a", " b "), ("s", 3, " ", None), ("t", 1, None, None)], "sheet string, no int, x string, y string")
+    got = chunks.chunk_rows(rows, ["sheet"], "no", ["x", "y"]).collect()
+    assert [(r.sheet, r.chunk_index, r.content) for r in got] == [("s", 0, "## s\n\na | b\nc")]
+    names = spark.createDataFrame([("Press_Unit (EN)_v1.2 20240101.pdf",), ("A--B.docx",)], "n string")
+    assert [r[0] for r in names.select(V.normalize_name(F.col("n"))).collect()] == ["press unit", "a b"]
