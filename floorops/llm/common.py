@@ -64,13 +64,15 @@ def crc_mod(col: str, mod: int):
 
 
 def labelled_sample(labels: DataFrame, target: str, keep, bound: int, id_col: str = "doc_id") -> DataFrame:
-    """At most about ``bound`` labelled ids of each class: (id, y).
+    """At most about ``bound`` labelled ids of each class: (id, y, weight).
 
     ``keep`` is the condition that training rows fulfil. Contradicting labels
     of one id are averaged, ties counting as 1; null ids and labels are left
     out. Above ``bound`` rows of a class are picked by a hash of their id, so
-    that the choice repeats. The result's size is bounded by ``2 * bound``
-    short rows, which is why callers may broadcast it.
+    that the choice repeats; ``weight`` is how many labelled ids of its class a
+    row stands for (counted / kept, 1 in a class that is whole), so that weighted
+    sums have the class rate of all labels. The result's size is bounded by
+    ``2 * bound`` short rows, which is why callers may broadcast it.
     """
     rows = (
         labels.filter(F.col(id_col).isNotNull() & F.col(target).isNotNull())
@@ -78,10 +80,20 @@ def labelled_sample(labels: DataFrame, target: str, keep, bound: int, id_col: st
         .groupBy(id_col)
         .agg((F.avg(F.col(target).cast("double")) >= 0.5).cast("int").alias("y"))
     )
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+
+    def counted(of: DataFrame) -> dict[int, int]:
+        return {r["y"]: r["n"] for r in of.groupBy("y").agg(F.count("*").alias("n")).collect()}
+
+    counts = counted(rows)
+    if max(counts.values(), default=0) <= bound:
+        return rows.withColumn("weight", F.lit(1.0))
     share = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20))
     limit = F.lit(0)
     for y in (0, 1):
         cut = (1 << 20) if counts.get(y, 0) <= bound else int((1 << 20) * bound / counts[y])
         limit = F.when(F.col("y") == y, F.lit(cut)).otherwise(limit)
-    return rows.filter(share < limit)
+    some = rows.filter(share < limit)
+    weight = F.lit(1.0)
+    for y, kept in counted(some).items():
+        weight = F.when(F.col("y") == y, F.lit(counts[y] / kept)).otherwise(weight)
+    return some.withColumn("weight", weight)

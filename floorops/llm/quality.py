@@ -120,17 +120,18 @@ def _stats(column: pa.Array) -> np.ndarray:
 def fit(stats: DataFrame, sample: DataFrame, id_col: str, features: int = 256, ridge: float = 1e-3, seed: int = 7, bins: int = 400) -> Model:
     """Fit on the labelled rows of ``stats``: three quarters for the ridge scores, the rest for the calibration.
 
-    Moments, normal equations and calibration bins are summed by partition;
+    Moments, normal equations and calibration bins are weighted by what each
+    row of ``sample`` stands for and summed by partition;
     only these sums, whose sizes do not depend on the data, reach the driver.
     """
-    rows = stats.join(F.broadcast(sample), id_col).select("y", "stats", (F.pmod(F.xxhash64("key"), F.lit(4)) == 0).alias("later"))
+    rows = stats.join(F.broadcast(sample), id_col).select("y", "weight", "stats", (F.pmod(F.xxhash64("key"), F.lit(4)) == 0).alias("later"))
     rows = materialize(rows.repartition(16), "train")
 
     def sums(part) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                got = part(_stats(batch.column("stats")), batch.column("y").to_numpy().astype(float))
+                got = part(_stats(batch.column("stats")), batch.column("y").to_numpy().astype(float), batch.column("weight").to_numpy())
                 total = got if total is None else total + got
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
@@ -140,24 +141,26 @@ def fit(stats: DataFrame, sample: DataFrame, id_col: str, features: int = 256, r
     first = rows.filter(~F.col("later"))
     d = len(STATS)
     moments = sum(
-        (np.frombuffer(r[0]) for r in first.mapInArrow(sums(lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])), "sums binary").collect()),
+        (np.frombuffer(r[0]) for r in first.mapInArrow(sums(lambda x, y, w: np.concatenate([[w.sum()], w @ x, w @ (x * x)])), "sums binary").collect()),
         np.zeros(2 * d + 1),
     )
     n = max(1.0, moments[0])
     mean = moments[1 : d + 1] / n
     model = Model(mean, np.sqrt(np.maximum(moments[d + 1 :] / n - mean**2, 1e-8)), features, seed)
 
-    def normal(x, y):
+    def normal(x, y, w):
         z = model.features(x)
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y])
+        zw = z.T * w
+        return np.concatenate([(zw @ z).ravel(), zw @ y])
 
     k = features + 1
     total = sum((np.frombuffer(r[0]) for r in first.mapInArrow(sums(normal), "sums binary").collect()), np.zeros(k * k + k))
     model.theta = np.linalg.solve(total[: k * k].reshape(k, k) + ridge * n / k * np.eye(k), total[k * k :])
 
-    def binned(x, y):
-        at = np.clip(((model.raw(x) + 0.5) * bins / 2).astype(int), 0, bins - 1)
-        return np.concatenate([np.bincount(at, minlength=bins), np.bincount(at, y, bins), np.bincount(at, model.raw(x), bins)]).astype(float)
+    def binned(x, y, w):
+        raw = model.raw(x)
+        at = np.clip(((raw + 0.5) * bins / 2).astype(int), 0, bins - 1)
+        return np.concatenate([np.bincount(at, w, bins), np.bincount(at, w * y, bins), np.bincount(at, w * raw, bins)])
 
     c = sum((np.frombuffer(r[0]) for r in rows.filter("later").mapInArrow(sums(binned), "sums binary").collect()), np.zeros(3 * bins))
     has = c[:bins] > 0
@@ -178,8 +181,8 @@ def quality_scores(
     """(id, key, score) of every document: the probability that its quality label is 1.
 
     ``train`` is the condition on a label row's id that training rows fulfil;
-    at most ``max_rows_per_class`` rows of each class are used. ``key`` is a
-    hash of the text, which tells rows apart that share an id. The texts are
+    at most ``max_rows_per_class`` rows of each class are used, weighted so
+    that scores keep the class rate of all labels. ``key`` is a hash of the text, which tells rows apart that share an id. The texts are
     read once, for the statistics; all else works on those.
 
     Defined cases: null and empty texts get the score of an empty text; null

@@ -201,7 +201,8 @@ def toxicity_scores(
     by a logistic fit on a quarter of the labelled rows, which the models do
     not see. ``train`` is the condition on a label row's id that training rows
     fulfil; at most ``max_rows_per_class`` rows of each class are used, which
-    bounds the models that go to the tasks. Words are runs of letters and
+    bounds the models that go to the tasks; the logistic fit weights them, so
+    that scores keep the class rate of all labels. Words are runs of letters and
     digits, A-Z in lower case.
 
     Defined cases: null, empty and word-free texts have ratio 0; null ids are
@@ -231,15 +232,17 @@ def toxicity_scores(
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ratio)], names=[id_col, "ratio"])
 
     scored = materialize(docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ratio double"), "ratios")
-    a, b = _logistic(scored.join(F.broadcast(sample.filter("later")), id_col).select("ratio", "y"))
+    a, b = _logistic(scored.join(F.broadcast(sample.filter("later")), id_col).select("ratio", "y", "weight"))
     return scored.withColumn("score", 1 / (1 + F.exp(-(F.lit(a) * F.col("ratio") + F.lit(b)))))
 
 
 def _logistic(rows: DataFrame, steps: int = 60) -> tuple[float, float]:
-    """Slope and intercept fitted on bins of the ratio, summed by Spark; at most 4,000 bins reach the driver."""
+    """Slope and intercept fitted on bins of the ratio, weighted and summed by Spark; at most 4,000 bins reach the driver."""
     wide = F.greatest(F.lit(-2000), F.least(F.lit(2000), F.round(F.col("ratio") * 1000))).cast("int")
-    got = rows.groupBy(wide.alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.avg("ratio").alias("x")).toPandas()
-    if got.empty or got["y"].sum() in (0, got["n"].sum()):
+    w = F.col("weight")
+    sums = [F.sum(w).alias("n"), F.sum(w * F.col("y")).alias("y"), (F.sum(w * F.col("ratio")) / F.sum(w)).alias("x")]
+    got = rows.groupBy(wide.alias("bin")).agg(*sums, F.min("y").alias("least"), F.max("y").alias("most")).toPandas()
+    if got.empty or got["least"].min() == got["most"].max():
         return 0.0, 0.0
     x, n, y = (got[c].to_numpy(float) for c in ("x", "n", "y"))
     scale = max(1e-9, float(np.sqrt((n * x * x).sum() / n.sum())))

@@ -214,6 +214,21 @@ def test_scores(spark):
     assert toxicity_scores(empty(spark), lab, F.lit(True)).count() == 0 and quality_scores(empty(spark), lab, F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("scores", [toxicity_scores, quality_scores])
+def test_small_samples_keep_the_class_rate(spark, scores):
+    rng = np.random.default_rng(6)
+    rows, toxic, quality = [], [], []
+    for i in range(20_000):
+        kind = i % 25 < 2  # 8 % of the texts: a fifth of them toxic, half of them of low quality
+        rows.append((i, " ".join([*rng.choice(WORDS, 6), "zqxv" if kind else "w1"]).upper() if kind else " ".join(rng.choice(WORDS, 6)), None, None, None))
+        toxic.append(int(rng.random() < (0.2 if kind else 0.004)))
+        quality.append(int(rng.random() < (0.5 if kind else 0.995)))
+    df = spark.createDataFrame(rows, DDL)
+    lab = spark.createDataFrame([(i, q, t) for i, (q, t) in enumerate(zip(quality, toxic, strict=True))], "doc_id long, quality int, toxic int")
+    whole, small = (scores(df, lab, F.lit(True), max_rows_per_class=n).select(F.avg((F.col("score") >= 0.3).cast("int")), F.avg("score")).first() for n in (100_000, 1_000))
+    assert abs(whole[0] - small[0]) < 0.02 and abs(whole[1] - small[1]) < 0.02
+
+
 def test_queries_have_the_contract_columns(spark):
     got = queries.QUERIES["op1_sharding"](spark, "/root/testdata/sf0.001")
     assert got.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
