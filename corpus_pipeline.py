@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove lines that have an earlier match; ``n_chars`` follows the text, and documents without a line left go."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, min_words=1)
     keep = [F.char_length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.filter(F.size("removed") < F.greatest("n_lines", F.lit(1))).select(*keep)
 

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from floorops.llm import html, lines, packing, queries, sharding, simhash, substrings
 from floorops.llm.common import crc_mod
 from floorops.llm.decontamination import benchmark_hits
@@ -132,6 +133,26 @@ def test_lines(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_lines_of_few_words(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, "\n".join(" ".join(rng.choice(WORDS[:6], rng.integers(0, 7))) for _ in range(6)), None, None, None) for i in range(80)]
+    rows += [(100, "p q r s\np q r s t\np q r\nz z", None, None, None), (101, "s r q p\n\n \t\nz\n", None, None, None)]
+    spark.createDataFrame(rows, DDL).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = [], {}
+    for i, t, *_ in rows:
+        gone = []
+        for no, line in enumerate(t.split("\n")):
+            s = frozenset(line.split())
+            if s and any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
+                gone.append(no)
+            seen += [s] if s else []
+        want[i] = ",".join(map(str, gone))
+    assert want[100] == "1" and want[101] == "0,3"
+    assert {r["doc_id"]: r["removed"] for r in queries.QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()} == want
+    piped = corpus_pipeline.lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r["doc_id"]: r["text"] for r in piped.collect()}[101] == "\n \t\n"
+
+
 def test_substrings(spark):
     df, rows = make(spark)
     docs = sorted({(r[0] is not None, r[0] or 0, r[1] or "") for r in rows})
