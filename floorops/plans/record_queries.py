@@ -24,15 +24,27 @@ def _tasks(s, d):
     )
 
 
+def _messages(s, d):
+    kind = F.when(F.col("l_returnflag") == "A", "complete").when(F.col("l_returnflag") == "R", "blocked").when(F.col("l_linenumber") % 2 == 0, "progress").otherwise("request")
+    no = (F.col("l_linenumber") * F.lit(1_000_000_000).cast("long") + F.col("l_partkey")).alias("id")
+    return fx.table(s, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_shipdate").alias("time"), no, kind.alias("kind"))
+
+
 @query(f"""WITH m AS (SELECT l_orderkey AS task_id, l_shipdate AS time, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS id, CASE l_returnflag WHEN 'A' THEN 'complete' WHEN 'R' THEN 'blocked' ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'progress' ELSE 'request' END END AS kind FROM lineitem WHERE l_orderkey % 2 = 0),
 r AS (SELECT task_id, CASE arg_max(kind, (time, id)) WHEN 'complete' THEN 'done' WHEN 'progress' THEN 'in_progress' ELSE 'blocked' END AS status, max(time) AS time FROM m WHERE kind <> 'request' GROUP BY 1)
 SELECT task_id, coalesce(r.status, t.status) AS status, CASE WHEN r.status = 'done' THEN r.time ELSE completed_at END AS completed_at FROM {TASKS} t LEFT JOIN r USING (task_id)
 UNION ALL SELECT task_id, coalesce(r.status, 'pending'), CASE WHEN r.status = 'done' THEN r.time END FROM (SELECT DISTINCT task_id FROM m WHERE kind = 'request') q LEFT JOIN r USING (task_id) WHERE task_id NOT IN (SELECT o_orderkey FROM orders)""")
 def task_fold(s, d):
-    kind = F.when(F.col("l_returnflag") == "A", "complete").when(F.col("l_returnflag") == "R", "blocked").when(F.col("l_linenumber") % 2 == 0, "progress").otherwise("request")
-    found = fx.table(s, d, "lineitem").filter("l_orderkey % 2 = 0")
-    messages = found.select(F.col("l_orderkey").alias("task_id"), F.col("l_shipdate").alias("time"), (F.col("l_linenumber") * F.lit(1_000_000_000).cast("long") + F.col("l_partkey")).alias("id"), kind.alias("kind"))
-    return records.fold_tasks(_tasks(s, d).select("task_id", "status", "completed_at"), messages)
+    return records.fold_tasks(_tasks(s, d).select("task_id", "status", "completed_at"), _messages(s, d).filter("task_id % 2 = 0"))
+
+
+# task_fold leaves the tasks of odd keys without messages; here every message is folded
+@query(f"""WITH m AS (SELECT l_orderkey AS task_id, l_shipdate AS time, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS id, CASE l_returnflag WHEN 'A' THEN 'complete' WHEN 'R' THEN 'blocked' ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'progress' ELSE 'request' END END AS kind FROM lineitem),
+r AS (SELECT task_id, CASE arg_max(kind, (time, id)) WHEN 'complete' THEN 'done' WHEN 'progress' THEN 'in_progress' ELSE 'blocked' END AS status, max(time) AS time FROM m WHERE kind <> 'request' GROUP BY 1)
+SELECT task_id, coalesce(r.status, t.status) AS status, CASE WHEN r.status = 'done' THEN r.time ELSE completed_at END AS completed_at FROM {TASKS} t LEFT JOIN r USING (task_id)
+UNION ALL SELECT task_id, coalesce(r.status, 'pending'), CASE WHEN r.status = 'done' THEN r.time END FROM (SELECT DISTINCT task_id FROM m WHERE kind = 'request') q LEFT JOIN r USING (task_id) WHERE task_id NOT IN (SELECT o_orderkey FROM orders)""")
+def task_fold_all(s, d):
+    return records.fold_tasks(_tasks(s, d).select("task_id", "status", "completed_at"), _messages(s, d))
 
 
 @query(f"""SELECT task_id, CAST(floor((epoch_us(TIMESTAMP '1998-01-01') - epoch_us(coalesce(updated_at, created_at))) / 3600000000) AS BIGINT) AS idle_hours FROM {TASKS}

@@ -38,3 +38,10 @@ def test_same_as_sql(spark, con, name):
     rows = [tuple(plain(r[names.index(c)]) for c in cols) for r in got.fetchall()]
     mine = [tuple(plain(r[c]) for c in cols) for r in df.collect()]
     assert sorted(mine, key=repr) == sorted(rows, key=repr)
+
+
+def test_every_message_reaches_task_fold_all(spark, con):
+    blocked = {r[0] for r in con.execute("SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING l_orderkey % 2 = 1 AND bool_and(l_returnflag = 'R')").fetchall()}
+    assert blocked
+    got = {r["task_id"]: r["status"] for r in QUERIES["task_fold_all"](spark, SF).collect()}
+    assert {got[k] for k in blocked} == {"blocked"}
