@@ -16,7 +16,7 @@ from floorops.llm.decontamination import words_of
 
 ORDER = 8
 DISCOUNT = 0.75
-#: Sequences seen less often are left to the shared counts.
+#: Sequences in fewer texts are cut off; the shared counts do not have them either.
 LEAST = 3
 #: Weight of the shared counts besides the discounted mass: what few texts of a class show counts for little.
 PRIOR = 10.0
@@ -54,6 +54,7 @@ def expression_ratios(rows: DataFrame, text_col: str = "text") -> tuple[DataFram
     model of continuation counts, in which a sequence counts by how many
     different letters it follows. So a sequence that neither class has seen
     says nothing, and one that is rare in both leans on the shared counts.
+    Sequences in fewer than ``LEAST`` texts are left out of all counts.
 
     Counts are of texts that have the word. Returns (gram, ratio) for sequences seen in either class and (context,
     ratio) of the back-off weights for what follows a seen context unseen.
