@@ -10,28 +10,28 @@ from pyspark.sql import functions as F
 
 from floorops.llm.common import materialize, partitions, without
 
-#: Hash classes of words in the literal table (one byte each) that orders them by rarity.
+#: Hash classes of words in the literal table that orders them by rarity.
 CLASSES = 65536
 #: A set of lines to look up is broadcast up to this many hashes (16 MB as a hash table), and shuffled beyond.
 BROADCAST_LINES = 1_000_000
 #: A line's place is its document's id times this, plus its number.
 PLACES = 10_000_000_000
+#: Sets of up to this many words have one parity of 64 classes, larger ones two.
+ONE_PARITY = 64
+#: Lines that share a key of the first comparison are compared in groups of about this size.
+GROUP = 10_000
+#: Lines tried from the front of such a group, and from just before a line.
+TRIES = 3
 _NO_ID = -10_000_000_000_000_000_000
 
 
-def _words(line: Column) -> Column:
-    """Different words of a line."""
-    return F.array_distinct(_tokens(line))
-
-
-def _tokens(line: Column, limit: int = -1) -> Column:
-    return F.array_remove(F.split(line, "[ \\t\\x0B\\f\\r]+", limit), "")
+def _tokens(line: Column) -> Column:
+    return F.split(line, "[ \\t\\x0B\\f\\r]+")
 
 
-def _has_words(line: Column, n: int) -> Column:
-    """Whether a line has ``n`` different words; most lines show it at their start, the others are looked through."""
-    start = F.slice(_tokens(line, 4 * n + 2), 1, 4 * n)
-    return F.when(F.size(F.array_distinct(start)) >= n, True).otherwise(F.size(_words(line)) >= n)
+def _words(line: Column) -> Column:
+    """Different words of a line."""
+    return F.array_remove(F.array_distinct(_tokens(line)), "")
 
 
 def _at(id_col: str) -> Column:
@@ -40,160 +40,218 @@ def _at(id_col: str) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(at, k1, line) of every line; ``k1`` is the line's hash."""
-    some = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("no", "line"))
-    return some.select(_at("id").alias("at"), F.xxhash64("line").alias("k1"), "line")
+    """(id, text_key, no, k1, line) of every line of the texts; ``k1`` is the line's hash, ``text_key`` the text's."""
+    some = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
+    return some.select("id", "text_key", "no", F.xxhash64("line").alias("k1"), "line")
+
+
+def _rarity(docs: DataFrame, text_col: str) -> Column:
+    """For each hash class of words, how often they occur in the corpus, on a logarithmic scale from 1 to 127; a literal array."""
+    words = docs.select(F.explode(F.split(text_col, "[ \n]")).alias("w"))
+    count = dict(words.groupBy(_class(_number("w")).alias("c")).count().collect())
+    scale = (min(127, 1 + int(4 * math.log2(1 + count.get(c, 0)))) for c in range(CLASSES))
+    return F.split(F.lit(",".join(map(str, scale))), ",").cast("array<bigint>")
 
 
-def _rarity(docs: DataFrame, text_col: str) -> bytes:
-    """For each hash class of words, how often they occur, on a logarithmic scale from 1 to 127."""
-    words = docs.select(F.explode_outer(F.split(text_col, "[ \n]")).alias("w"))
-    count = dict(words.groupBy(F.pmod(F.hash("w"), F.lit(CLASSES)).alias("c")).count().collect())
-    return bytes(min(127, 1 + int(4 * math.log2(1 + count.get(c, 0)))) for c in range(CLASSES))
+def _number(w: str | Column) -> Column:
+    """A word's hash; the last eight bits are less for a longer word."""
+    size = F.lit(255) - F.least(F.octet_length(w), F.lit(255))
+    return F.xxhash64(w).bitwiseAND(F.lit(-256)).bitwiseOR(size.cast("bigint"))
 
 
-def _ordered(line: Column, table: Column) -> Column:
-    """The line's words as numbers, rare ones first: how often their class occurs, then the longer ones, then a hash."""
+def _class(number: Column) -> Column:
+    return F.shiftright(number, 8).bitwiseAND(F.lit(CLASSES - 1)).cast("int")
 
-    def number(w: Column) -> Column:
-        often = F.ascii(F.substring(table, F.pmod(F.hash(w), F.lit(CLASSES)) + 1, 1).cast("string")).cast("bigint")
-        return F.shiftleft(often * 256 + (F.lit(255) - F.least(F.length(w), F.lit(255))), 40) + F.shiftrightunsigned(F.xxhash64(w), 24)
 
-    return F.sort_array(F.array_distinct(F.transform(_tokens(line), number)))
+def _ordered(line: Column, rarity: Column) -> Column:
+    """The line's different words as numbers, rare ones first: how often their class occurs, then the longer ones, then a hash."""
+
+    def ranked(x: Column) -> Column:
+        often = F.shiftleft(F.get(rarity, _class(x)), 56)
+        return often.bitwiseOR(F.shiftleft(x.bitwiseAND(255), 48)).bitwiseOR(F.shiftrightunsigned(x, 16))
+
+    none = F.lit("")
+    numbers = F.array_remove(F.array_distinct(F.transform(_tokens(line), _number)), _number(none))
+    return F.sort_array(F.transform(numbers, ranked))
 
 
 def _parity(words: Column, odd: bool) -> Column:
     """64 bits of a set: each of its words, or each with an odd number, turns the bit of its hash over."""
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", x.bitwiseAND(1) if odd else F.lit(1).cast("bigint"), F.hash(x))))
+    one = F.lit(1).cast("bigint")
+
+    def turn(bits: Column, x: Column) -> Column:
+        at = F.shiftright(x, 1).bitwiseAND(63).cast("int")
+        return bits.bitwiseXOR(F.call_function("shiftleft", x.bitwiseAND(1) if odd else one, at))
+
+    return F.aggregate(words, F.lit(0).cast("bigint"), turn)
 
 
 def _shared(a: str, b: str) -> Column:
     return F.size(F.array_intersect(_words(F.col(a)), _words(F.col(b))))
 
 
-def similar_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(at, k1, of): each line that has an earlier match, by its place and hash, and the place of one such line.
+def profiles(lines: DataFrame, rarity: Column, threshold: float, min_words: int, ends: bool = False) -> DataFrame:
+    """``lines`` (with k1, line), with what the filters need in place of the line.
 
-    Lines match if the Jaccard similarity of their word sets is at least
-    ``threshold``; lines of fewer than ``min_words`` different words are left
-    alone. Earlier is a smaller (id, line number), null ids first.
-
-    Equal lines are one from here on, the first standing for all. Words are
-    ordered by rarity, for which the counts of ``CLASSES`` hash classes and
-    then the length are enough: the order decides how many candidates there
-    are, not which matches are found. Two sets can only match if their prefixes
-    (the first n - ceil(t n) + 1 words) share a word. Of the pairs that do,
-    those whose sizes differ too much fall to the length filter, and those
-    whose words from the shared one on cannot make up the overlap to the
-    positional filter. Those left are compared by the parities of 128 hash
-    classes of their words, which differ in no more classes than the sets do in
-    words; the words themselves are compared for what passes this too.
-
-    A line needs only one earlier match. So each is first compared with two
-    candidates: of the earliest lines that have its prefix words, and of the
-    lines next before it there, those that share most of them. Large groups of
-    near copies end there, without their pairs; the lines that remain are
-    joined with all earlier ones.
+    ``n`` words, parities ``b0`` and ``b1`` of the set, and ``keys``: the prefix
+    of the rarest words, of which two matching sets share one. Sets so small
+    that only equal ones match have one key, the hash of the set; those of
+    fewer than ``min_words`` words have none. ``ends`` adds
+    the least and the greatest hash of the words.
     """
     t = threshold
-    spark = docs.sparkSession
-    lines = lines_of(docs, id_col, text_col)
-    table = F.lit(_rarity(docs, text_col))
+    kept = [c for c in lines.columns if c != "line"]
+    sets = lines.select(*lines.columns, _ordered(F.col("line"), rarity).alias("w"))
     n = F.size("w")
-    size = F.when(n >= min_words, n - F.ceil(n * F.lit(t) - 1e-9) + 1).otherwise(0).cast("int")
-
-    def prefixes(of: DataFrame) -> DataFrame:
-        """(word, np, ...) for each prefix word of the lines; ``np`` holds the set's size and the word's position."""
-        kept = [c for c in of.columns if c != "line"]
-        sets = of.select(*kept, _ordered(F.col("line"), table).alias("w"))
-        words = sets.select(*kept, n.alias("n"), _parity(F.col("w"), False).alias("b0"), _parity(F.col("w"), True).alias("b1"), F.posexplode_outer(F.slice("w", F.lit(1), size)).alias("p", "x"))
-        return words.filter("p IS NOT NULL").select(F.hash("x").alias("word"), *kept, (F.col("n").cast("bigint") * 65536 + F.least("p", F.lit(65535))).alias("np"), "b0", "b1")
-
-    postings = (
-        prefixes(lines)
-        .repartition(partitions(spark), "word")
-        .groupBy("word", "k1")
-        .agg(F.min("at").alias("at"), F.min("np").alias("np"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
-    )
-
-    def fits(a: str, b: str) -> Column:
-        """Whether the length, positional and parity filters pass rows of the columns with these prefixes."""
-        na, nb = (F.shiftright(F.col(f"{x}np"), 16) for x in (a, b))
-        pa, pb = (F.col(f"{x}np").bitwiseAND(65535) for x in (a, b))
-        need = F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9)
-        both, odd = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("b0", "b1"))
-        differ = F.bit_count(both.bitwiseXOR(odd)) + F.bit_count(odd)
-        return (na >= nb * t - 1e-9) & (nb >= na * t - 1e-9) & (F.least(na - pa, nb - pb) + F.least(pa, pb) >= need) & (differ <= na + nb - 2 * need)
-
-    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(k1, at, of) of the pairs (k1, at, o1, o_at) whose lines match, one for each k1; and (k1, line) of all lines in the pairs."""
-        wanted = materialize(pairs.select("k1").union(pairs.select(F.col("o1").alias("k1"))).distinct(), "line-wanted")
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
-        text = materialize(lines.select("k1", "line").join(wanted, "k1", "left_semi").groupBy("k1").agg(F.first("line").alias("line")), "line-texts")
-        both = pairs.join(text, "k1").join(text.select(F.col("k1").alias("o1"), F.col("line").alias("other")), "o1")
-        shared, sizes = _shared("line", "other"), F.size(_words(F.col("line"))) + F.size(_words(F.col("other")))
-        same = both.withColumn("shared", shared).filter(F.col("shared") >= F.lit(t) * (sizes - F.col("shared")) - 1e-9)
-        return same.groupBy("k1").agg(F.min("at").alias("at"), F.min("o_at").alias("of")), text
-
-    by_word = W.partitionBy("word").orderBy("at", "k1")
-    seen = ("at", "k1", "np", "b0", "b1")
-    led = postings.withColumns({f"o_{c}": F.first(c).over(by_word) for c in seen} | {f"p_{c}": F.lag(c).over(by_word) for c in seen})
-    led = led.withColumn("df", F.count("*").over(W.partitionBy("word"))).filter("df > 1")
-    tried = [F.when((F.col(f"{x}at") < F.col("at")) & fits("", x), F.struct(F.col(f"{x}k1").alias("o1"), F.col(f"{x}at").alias("o_at"))).alias(f"{x}line") for x in ("o_", "p_")]
-    led = materialize(led.select("word", *seen, *tried), "line-prefixes")
-
-    heads = led.select("k1", "at", F.posexplode(F.array("o_line", "p_line")).alias("which", "o")).filter("o IS NOT NULL")
-    heads = heads.groupBy("k1", "at", "which", "o.o1", "o.o_at").agg(F.count("*").alias("n"))
-    best = heads.groupBy("k1", "at", "which").agg(F.max_by(F.struct("o1", "o_at"), F.struct("n", -F.col("o_at"))).alias("o")).select("k1", "at", "o.o1", "o.o_at").distinct()
-    best = materialize(best, "line-heads")
-    settled, text = verified(best)
-    settled = materialize(settled, "line-settled")
-
-    # settled lines stay as earlier ones only; marks with their prefix words tell them, so that both sides of the join are dealt out once
-    marks = prefixes(text.join(settled.select("k1"), "k1", "left_semi")).select("word", "k1", F.lit(True).alias("settled"))
-    dealt = led.drop("o_line", "p_line").unionByName(marks, allowMissingColumns=True).repartition(partitions(spark), "word")
-    marked = dealt.withColumn("settled", F.max("settled").over(W.partitionBy("word", "k1"))).filter("at IS NOT NULL")
-    other = marked.select("word", *[F.col(c).alias(f"o_{c}") for c in ("k1", "at", "np", "b0", "b1", "settled")])
-    pairs = marked.filter("settled IS NULL").join(other, "word").filter((F.col("o_at") < F.col("at")) & fits("", "o_"))
-    pairs = pairs.groupBy("k1", "at", F.col("o_k1").alias("o1"), "o_at").agg(F.max("o_settled").alias("o_settled"))
-    pairs = materialize(pairs.join(best, ["k1", "at", "o1", "o_at"], "left_anti"), "line-pairs")
-    found = settled.unionByName(verified(pairs.drop("o_settled"))[0])
-
-    # the first of equal lines has the match found; the others have the first
-    long = lines.filter(_has_words(F.col("line"), min_words)).select("at", "k1")
-    first = long.groupBy("k1").agg(F.min("at").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    copies = long.join(first, "k1").filter("at > head").select("at", "k1", F.col("head").alias("of"))
-    return found.select("at", "k1", "of").unionByName(copies)
-
-
-def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    prefix = F.slice("w", F.lit(1), (n - F.ceil(n * F.lit(t) - 1e-9) + 1).cast("int"))
+    whole = F.array(F.xxhash64("w"))
+    keys = F.when(n < max(1, min_words), F.slice("w", 1, 0)).when(n < t / (1 - t) - 1e-9 if t < 1 else F.lit(True), whole).otherwise(prefix)
+    cols = [n.alias("n"), _parity(F.col("w"), False).alias("b0"), F.when(n > ONE_PARITY, _parity(F.col("w"), True)).otherwise(F.lit(0).cast("bigint")).alias("b1"), keys.alias("keys")]
+    if ends:
+        hashes = F.transform("w", lambda x: F.xxhash64(x))
+        cols += [F.array_min(hashes).alias("low"), F.array_max(hashes).alias("high"), "line"]
+    return sets.select(*kept, *cols)
+
+
+def postings(lines: DataFrame, *kept: str) -> DataFrame:
+    """(word, kept..., np, b0, b1) for each key of the profiles; ``np`` holds the set's size and the key's position."""
+    # outer: Spark would else ask for the keys' number first, and make all of them twice
+    rows = lines.select(*kept, "n", "b0", "b1", F.posexplode_outer("keys").alias("p", "word")).filter("p IS NOT NULL")
+    return rows.select("word", *kept, (F.col("n").cast("bigint") * 65536 + F.least("p", F.lit(65535))).alias("np"), "b0", "b1")
+
+
+def _fits(t: float, a: str, b: str) -> Column:
+    """Whether the length, positional and parity filters pass rows of the columns with these prefixes."""
+    na, nb = (F.shiftright(F.col(f"{x}np"), 16) for x in (a, b))
+    pa, pb = (F.col(f"{x}np").bitwiseAND(65535) for x in (a, b))
+    need = F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9)
+    both, odd = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("b0", "b1"))
+    two = F.bit_count(both.bitwiseXOR(odd)) + F.bit_count(odd)
+    differ = F.when((na > ONE_PARITY) & (nb > ONE_PARITY), two).otherwise(F.bit_count(both))
+    return (na >= nb * t - 1e-9) & (nb >= na * t - 1e-9) & (F.least(na - pa, nb - pb) + F.least(pa, pb) >= need) & (differ <= na + nb - 2 * need)
+
+
+def _other(df: DataFrame, *same: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(c if c in same else f"o_{c}") for c in df.columns])
+
+
+def candidates(docs: DataFrame, rarity: Column, threshold: float, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(k1): the hashes of lines that may have a match: those with a copy, and those that pass the filters with another line.
+
+    Equal lines are one from the start, in every task before the shuffle. The
+    join only asks whether there is a partner, so that it ends at the first one
+    and a large group of near copies makes no pairs. Both its sides are one
+    shuffle.
+    """
+    lines = lines_of(docs, id_col, text_col).select("k1", "line")
+    posted = postings(profiles(lines, rarity, threshold, min_words), "k1")
+    one = posted.groupBy("word", "k1").agg(F.min("np").alias("np"), F.min("b0").alias("b0"), F.min("b1").alias("b1"), F.count("*").alias("copies"))
+    other = _other(one)
+    partner = (F.col("o_k1") != F.col("k1")) & _fits(threshold, "", "o_")
+    found = one.join(other, (F.col("word") == F.col("o_word")) & (F.col("o_copies") > 0) & ((F.col("copies") > 1) | partner), "left_semi")
+    return found.select("k1").distinct()
+
+
+def first_tries(lines: DataFrame, threshold: float) -> DataFrame:
+    """(k1, at, o_k1, o_at): a few earlier lines that each line may match, of those that share its least or greatest word hash.
+
+    Lines of a key are compared in groups of about ``GROUP``, with the first
+    lines of the group and those just before. Near copies share a key as often
+    as words, so that members of a large group are settled here, without pairs.
+    """
+    keyed = lines.select("k1", "at", (F.col("n").cast("bigint") * 65536).alias("np"), "b0", "b1", F.explode(F.array_distinct(F.array("low", "high"))).alias("key"))
+    often = keyed.groupBy("key").agg(F.count("*").alias("of")).filter("of > 1")
+    salted = keyed.join(often, "key").withColumn("salt", F.pmod(F.xxhash64("k1"), F.ceil(F.col("of") / GROUP)))
+    dealt = salted.repartition(partitions(lines.sparkSession), "key", "salt")
+    by_key = W.partitionBy("key", "salt").orderBy("at", "k1")
+    line = F.struct("k1", "at", "np", "b0", "b1")
+    before = by_key.rowsBetween(W.unboundedPreceding, W.currentRow)
+    tried = [F.nth_value(line, i).over(before) for i in range(1, TRIES + 1)] + [F.lag(line, i).over(by_key) for i in range(1, TRIES + 1)]
+    rows = dealt.select("k1", "at", "np", "b0", "b1", F.array(*tried).alias("tried")).select("k1", "at", "np", "b0", "b1", F.explode(F.array_distinct("tried")).alias("o"))
+    rows = rows.filter("o IS NOT NULL").select("k1", "at", "np", "b0", "b1", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("k1", "at", "np", "b0", "b1")])
+    return rows.filter((F.col("o_at") < F.col("at")) & _fits(threshold, "", "o_")).select("k1", "at", "o_k1", "o_at").distinct()
+
+
+def matches(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(k1, at): the lines of ``pairs`` (k1, at, o_k1, o_at) whose words match the other line's."""
+    text = lines.select("k1", "at", "line")
+    both = pairs.join(text, ["k1", "at"]).join(_other(text), ["o_k1", "o_at"])
+    shared, sizes = _shared("line", "o_line"), F.size(_words(F.col("line"))) + F.size(_words(F.col("o_line")))
+    same = both.select("k1", "at", shared.alias("shared"), sizes.alias("sizes")).filter(F.col("shared") >= F.lit(threshold) * (F.col("sizes") - F.col("shared")) - 1e-9)
+    return same.select("k1", "at").distinct()
+
+
+def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_key, no) of each line that has an earlier match.
+
+    Lines match if the Jaccard similarity of their word sets is at least
+    ``threshold``; lines of fewer than ``min_words`` different words are left
+    alone, blank ones always. Earlier is a smaller (id, line number), null ids
+    first.
+
+    Words are ordered by rarity, for which the counts of ``CLASSES`` hash
+    classes and then the length are enough: the order decides how many
+    candidates there are, not which matches are found. Two sets can only match
+    if their prefixes (the first n - ceil(t n) + 1 words) share a word. Of the
+    pairs that do, those whose sizes differ too much fall to the length filter,
+    and those whose words from the shared one on cannot make up the overlap to
+    the positional filter. Those left are compared by the parities of 64 or 128
+    hash classes of their words, which differ in no more classes than the sets
+    do in words.
+
+    First, lines that pass these filters with no other line are set aside, by
+    hashes alone (``candidates``). The texts of the others are fetched; equal
+    texts are one from here on. A line needs only one earlier match, so each is
+    first compared with a few likely ones (``first_tries``); the lines that
+    remain are joined with all earlier ones. Words themselves decide in both.
+    """
+    spark, t = docs.sparkSession, threshold
+    rarity = _rarity(docs, text_col)
+    some = materialize(candidates(docs, rarity, t, min_words, id_col, text_col), "line-candidates")
+    few = F.broadcast(some) if some.count() <= BROADCAST_LINES else some
+    lines = lines_of(docs, id_col, text_col).join(few, "k1", "left_semi").withColumn("at", _at("id"))
+    lines = materialize(lines, "lines")
+    first = lines.groupBy("k1", "line").agg(F.min("at").alias("at"))
+    texts = materialize(profiles(first, rarity, t, min_words, ends=True), "line-texts")
+
+    tried = materialize(first_tries(texts, t), "line-tries")
+    settled = materialize(matches(tried, texts, t), "line-settled")
+
+    short = texts.drop("line", "low", "high")
+    left = postings(short.join(settled, ["k1", "at"], "left_anti"), "k1", "at")
+    pairs = left.join(_other(postings(short, "k1", "at"), "word"), "word").filter((F.col("o_at") < F.col("at")) & _fits(t, "", "o_"))
+    pairs = pairs.select("k1", "at", "o_k1", "o_at").distinct().join(tried, ["k1", "at", "o_k1", "o_at"], "left_anti")
+    found = matches(materialize(pairs, "line-pairs"), texts, t)
+    kept = materialize(texts.select("k1", "at").join(settled.union(found), ["k1", "at"], "left_anti"), "line-kept")
+    return lines.join(kept, ["k1", "at"], "left_anti").select("id", "text_key", "no")
+
+
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later matching lines removed from the text; adds ``n_lines`` and ``removed`` (their numbers, sorted).
 
-    See ``similar_lines`` for what matches; all lines are judged on the input.
+    See ``removed_lines`` for what matches; all lines are judged on the input.
 
     Defined cases: a null text stays null and has 0 lines; an empty text has
-    one line, which stays, as do all lines of fewer than ``min_words`` words;
-    null ids sort first and are one document for the order; rows that share an
-    id are judged line by line in the order of (id, line number), lines at the
-    same place not matching each other; an empty table gives an empty result;
-    input columns called like the new ones are replaced. Ids are integers.
+    one line, which stays, as do blank lines and all lines of fewer than
+    ``min_words`` different words; null ids sort first and are one document for
+    the order; rows that share an id are judged line by line in the order of
+    (id, line number), lines at the same place not matching each other; rows
+    that share id and text get the same result; an empty table gives an empty
+    result; input columns called like the new ones are replaced, all others are
+    kept. Ids are integers. Lines with one 64-bit hash are told apart by their
+    texts, once one of them is a candidate.
     """
-    docs = without(docs, "n_lines", "removed", "_gone", "_doc")
-    found = similar_lines(docs, threshold, min_words, id_col, text_col)
-    gone = (
-        found.select(F.floor((F.col("at") - F.pmod(F.col("at"), F.lit(PLACES))) / F.lit(PLACES)).cast("decimal(20,0)").alias("_doc"), F.struct(F.pmod(F.col("at"), F.lit(PLACES)).cast("int").alias("no"), "k1").alias("line"))
-        .groupBy("_doc")
-        .agg(F.sort_array(F.collect_set("line")).alias("_gone"))
-    )
-    doc = F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(str(_NO_ID)).cast("decimal(20,0)"))
-    joined = docs.withColumn("_doc", doc).join(gone, "_doc", "left")
-    numbered = F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("no"), F.xxhash64(x).alias("k1"), x.alias("line")))
-    kept = F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains(F.col("_gone"), F.struct(x["no"].alias("no"), x["k1"].alias("k1")))), lambda x: x["line"]), "\n")
-    removed = F.transform(F.filter(numbered, lambda x: F.array_contains(F.col("_gone"), F.struct(x["no"].alias("no"), x["k1"].alias("k1")))), lambda x: x["no"])
-    has = F.col("_gone").isNotNull() & F.col(text_col).isNotNull()
-    keep = [F.when(has, kept).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(
-        *keep,
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.split(text_col, "\n"))).cast("long").alias("n_lines"),
-        F.when(has, removed).otherwise(F.array().cast("array<int>")).alias("removed"),
-    )
+    docs = without(docs, "n_lines", "removed")
+    gone = removed_lines(docs, threshold, min_words, id_col, text_col)
+    gone = gone.groupBy("id", "text_key").agg(F.sort_array(F.collect_set("no")).alias("gone"))
+    row = docs.select(F.struct("*").alias("row")).withColumn("text_key", F.xxhash64(F.col("row")[text_col]))
+    same = F.col("row")[id_col].eqNullSafe(F.col("g.id")) & (F.col("r.text_key") == F.col("g.text_key"))
+    joined = row.alias("r").join(gone.alias("g"), same, "left").select("row", "gone")
+    text = F.col("row")[text_col]
+    split = F.split(text, "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
+    whole = joined.select("row", "gone", split.alias("split"), F.when(F.col("gone").isNotNull(), places).alias("places"))
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform("places", lambda i: F.get(F.col("split"), i)), "\n"))
+    cols = [kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size("split")).cast("long")
+    return whole.select(*cols, n_lines.alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed"))

@@ -125,7 +125,7 @@ def test_lines(spark):
                 if any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
                     gone[(has, i)].append(no)
                 seen.append(s)
-    got = {(r["doc_id"] is not None, r["doc_id"] or 0): (r["removed"], r["text"]) for r in lines.dedup_lines(df).collect()}
+    got = {(r["doc_id"] is not None, r["doc_id"] or 0): (r["removed"], r["text"]) for r in lines.dedup_lines(df, min_words=5).collect()}
     for has, i, t in docs:
         removed, text = got[(has, i)]
         assert removed == gone[(has, i)]
