@@ -12,8 +12,6 @@ from floorops.llm.common import materialize, partitions, without
 
 #: Hash classes of words in the literal table that orders them by rarity.
 CLASSES = 65536
-#: A set of lines to look up is broadcast up to this many hashes (16 MB as a hash table), and shuffled beyond.
-BROADCAST_LINES = 1_000_000
 #: A line's place is its document's id times this, plus its number.
 PLACES = 10_000_000_000
 #: Sets of up to this many words have one parity of 64 classes, larger ones two.
@@ -26,7 +24,8 @@ _NO_ID = -10_000_000_000_000_000_000
 
 
 def _tokens(line: Column) -> Column:
-    return F.split(line, "[ \\t\\x0B\\f\\r]+")
+    """The words; sequences of white space and a line's ends may give empty ones."""
+    return F.split(F.when(line.rlike("[\\t\\x0B\\f\\r]"), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line), " ")
 
 
 def _words(line: Column) -> Column:
@@ -40,39 +39,24 @@ def _at(id_col: str) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, no, k1, line) of every line of the texts; ``k1`` is the line's hash, ``text_key`` the text's."""
-    some = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
-    return some.select("id", "text_key", "no", F.xxhash64("line").alias("k1"), "line")
+    """(id, text_key, no, k1, k2, line) of every line of the texts; ``k1`` and ``k2`` are the line's hashes, ``text_key`` the text's."""
+    # outer: else Spark asks for the number of lines first, and splits the text twice; so for words and keys
+    some = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.posexplode_outer(F.split(text_col, "\n")).alias("no", "line"))
+    return some.filter("line IS NOT NULL").select("id", "text_key", "no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), "line")
 
 
 def _rarity(docs: DataFrame, text_col: str) -> Column:
     """For each hash class of words, how often they occur in the corpus, on a logarithmic scale from 1 to 127; a literal array."""
-    words = docs.select(F.explode(F.split(text_col, "[ \n]")).alias("w"))
-    count = dict(words.groupBy(_class(_number("w")).alias("c")).count().collect())
+    words = docs.select(F.explode_outer(F.split(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    count = dict(words.groupBy(F.xxhash64("w").bitwiseAND(CLASSES - 1).alias("c")).count().collect())
     scale = (min(127, 1 + int(4 * math.log2(1 + count.get(c, 0)))) for c in range(CLASSES))
     return F.split(F.lit(",".join(map(str, scale))), ",").cast("array<bigint>")
 
 
-def _number(w: str | Column) -> Column:
-    """A word's hash; the last eight bits are less for a longer word."""
-    size = F.lit(255) - F.least(F.octet_length(w), F.lit(255))
-    return F.xxhash64(w).bitwiseAND(F.lit(-256)).bitwiseOR(size.cast("bigint"))
-
-
-def _class(number: Column) -> Column:
-    return F.shiftright(number, 8).bitwiseAND(F.lit(CLASSES - 1)).cast("int")
-
-
 def _ordered(line: Column, rarity: Column) -> Column:
-    """The line's different words as numbers, rare ones first: how often their class occurs, then the longer ones, then a hash."""
-
-    def ranked(x: Column) -> Column:
-        often = F.shiftleft(F.get(rarity, _class(x)), 56)
-        return often.bitwiseOR(F.shiftleft(x.bitwiseAND(255), 48)).bitwiseOR(F.shiftrightunsigned(x, 16))
-
-    none = F.lit("")
-    numbers = F.array_remove(F.array_distinct(F.transform(_tokens(line), _number)), _number(none))
-    return F.sort_array(F.transform(numbers, ranked))
+    """The line's different words as numbers, rare ones first: how often their class occurs, then a hash."""
+    hashes = F.array_remove(F.array_distinct(F.transform(_tokens(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(hashes, lambda x: F.shiftleft(F.get(rarity, x.bitwiseAND(CLASSES - 1).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
 
 
 def _parity(words: Column, odd: bool) -> Column:
@@ -80,8 +64,7 @@ def _parity(words: Column, odd: bool) -> Column:
     one = F.lit(1).cast("bigint")
 
     def turn(bits: Column, x: Column) -> Column:
-        at = F.shiftright(x, 1).bitwiseAND(63).cast("int")
-        return bits.bitwiseXOR(F.call_function("shiftleft", x.bitwiseAND(1) if odd else one, at))
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(1) if odd else one, x.bitwiseAND(63).cast("int")))
 
     return F.aggregate(words, F.lit(0).cast("bigint"), turn)
 
@@ -114,15 +97,15 @@ def profiles(lines: DataFrame, rarity: Column, threshold: float, min_words: int,
 
 
 def postings(lines: DataFrame, *kept: str) -> DataFrame:
-    """(word, kept..., np, b0, b1) for each key of the profiles; ``np`` holds the set's size and the key's position."""
-    # outer: Spark would else ask for the keys' number first, and make all of them twice
-    rows = lines.select(*kept, "n", "b0", "b1", F.posexplode_outer("keys").alias("p", "word")).filter("p IS NOT NULL")
-    return rows.select("word", *kept, (F.col("n").cast("bigint") * 65536 + F.least("p", F.lit(65535))).alias("np"), "b0", "b1")
+    """(word, kept..., np, b0, b1) for each key of the profiles; ``np`` holds the set's size, whether it has copies, and the key's position."""
+    size = (F.col("n").cast("bigint") * 2 + F.col("copied").cast("bigint")) * 65536
+    rows = lines.select(*kept, size.alias("size"), "b0", "b1", F.posexplode_outer("keys").alias("p", "word")).filter("p IS NOT NULL")
+    return rows.select("word", *kept, (F.col("size") + F.least("p", F.lit(65535))).alias("np"), "b0", "b1")
 
 
 def _fits(t: float, a: str, b: str) -> Column:
     """Whether the length, positional and parity filters pass rows of the columns with these prefixes."""
-    na, nb = (F.shiftright(F.col(f"{x}np"), 16) for x in (a, b))
+    na, nb = (F.shiftright(F.col(f"{x}np"), 17) for x in (a, b))
     pa, pb = (F.col(f"{x}np").bitwiseAND(65535) for x in (a, b))
     need = F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9)
     both, odd = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("b0", "b1"))
@@ -138,18 +121,17 @@ def _other(df: DataFrame, *same: str) -> DataFrame:
 def candidates(docs: DataFrame, rarity: Column, threshold: float, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """(k1): the hashes of lines that may have a match: those with a copy, and those that pass the filters with another line.
 
-    Equal lines are one from the start, in every task before the shuffle. The
-    join only asks whether there is a partner, so that it ends at the first one
-    and a large group of near copies makes no pairs. Both its sides are one
-    shuffle.
+    Equal lines (by 96 bits of hash) are one from the start, in every task
+    before the shuffle. The join only asks whether there is a partner, so that
+    it ends at the first one and a large group of near copies makes no pairs.
+    Both its sides are one shuffle.
     """
-    lines = lines_of(docs, id_col, text_col).select("k1", "line")
-    posted = postings(profiles(lines, rarity, threshold, min_words), "k1")
-    one = posted.groupBy("word", "k1").agg(F.min("np").alias("np"), F.min("b0").alias("b0"), F.min("b1").alias("b1"), F.count("*").alias("copies"))
-    other = _other(one)
+    profiled = profiles(lines_of(docs, id_col, text_col).select("k1", "k2", "line"), rarity, threshold, min_words)
+    first = [F.first(c).alias(c) for c in ("n", "b0", "b1", "keys")]
+    one = postings(profiled.groupBy("k1", "k2").agg(*first, (F.count("*") > 1).alias("copied")), "k1")
     partner = (F.col("o_k1") != F.col("k1")) & _fits(threshold, "", "o_")
-    found = one.join(other, (F.col("word") == F.col("o_word")) & (F.col("o_copies") > 0) & ((F.col("copies") > 1) | partner), "left_semi")
-    return found.select("k1").distinct()
+    copied = F.shiftright("np", 16).bitwiseAND(1) == 1
+    return one.join(_other(one), (one["word"] == F.col("o_word")) & (copied | partner), "left_semi").select("k1").distinct()
 
 
 def first_tries(lines: DataFrame, threshold: float) -> DataFrame:
@@ -159,7 +141,7 @@ def first_tries(lines: DataFrame, threshold: float) -> DataFrame:
     lines of the group and those just before. Near copies share a key as often
     as words, so that members of a large group are settled here, without pairs.
     """
-    keyed = lines.select("k1", "at", (F.col("n").cast("bigint") * 65536).alias("np"), "b0", "b1", F.explode(F.array_distinct(F.array("low", "high"))).alias("key"))
+    keyed = lines.select("k1", "at", (F.col("n").cast("bigint") * 131072).alias("np"), "b0", "b1", F.explode(F.array_distinct(F.array("low", "high"))).alias("key"))
     often = keyed.groupBy("key").agg(F.count("*").alias("of")).filter("of > 1")
     salted = keyed.join(often, "key").withColumn("salt", F.pmod(F.xxhash64("k1"), F.ceil(F.col("of") / GROUP)))
     dealt = salted.repartition(partitions(lines.sparkSession), "key", "salt")
@@ -205,13 +187,12 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1, i
     first compared with a few likely ones (``first_tries``); the lines that
     remain are joined with all earlier ones. Words themselves decide in both.
     """
-    spark, t = docs.sparkSession, threshold
+    t = threshold
     rarity = _rarity(docs, text_col)
     some = materialize(candidates(docs, rarity, t, min_words, id_col, text_col), "line-candidates")
-    few = F.broadcast(some) if some.count() <= BROADCAST_LINES else some
-    lines = lines_of(docs, id_col, text_col).join(few, "k1", "left_semi").withColumn("at", _at("id"))
+    lines = lines_of(docs, id_col, text_col).drop("k2").join(some, "k1", "left_semi").withColumn("at", _at("id"))
     lines = materialize(lines, "lines")
-    first = lines.groupBy("k1", "line").agg(F.min("at").alias("at"))
+    first = lines.groupBy("k1", "line").agg(F.min("at").alias("at"), F.lit(False).alias("copied"))
     texts = materialize(profiles(first, rarity, t, min_words, ends=True), "line-texts")
 
     tried = materialize(first_tries(texts, t), "line-tries")
