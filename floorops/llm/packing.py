@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import sys
-from array import array
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -15,7 +14,12 @@ from pyspark.sql import functions as F
 
 from floorops.llm.common import materialize
 
-CACHE_WORDS = 700_000
+#: Bytes that a worker's remembered pieces may take, about.
+CACHE_BYTES = 160 << 20
+#: Longer pieces are encoded each time and not remembered.
+CACHE_LENGTH = 48
+#: The tokenizer's own pattern (a fixed value), for pieces of ASCII letters in lower case.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
 
 
 def _tokenizer(path: str | None):
@@ -29,39 +33,78 @@ def _tokenizer(path: str | None):
 
 
 class WordTokens:
-    """Token ids of whole texts for a tokenizer that drops white space.
+    """Token ids (little-endian unsigned 32-bit) of whole texts, for a tokenizer that drops white space.
 
     Such a tokenizer never lets a token reach across a space or a line feed,
     so a text's ids are those of its pieces between them, one after another.
-    Each piece is encoded once and remembered; the memory is emptied when it
-    holds ``CACHE_WORDS`` pieces. A worker keeps it from task to task.
+    A piece is encoded once and remembered. One of ASCII letters and signs is
+    itself the sequence of the parts that the tokenizer's pattern finds in it,
+    which are fewer than pieces; new parts are encoded many at a time, and each
+    ends with the one token that marks a word's end. The memory is emptied when
+    it holds about ``CACHE_BYTES``. A worker keeps it from task to task.
     """
 
-    def __init__(self, path: str | None, dtype: str):
-        self.tok, self.dtype, self.known = _tokenizer(path), dtype, {"": b""}
-        self.kind = "H" if dtype == "<u2" else "I"
+    def __init__(self, path: str | None):
+        self.tok = _tokenizer(path)
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.parts, self.held = {"": b""}, {}, 0
 
     @classmethod
-    def of(cls, path: str | None, dtype: str) -> WordTokens:
-        if (path, dtype) not in _WORKER:
-            _WORKER[path, dtype] = cls(path, dtype)
-        return _WORKER[path, dtype]
-
-    def learn(self, words: set[str]) -> None:
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list(words.difference(known))
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = array(self.kind, e.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            known[w] = ids.tobytes()
+    def of(cls, path: str | None) -> WordTokens:
+        if path not in _WORKER:
+            _WORKER[path] = cls(path)
+        return _WORKER[path]
+
+    def raw(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def learn_parts(self, parts: list[str]) -> None:
+        """Encode parts joined by spaces, and cut the ids after each word's end."""
+        for lo in range(0, len(parts), 4096):
+            some = parts[lo : lo + 4096]
+            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                whole, at = ids.tobytes(), 0
+                for part, end in zip(some, (4 * ends).tolist(), strict=True):
+                    self.parts[part] = whole[at:end]
+                    at = end
+            else:
+                self.parts.update(zip(some, self.raw(some), strict=True))
+        self.held += sum(map(len, parts)) + 200 * len(parts)
+
+    def learn(self, new: list[str]) -> None:
+        if self.held > CACHE_BYTES:
+            self.clear()
+        plain = [w.isascii() and "<|" not in w for w in new]
+        found = {w: _PARTS.findall(w.lower()) for w, ok in zip(new, plain, strict=True) if ok}
+        self.learn_parts(list(set(chain.from_iterable(found.values())).difference(self.parts)))
+        get = self.parts.__getitem__
+        for w, parts in found.items():
+            self.known[w] = b"".join(map(get, parts))
+        other = [w for w, ok in zip(new, plain, strict=True) if not ok]
+        self.known.update(zip(other, self.raw(other), strict=True))
+        self.held += sum(map(len, new)) + 200 * len(new)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set(chain.from_iterable(split)))
+        new = set(chain.from_iterable(split)).difference(self.known)
+        long = [w for w in new if len(w) > CACHE_LENGTH]
+        new.difference_update(long)
+        if self.held > CACHE_BYTES:
+            self.clear()
+            new = {w for w in chain.from_iterable(split) if len(w) <= CACHE_LENGTH and w}
+        self.learn(list(new))
+        once = dict(zip(long, self.raw(long), strict=True))
         get = self.known.__getitem__
+        if once:
+            held = self.known
+            return [b"".join([once[w] if w in once else held[w] for w in words]) for words in split]
         return [b"".join(map(get, words)) for words in split]
 
     def encode(self, text: str) -> bytes:
@@ -74,30 +117,28 @@ _WORKER: dict[tuple, WordTokens] = {}
 
 def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, part, start, n, ids): each document's ids and its place in its partition's run of tokens."""
-    big = _tokenizer(tokenizer).get_vocab_size() > 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, at = TaskContext.get().partitionId(), 0
-        words = WordTokens.of(tokenizer, "<u4" if big else "<u2")
-        end = np.array([end_id], words.dtype).tobytes()
-        width = len(end)
+        words = WordTokens.of(tokenizer)
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 some = batch.slice(lo, 500)
                 ids = [x + end for x in words.encode_all([t or "" for t in some.column(1).to_pylist()])]
-                n = np.array([len(x) // width for x in ids], np.int64)
+                n = np.array([len(x) // 4 for x in ids], np.int64)
                 start = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(start), pa.array(n), pa.array(ids, pa.binary())],
-                    names=[id_col, "part", "start", "n", "ids"],
+                    names=["id", "part", "start", "n", "ids"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, part int, start long, n long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, part int, start long, n long, ids binary")
 
 
 def pack(docs: DataFrame, length: int = 4096, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,7 +150,7 @@ def pack(docs: DataFrame, length: int = 4096, tokenizer: str | None = None, end_
     sum. Second pass: a document that starts at offset g has its tokens in the
     windows g // length onward; a document that a window's edge runs through
     gives one record on each side. Nothing is shuffled and only the last
-    sequence is short.
+    sequence is short. The second pass needs no Python.
 
     Returns one row per piece: id, ``start`` (ids of the document before the
     piece), ``length``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``
@@ -119,34 +160,20 @@ def pack(docs: DataFrame, length: int = 4096, tokenizer: str | None = None, end_
     ids are documents like others; an empty table gives an empty result; other
     columns are not carried.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     tokens = materialize(tokenize(docs, tokenizer, end_id, id_col, text_col), "tokens")
-    totals = dict(tokens.groupBy("part").agg(F.sum("n")).collect())
-    offsets, at = {}, 0
-    for part in sorted(totals):
-        offsets[part], at = at, at + totals[part]
-    big = _tokenizer(tokenizer).get_vocab_size() > 1 << 16
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                some = batch.slice(lo, 1000)
-                part, start, n, ids = (some.column(i).to_pylist() for i in range(1, 5))
-                rows, pieces = [], []
-                for i, (p, s, m, raw) in enumerate(zip(part, start, n, ids, strict=True)):
-                    wide = np.frombuffer(raw, "<u4" if big else "<u2").astype("<u4").tobytes()
-                    g, done = offsets[p] + s, 0
-                    while done < m:
-                        seq, off = divmod(g + done, length)
-                        take = min(m - done, length - off)
-                        rows.append((i, done, take, m, seq, off))
-                        pieces.append(wide[4 * done : 4 * (done + take)])
-                        done += take
-                x = np.array(rows, np.int64).reshape(-1, 6)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(pa.array(x[:, 0])), pa.array(x[:, 1]), pa.array(x[:, 2]), pa.array(pieces, pa.binary()), pa.array(x[:, 3]), pa.array(x[:, 4]), pa.array(x[:, 5])],
-                    names=names,
-                )
-
-    return tokens.mapInArrow(cut, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    offsets, at = [], 0
+    for part, total in sorted(tokens.groupBy("part").agg(F.sum("n")).collect()):
+        offsets.append((part, at))
+        at += total
+    first = F.broadcast(docs.sparkSession.createDataFrame(offsets, "part int, first long"))  # one row a partition
+    size = F.lit(length).cast("bigint")
+
+    def piece(seq):
+        start = F.greatest(seq * size - F.col("g"), F.lit(0))
+        n = F.least((seq + 1) * size - F.col("g"), F.col("n")) - start
+        ids = F.substring(F.col("ids"), (start * 4 + 1).cast("int"), (n * 4).cast("int"))
+        return F.struct(start.alias("start"), n.alias("length"), ids.alias("ids"), F.col("n").alias("doc_tokens"), seq.alias("sequence_id"), (F.col("g") + start - seq * size).alias("offset"))
+
+    placed = tokens.join(first, "part").withColumn("g", F.col("first") + F.col("start"))
+    windows = F.sequence(F.expr(f"g div {int(length)}"), F.expr(f"(g + n - 1) div {int(length)}"))
+    return placed.select(F.col("id").alias(id_col), F.inline_outer(F.transform(windows, piece)))
