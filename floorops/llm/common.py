@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,20 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df if len(keep) == len(df.columns) else df.select(*[F.col(f"`{c}`") for c in keep])
 
 
+def sheltered(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but ``used`` under neutral names, and a function that gives them back, in place.
+
+    For operators that add columns or replace clashing ones: what they return
+    can be turned into rows with exactly the columns of ``df``.
+    """
+    neutral = {c: c if c in used else f"in_{i}_" for i, c in enumerate(df.columns)}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(n).alias(c) if n != c else F.col(f"`{c}`") for c, n in neutral.items()])
+
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in neutral.items()]), back
+
+
 def extended(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of ``df`` with further fields."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

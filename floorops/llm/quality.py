@@ -204,7 +204,13 @@ def quality_scores(
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, train: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``threshold``, with their columns."""
-    low = quality_scores(docs, labels, train, id_col, text_col, **options).filter(F.col("score") < threshold).select(F.col(id_col).alias("_id"), F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(text_col))
-    return keyed.join(low, keyed[id_col].eqNullSafe(low["_id"]) & (keyed["_text_key"] == low["_key"]), "left_anti").drop("_text_key")
+    """The rows of ``docs`` whose score is at least ``threshold``, with all their columns, whatever their names.
+
+    Defined cases: as for ``quality_scores``; rows are told apart by id and
+    text, so that repeated rows stay or go together and a null or repeated id
+    says nothing about other texts.
+    """
+    low = quality_scores(docs, labels, train, id_col, text_col, **options).filter(F.col("score") < threshold).select(F.col(id_col).alias("id"), "key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("text_key"))
+    kept = rows.join(low, F.col("row")[id_col].eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -43,7 +43,7 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint as a signed 64-bit number."""
+    """(id, text_key, fp): a hash of the text, and the fingerprint, as signed 64-bit numbers."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,9 +51,9 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
                 fp = np.array([fingerprint(t, size) for t in some.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(fp.view(np.int64))], names=["id", "text_key", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"id {kind}, text_key long, fp long")
 
 
 def syndrome(x: np.ndarray) -> np.ndarray:
@@ -143,6 +143,13 @@ def anchor_links(fps: DataFrame) -> DataFrame:
     return sent.mapInPandas(compare, "a long, b long")
 
 
+def _groups(fps: DataFrame) -> DataFrame:
+    """(fp, root) of every fingerprint of ``fps``: those that links connect have one root."""
+    each = fps.select("fp").distinct()
+    found = components(anchor_links(each))
+    return materialize(each.join(found, each["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def simhash_components(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id): near-duplicate groups of SimHash fingerprints.
 
@@ -157,19 +164,28 @@ def simhash_components(docs: DataFrame, size: int = 3, id_col: str = "doc_id", t
     result.
     """
     fps = materialize(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    first = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
-    found = components(anchor_links(fps.select("fp").distinct()))
-    rooted = first.join(found, first["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = materialize(rooted, "rooted")
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(names, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = _groups(fps)
+    least = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    names = groups.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = groups.join(names, "root").select("fp", "component_id")
+    return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup_simhash(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names its component, with their columns: one document of each group.
+    """One row of ``docs`` of each component of ``simhash_components``, with all columns, whatever their names.
 
-    Rows that repeat that id all stay.
+    The one with the smallest id stays, null ids last, and of several texts of
+    that id the one with the smallest hash. Rows are told apart by id and text,
+    not by id alone.
+
+    Defined cases: null, empty and word-free texts are near copies of each
+    other; of rows with the same id and text one stays, whatever else they
+    hold; an empty table gives an empty result.
     """
-    gone = simhash_components(docs, size, id_col, text_col).filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    fps = materialize(fingerprints(docs, size, id_col, text_col), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+    least = fps.groupBy("fp").agg(F.min(order).alias("least"))
+    stays = _groups(fps).join(least, "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("kept_id"), F.col("least.text_key").alias("kept_key"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"))
+    kept = rows.join(stays, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
+    return kept.dropDuplicates(["id", "text_key"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
