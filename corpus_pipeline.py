@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorops.llm.common import crc_mod, materialize
+from floorops.llm.common import crc_mod, materialize, sheltered
 from floorops.llm.decontamination import benchmark_hits
 from floorops.llm.lines import dedup_lines
 from floorops.llm.packing import pack
@@ -14,26 +14,35 @@ from floorops.llm.simhash import dedup_simhash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose calibrated quality score is below 0.3."""
+    """Drop documents whose calibrated quality score is below 0.3.
+
+    Null and empty texts are scored as empty ones; rows with one id and text
+    stay or go together; all columns come through, whatever their names.
+    """
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_mod("doc_id", 5) != 0)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that have an earlier match; ``n_chars`` follows the text, and documents without a line left go."""
-    out = dedup_lines(docs, min_words=1)
-    keep = [F.char_length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.filter(F.size("removed") < F.greatest("n_lines", F.lit(1))).select(*keep)
+    """Remove lines that have an earlier match; ``n_chars`` follows the text, and documents without a line left go.
+
+    Null and empty texts stay; null ids come first in the order of documents;
+    all columns come through, whatever their names.
+    """
+    hidden, back = sheltered(docs, "doc_id", "text")
+    out = dedup_lines(hidden)
+    out = back(out.filter(F.size("removed") < F.greatest("n_lines", F.lit(1))))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
+    """Keep one document of each group of near copies, that of the smallest id; null, empty and word-free texts are one group."""
     return dedup_simhash(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark window."""
-    hits = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return hits.filter("n_hit = 0").select(*docs.columns)
+    """Drop documents that hold a benchmark window; null and empty texts stay; all columns come through."""
+    hidden, back = sheltered(docs, "doc_id", "text")
+    return back(benchmark_hits(hidden, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit = 0"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
