@@ -104,7 +104,7 @@ def postings(lines: DataFrame, *kept: str) -> DataFrame:
 
 
 def _fits(t: float, a: str, b: str) -> Column:
-    """Whether the length, positional and parity filters pass rows of the columns with these prefixes."""
+    """Whether the length, positional and parity filters pass rows of the columns whose names begin like this."""
     na, nb = (F.shiftright(F.col(f"{x}np"), 17) for x in (a, b))
     pa, pb = (F.col(f"{x}np").bitwiseAND(65535) for x in (a, b))
     need = F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9)
@@ -129,9 +129,11 @@ def candidates(docs: DataFrame, rarity: Column, threshold: float, min_words: int
     profiled = profiles(lines_of(docs, id_col, text_col).select("k1", "k2", "line"), rarity, threshold, min_words)
     first = [F.first(c).alias(c) for c in ("n", "b0", "b1", "keys")]
     one = postings(profiled.groupBy("k1", "k2").agg(*first, (F.count("*") > 1).alias("copied")), "k1")
-    partner = (F.col("o_k1") != F.col("k1")) & _fits(threshold, "", "o_")
-    copied = F.shiftright("np", 16).bitwiseAND(1) == 1
-    return one.join(_other(one), (one["word"] == F.col("o_word")) & (copied | partner), "left_semi").select("k1").distinct()
+    # both sides by one name and not renamed: so Spark sees that they are one shuffle
+    partner = (F.col("b.k1") != F.col("a.k1")) & _fits(threshold, "a.", "b.")
+    copied = F.shiftright("a.np", 16).bitwiseAND(1) == 1
+    found = one.alias("a").join(one.alias("b"), (F.col("a.word") == F.col("b.word")) & (copied | partner), "left_semi")
+    return found.select("k1").distinct()
 
 
 def first_tries(lines: DataFrame, threshold: float) -> DataFrame:
