@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from floorops.llm.common import materialize
+
 LEAF = 64
+#: Candidates are taken in waves by a hash class of their id, of 64: each wave is three times as many as all before.
+WAVES = (0, 1, 4, 16, 64)
+#: Sums of products below this are exact in double precision.
+EXACT = 2.0**52
+LOW = np.iinfo(np.int64).min
 
 
 class BallTree:
     """Balls around integer vectors; a node bounds q.x by q.center + |q| * radius."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, ids: np.ndarray):
         self.order = np.arange(len(x))
-        self.x = x
+        self.f = x.astype(np.float64)
         self.nodes: list[tuple[int, int, int, int]] = []  # first, last, left, right
         self.center: list[np.ndarray] = []
         self.radius: list[float] = []
+        self.visited = self.leaves_scored = 0
         if len(x):
             self._build(0, len(x))
-        self.x = x[self.order]
-        self.center, self.radius = np.array(self.center), np.array(self.radius)
+        self.x, self.f, self.ids = x[self.order], self.f[self.order], ids[self.order]
+        self.most = float(np.abs(self.f).max()) if len(x) else 0.0
 
     def _build(self, lo: int, hi: int) -> int:
-        own = self.x[self.order[lo:hi]]
+        own = self.f[self.order[lo:hi]]
         center = own.mean(axis=0)
         apart = np.sqrt(((own - center) ** 2).sum(axis=1))
         me = len(self.nodes)
@@ -46,140 +55,161 @@ class BallTree:
             self.nodes[me] = (lo, hi, left, right)
         return me
 
-    def search(self, q: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query: (query, ids, scores) of its best k here, none below its ``floor``.
 
-        All queries walk the tree together. The nodes are taken in the order of
-        their largest upper bound over the queries; at each, only queries whose
-        current k-th score does not exceed their own bound there go on.
+        Branch and bound for all queries at once: of the nodes that are open,
+        the one with the largest upper bound over its queries is next. Queries
+        whose current k-th score exceeds their own bound there leave it, and a
+        node without queries is dropped with all that lies below it.
         """
         n = len(q)
-        best = np.full((n, k), -np.inf)
-        best_id = np.full((n, k), np.iinfo(np.int64).max, np.int64)
-        kth = floor.astype(np.float64).copy()
+        best = np.full((n, k), LOW)
+        best_id = np.full((n, k), np.iinfo(np.int64).max)
+        kth = floor.copy()
         if not self.nodes or not n:
             return
-        bound = q @ self.center.T + np.sqrt((q * q).sum(axis=1))[:, None] * self.radius[None, :]
-        bound += np.abs(bound) * 1e-9 + 1e-6  # above any rounding
-        leaves = [i for i, v in enumerate(self.nodes) if v[2] < 0]
-        parent = {c: i for i, v in enumerate(self.nodes) for c in v[2:] if c >= 0}
-        for leaf in leaves:  # a leaf is no better than the balls around it
-            up = leaf
-            while up in parent:
-                up = parent[up]
-                np.minimum(bound[:, leaf], bound[:, up], out=bound[:, leaf])
-        for leaf in sorted(leaves, key=lambda i: -bound[:, i].max()):
-            go = np.flatnonzero(bound[:, leaf] >= kth)
-            if not len(go):
+        qf = q.astype(np.float64)
+        length = np.sqrt((qf * qf).sum(axis=1))
+        exact = float(np.abs(qf).max()) * self.most * max(1, q.shape[1]) < EXACT
+        opened: list[tuple[float, int, np.ndarray, np.ndarray]] = []
+
+        def open_node(node: int, who: np.ndarray) -> None:
+            center, radius = self.center[node], self.radius[node]
+            reach = length[who] * (radius + np.sqrt(center @ center))
+            bound = qf[who] @ center + length[who] * radius + reach * 1e-9 + 1e-6  # above any rounding
+            go = bound >= kth[who]
+            if go.any():
+                heapq.heappush(opened, (-float(bound[go].max()), node, who[go], bound[go]))
+
+        open_node(0, np.arange(n))
+        while opened:
+            _, node, who, bound = heapq.heappop(opened)
+            who = who[bound >= kth[who]]
+            if not len(who):
+                continue
+            self.visited += 1
+            lo, hi, left, right = self.nodes[node]
+            if left >= 0:
+                open_node(left, who)
+                open_node(right, who)
                 continue
-            lo, hi = self.nodes[leaf][:2]
-            score = q[go] @ self.x[lo:hi].T
-            here = ids[self.order[lo:hi]]
-            score[here[None, :] == own[go][:, None]] = -np.inf
-            all_score = np.concatenate([best[go], score], axis=1)
-            all_id = np.concatenate([best_id[go], np.broadcast_to(here, score.shape)], axis=1)
-            take = np.lexsort((all_id, -all_score), axis=1)[:, :k]
-            best[go] = np.take_along_axis(all_score, take, 1)
-            best_id[go] = np.take_along_axis(all_id, take, 1)
-            kth[go] = np.maximum(kth[go], best[go][:, -1])
+            self.leaves_scored += 1
+            score = (qf[who] @ self.f[lo:hi].T).astype(np.int64) if exact else q[who] @ self.x[lo:hi].T
+            here = self.ids[lo:hi]
+            score[here[None, :] == own[who][:, None]] = LOW
+            hit = (score >= kth[who][:, None]).any(axis=1)
+            who, score = who[hit], score[hit]
+            all_score = np.concatenate([best[who], score], axis=1)
+            all_id = np.concatenate([best_id[who], np.broadcast_to(here, score.shape)], axis=1)
+            all_id[all_score == LOW] = np.iinfo(np.int64).max
+            take = np.lexsort((all_id, -1 - all_score), axis=1)[:, :k]  # -1 - x turns the order around without overflow
+            best[who] = np.take_along_axis(all_score, take, 1)
+            best_id[who] = np.take_along_axis(all_id, take, 1)
+            kth[who] = np.maximum(kth[who], best[who][:, -1])
         for i in range(n):
-            ok = (best[i] > -np.inf) & (best[i] >= floor[i])
-            yield i, best_id[i][ok], best[i][ok].astype(np.int64)
-
-
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
+            ok = (best[i] > LOW) & (best[i] >= floor[i])
+            if ok.any():
+                yield i, best_id[i][ok], best[i][ok]
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(id, v): floor(scale * x) of each component; vectors that are null, empty or hold null or non-finite components are left out."""
+    """(id, v): floor(scale * x) of each component, a bigint; vectors that are null, empty or hold null or non-finite components are left out."""
     x = F.col(vec_col).cast("array<double>")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return (
         vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
         .filter((F.size(vec_col) > 0) & F.coalesce(fine, F.lit(False)))
-        .select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale).cast("int")).alias("v"))
+        .select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale)).alias("v"))
     )
 
 
-def topk(
-    queries: DataFrame, candidates: DataFrame, k: int = 20, shard_rows: int = 16384, block_rows: int = 4096, min_shards: int = 64, seeds: int = 1024
-) -> DataFrame:
+def _by_length(ids: pa.Array, vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """length -> (ids, matrix) of the vectors of that length."""
+    sizes = vectors.value_lengths().to_numpy()
+    ids = ids.to_numpy()
+    out = {}
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        some = vectors if len(at) == len(sizes) else vectors.take(pa.array(at))
+        out[d] = (ids[at], some.flatten().to_numpy().astype(np.int64).reshape(len(at), d))
+    return out
+
+
+def topk(queries: DataFrame, candidates: DataFrame, k: int = 20, shard_rows: int = 16384, block_bytes: int = 32 << 20) -> DataFrame:
     """The ``k`` largest integer inner products of each query, ties to the smaller id.
 
-    Both inputs are (id long, v array<int>); a query's own row is no candidate
-    of its own. Returns query_id, rank (from 1), vec_id, score.
+    Both inputs are (id long, v array<bigint>); a query's own row is no
+    candidate of its own. Returns query_id, rank (from 1), vec_id, score.
 
-    Candidates are dealt by a hash of their id into shards of about
-    ``shard_rows`` (at least ``min_shards`` shards), queries into blocks of
-    about ``block_rows``. Each shard meets each block in one task, which builds
-    the shard's ball tree and walks it for the whole block. What a shard needs
-    to know of the others is a score that the k-th best cannot fall below:
-    ``seeds`` candidates (a fixed number, so its broadcast is bounded) are
-    scored against every query first, and the k-th score among them travels
-    with the query, so that most shards return little.
+    Queries go to the tasks in blocks of about ``block_bytes``, which bounds
+    the broadcast. For each block the candidates are taken in four waves, a
+    64th first, each three times as many as all before. A task builds a ball
+    tree over each ``shard_rows`` rows that it reads, without a shuffle, and
+    searches it for the block. After each wave the best k so far are merged,
+    and each query's k-th score goes along with it into the next wave, where it
+    cuts branches from the start: so shards return some ten times k rows a
+    query in all, however many shards there are. The candidates are read once
+    for each block.
 
     Vectors of another length than a query's are not compared with it. Repeated
     ids are candidates each, and a repeated query id is asked once, with its
-    smallest vector. Empty inputs give an empty result.
+    smallest vector. Empty inputs give an empty result. Components are exact up
+    to 64 bits, and so are scores; where doubles would round, integers are
+    multiplied.
     """
     spark = candidates.sparkSession
-    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
-    n, m = candidates.count(), queries.count()
-    shards = max(min_shards, -(-n // shard_rows))
-    blocks = max(1, -(-m // block_rows))
-    seed = {}
-    for r in candidates.limit(seeds).toLocalIterator():  # any candidates will do
-        seed.setdefault(len(r["v"]), []).append((r["id"], r["v"]))
-    seed = {d: (np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], np.float64)) for d, rows in seed.items()}
-    seed_var = spark.sparkContext.broadcast(seed)
-
-    def floors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low = -(1 << 62)
-        for p in parts:
-            size = p["v"].map(len)
-            out = np.full(len(p), low, np.int64)
-            for d, (ids, x) in seed_var.value.items():
-                at = np.flatnonzero((size == d).to_numpy())
-                if len(at):
-                    score = _matrix(p["v"].iloc[at]) @ x.T
-                    score[ids[None, :] == p["id"].to_numpy()[at][:, None]] = -np.inf
-                    if score.shape[1] >= k:
-                        kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-                        out[at] = np.where(np.isfinite(kth), kth, low).astype(np.int64)
-            yield p.assign(floor=out)
-
-    q = (
-        queries.mapInPandas(floors, "id long, v array<int>, floor long")
-        .withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    )
-    c = (
-        candidates.withColumn("floor", F.lit(None).cast("long"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    )
-    names = ["query_id", "vec_id", "score"]
-
-    def cell(p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        size = p["v"].map(len)
-        for d in size.unique():
-            some = p[size == d]
-            has = some["floor"].notna()
-            a, b = some[has], some[~has]
-            if len(a) and len(b):
-                ids, own = b["id"].to_numpy(np.int64), a["id"].to_numpy(np.int64)
-                tree = BallTree(_matrix(b["v"]))
-                for i, who, score in tree.search(_matrix(a["v"]), ids, own, k, a["floor"].to_numpy(np.float64)):
-                    out.append(pd.DataFrame({"query_id": own[i], "vec_id": who, "score": score}))
-        return pd.concat(out)[names] if out else pd.DataFrame({c: np.array([], np.int64) for c in names})
-
-    cols = ["shard", "block", "id", "v", "floor"]
-    found = q.select(cols).unionByName(c.select(cols)).groupBy("shard", "block").applyInPandas(cell, "query_id long, vec_id long, score long")
+    queries = materialize(queries.groupBy("id").agg(F.min("v").alias("v")), "queries")
+    size = queries.agg(F.sum(F.size("v") * F.lit(8).cast("bigint"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(best).cast("int"))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    done = None
+    for b in range(blocks):
+        got = queries.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)) == b).toArrow().combine_chunks()
+        block = _by_length(*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in got.columns)) if len(got) else {}
+        running, floors = None, {}
+        for lo, hi in zip(WAVES, WAVES[1:], strict=False):
+            floor = {d: np.array([floors.get(i, LOW) for i in ids.tolist()], np.int64) for d, (ids, _) in block.items()}
+            sent = spark.sparkContext.broadcast((block, floor))
+            turn = F.pmod(F.xxhash64("id"), F.lit(WAVES[-1]))
+            found = candidates.filter((turn >= lo) & (turn < hi)).select("id", "v").mapInArrow(_search(sent, k, shard_rows), "query_id long, vec_id long, score long")
+            found = found if running is None else running.unionByName(found)
+            running = materialize(found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k), "topk").select("query_id", "vec_id", "score", "rank")
+            if hi < WAVES[-1]:
+                floors = dict(running.filter(F.col("rank") == k).select("query_id", "score").collect())  # one for each query of the block
+                running = running.drop("rank")
+            sent.unpersist()
+        done = running if done is None else done.unionByName(running)
+    return done.select("query_id", "rank", "vec_id", "score")
+
+
+def _search(sent, k: int, shard_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, floor = sent.value
+
+        def shard(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            if not len(rows):
+                return
+            for d, (ids, x) in _by_length(*(c.combine_chunks() for c in rows.columns)).items():
+                if d not in block:
+                    continue
+                own, q = block[d]
+                found = list(BallTree(x, ids).search(q, own, k, floor[d]))
+                if found:
+                    asked = np.repeat(own[[i for i, _, _ in found]], [len(w) for _, w, _ in found])
+                    who, score = (np.concatenate([f[j] for f in found]) for j in (1, 2))
+                    yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(who), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+        held, n = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, shard_rows):
+                held.append(batch.slice(lo, shard_rows))
+                n += held[-1].num_rows
+                if n >= shard_rows:
+                    yield from shard(held)
+                    held, n = [], 0
+        if held:
+            yield from shard(held)
+
+    return run

@@ -12,7 +12,7 @@ from floorops.llm import html, lines, packing, queries, sharding, simhash, subst
 from floorops.llm.common import crc_mod
 from floorops.llm.decontamination import benchmark_hits
 from floorops.llm.quality import quality_scores
-from floorops.llm.topk import quantized, topk
+from floorops.llm.topk import BallTree, quantized, topk
 from floorops.llm.toxicity import toxicity_scores
 
 DDL = "doc_id long, text string, shard string, fp string, n_words string"
@@ -193,7 +193,7 @@ def test_topk(spark):
     rows = [(i, v[i].tolist()) for i in range(300)] + [(300, None), (301, [1.0, None] + [0.0] * 6), (302, [float("nan")] * 8), (320, [])]
     q = quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = collections.defaultdict(list)
-    for r in topk(q.filter("id % 20 = 0"), q, 5, min_shards=3, block_rows=4, seeds=16).orderBy("query_id", "rank").collect():
+    for r in topk(q.filter("id % 20 = 0"), q, 5, shard_rows=70, block_bytes=300).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     x = np.floor(64 * v.astype(np.float64)).astype(int)
     for i in range(0, 300, 20):
@@ -202,6 +202,39 @@ def test_topk(spark):
     assert len(got) == 15
 
 
+def test_topk_with_large_components_is_exact(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-(2**26), 2**26, (60, 4)).astype(float)
+    v[7] = v[3]
+    v[9, 0] = 5e7  # floor(64 x) is beyond 32 bits
+    rows = [(i, (v[i] / (1 if i % 2 else 1024)).tolist()) for i in range(60)] + [(3, v[3].tolist())]
+    q = quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    x = [[int(np.floor(64 * c)) for c in r[1]] for r in rows]
+    got = collections.defaultdict(list)
+    for r in topk(q.filter("id % 20 = 0"), q, 6, shard_rows=16).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert sorted(got) == [0, 20, 40]
+    for i in got:
+        s = [(-sum(a * b for a, b in zip(x[i], y, strict=True)), rows[j][0]) for j, y in enumerate(x) if rows[j][0] != i]
+        assert got[i] == [(j, -c) for c, j in sorted(s)[:6]]
+    none = q.filter("false")
+    assert topk(none, q).count() == 0 and topk(q, none).count() == 0
+
+
+def test_ball_tree_leaves_out_branches():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.integers(-9, 9, (400, 6)) + c * 60 for c in rng.integers(-9, 9, (20, 6))])
+    ids = rng.permutation(len(x))
+    tree = BallTree(x, ids)
+    q = x[:3]
+    got = {i: list(zip(w.tolist(), s.tolist(), strict=True)) for i, w, s in tree.search(q, ids[:3], 5, np.full(3, -(2**62)))}
+    for i in range(3):
+        s = x @ q[i]
+        assert got[i] == [(int(ids[j]), int(s[j])) for j in sorted((j for j in range(len(x)) if ids[j] != ids[i]), key=lambda j: (-s[j], ids[j]))[:5]]
+    leaves = sum(n[2] < 0 for n in tree.nodes)
+    assert tree.leaves_scored < leaves / 4 and tree.visited < len(tree.nodes) / 2
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>Menu</a></nav><div class="cookie-notice">We use cookies</div>
 <div class="post-7 content"><h1>Ti&amp;tle</h1><p>One <b>two
  three<p>Four&nbsp;five<br>six<div class="ad">Buy</div><form><p>mail</p></form><script>"</p>"</script></div><aside>More</aside><section id="comments"><p>Nice post</p></section><footer>&copy;</footer></body></html>"""
