@@ -9,8 +9,9 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from floorops.llm.common import extended, materialize, without
+from floorops.llm.common import extended, materialize, sheltered, without
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -21,13 +22,19 @@ BLOCK = frozenset(
 )
 CONTAINERS = frozenset("article body center div main section td".split())
 #: Elements that never hold main text.
-DROPPED = frozenset("nav aside footer form script style noscript template iframe svg button select menu dialog head object canvas audio video map textarea title".split())
-#: Words in class, id or role that mark what is no main text.
+DROPPED = frozenset("nav aside footer script style noscript template iframe svg button select menu dialog head object canvas audio video map textarea title".split())
+#: Words in class, id or role that mark what is no main text, whatever its size.
+FOREIGN = re.compile(
+    r"(?:^|[_-])(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|popup|modal|overlay|subscribe\w*|newsletter\w*|signup|login|comments?\w*|commentlist|replies|reply|respond|disqus"
+    r"|discussion|reactions|pagination|pager|hidden|sr-only|copyright|legal|disclaimer|contentinfo)(?:$|[_-])"
+)
+#: Words that mark it unless the element holds most of the page's text.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebars?|side|aside|footer|foot|masthead|site-?header|page-?header|top-?bar|toolbar"
-    r"|cookies?\w*|consent|gdpr|notices?|notifications?|alert|popup|modal|overlay|subscribe\w*|newsletter\w*|signup|login|search\w*|share\w*|sharing|social\w*|related\w*|recommend\w*|trending|popular|widgets?"
-    r"|comments?\w*|commentlist|replies|reply|respond|disqus|discussion|reactions|tags?|tag-?list|pagination|pager|skip\w*|hidden|sr-only|copyright|legal|disclaimer|complementary|contentinfo|navigation)(?:$|[\s_-])"
+    r"(?:^|[_-])(?:nav\w*|menu\w*|breadcrumbs?|sidebars?|side|aside|footer|foot|masthead|site-?header|page-?header|top-?bar|toolbar|notices?|notifications?|alert|search\w*|share\w*|sharing|social\w*|related\w*"
+    r"|recommend\w*|trending|popular|widgets?|tags?|tag-?list|skip\w*|complementary|navigation)(?:$|[_-])"
 )
+#: Class names that say what a page has or how a post is filed, not what the element is.
+ABOUT = re.compile(r"(?:has|no|with|without|is|tag|category|format|status)[_-].")
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content\w*|post\w*|entry\w*|story\w*|text|body|page)(?:$|[\s_-])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -37,139 +44,222 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "parent", "heading")
+    """``path`` is a hash of the tags and classes from the root, made of the parent's; ``node`` its number in the page."""
+
+    __slots__ = ("tag", "own", "parent", "node", "box", "article", "hard", "soft", "size", "heading", "named")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None):
         self.tag, self.parent = tag, parent
         got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
-        names = f"{got.get('class', '')} {got.get('id', '')} {got.get('role', '')}".lower()
-        hidden = "hidden" in got or got.get("aria-hidden") == "true" or bool(_HIDDEN.search(got.get("style", "")))
+        names = f"{got.get('class', '')} {got.get('id', '')} {got.get('role', '')}".lower().split()
+        telling = [n for n in names if not ABOUT.match(n)]
         kept = tag in ("html", "body", "main", "article")
-        page_header = tag == "header" and not (parent and parent.inside("article", "main"))
-        self.noise = hidden or tag in DROPPED or page_header or (not kept and bool(NOISE.search(names)))
+        foreign = not kept and any(map(FOREIGN.search, telling))
+        noise = not kept and any(map(NOISE.search, telling))
+        hidden = "hidden" in got or got.get("aria-hidden") == "true" or bool(_HIDDEN.search(got.get("style", "")))
+        self.article = tag in ("article", "main") or (parent is not None and parent.article)
+        dropped = tag in DROPPED or (tag == "header" and not self.article)
+        self.hard = hidden or dropped or (tag not in BLOCK and (foreign or noise)) or (parent is not None and parent.hard)
+        #: 2: dropped if it is not the page's headline and text, 1: or if it isn't called like main text, 0: kept
+        self.soft = 2 if foreign else 1 if noise or tag == "form" else 0
+        self.named = bool(GOOD.search(" ".join(telling)))
         name = " ".join(sorted(_DIGITS.sub("#", got.get("class", "")).lower().split()))
-        own = tag + ("." + name.replace(" ", ".") if name else "")
-        self.path = f"{parent.path}>{own}" if parent else own
-
-    def inside(self, *tags: str) -> bool:
-        e = self
-        while e is not None:
-            if e.tag in tags:
-                return True
-            e = e.parent
-        return False
+        self.own = tag + ("." + name.replace(" ", ".") if name else "")
+        self.box = self if tag in CONTAINERS or parent is None else parent.box
+        self.size, self.heading, self.node = 0, tag == "h1", 0
+
+
+class Page:
+    """The elements that stand open, and the blocks of text found so far.
+
+    Places in the stack of each tag, of blocks and of scopes are kept, so that
+    no tag looks through the stack, however deep it is.
+    """
+
+    def __init__(self) -> None:
+        root = Element("html", "", None)
+        self.elements, self.stack = [root], [root]
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = [0]
+        self.scopes: list[int] = [0]
+        self.blocks: list[tuple[Element, str, int]] = []
+        self.text: list[str] = []
+        self.links = self.linked = 0
+
+    def open(self, tag: str, attrs: str) -> None:
+        e = Element(tag, attrs, self.stack[-1])
+        at = len(self.stack)
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            self.block_places.append(at)
+        if tag in SCOPES or e.hard and not self.stack[-1].hard:
+            self.scopes.append(at)
+        self.stack.append(e)
+        self.elements.append(e)
+
+    def close(self, upto: int) -> None:
+        while len(self.stack) > upto:
+            at = len(self.stack) - 1
+            self.places[self.stack.pop().tag].pop()
+            for places in (self.block_places, self.scopes):
+                if places[-1] == at:
+                    places.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def add(self, piece: str) -> None:
+        if not self.stack[-1].hard:
+            self.text.append(piece)
+            self.linked += len(piece) * bool(self.links)
+
+    def flush(self) -> None:
+        """End the block of text, unless it goes on after what is dropped here."""
+        if self.stack[-1].hard:
+            return
+        if self.text:
+            whole = _SPACE.sub(" ", unescape("".join(self.text))).strip()
+            if whole:
+                self.blocks.append((self.stack[self.block_places[-1]], whole, self.linked))
+            self.text.clear()
+        self.linked = 0
+
+    def start(self, tag: str, attrs: str) -> None:
+        if tag in BLOCK:
+            self.flush()
+            scope = self.scopes[-1]
+            if tag in LISTED and self.last(tag) > scope:
+                self.close(self.last(tag))
+            elif self.last("p") > scope:
+                self.close(self.last("p"))
+        if tag in VOID or tag == "html" or attrs.endswith("/") and tag not in BLOCK:
+            return
+        if tag == "a":
+            self.links += 1
+        self.open(tag, attrs)
+
+    def end(self, tag: str) -> None:
+        if tag == "a":
+            self.links = max(0, self.links - 1)
+        at = self.last(tag)
+        if tag in BLOCK:
+            self.flush()
+        if at and (tag in BLOCK or self.block_places[-1] <= at or self.stack[at].hard):
+            self.close(at)
 
-    def container(self) -> Element:
-        e = self
-        while e.parent is not None and e.tag not in CONTAINERS:
-            e = e.parent
-        return e
+
+#: Elements of which a new one ends an open one, and elements beyond which a start tag ends nothing.
+LISTED = frozenset("li td th tr dd dt option".split())
+SCOPES = frozenset("ul ol table div article section body dl select".split())
 
 
 def blocks(html: str) -> list[tuple[Element, str, int]]:
-    """(innermost element, text, characters in links) of each block of text outside dropped elements, in page order.
+    """(innermost block element, text, characters in links) of each block of text outside dropped elements, in page order.
 
     Tags may be left open: a block element ends an open paragraph, an end tag
     closes what stands open inside it, and end tags without a start are passed
-    over.
+    over. Text inside dropped inline elements is left out of its block, and the
+    block goes on after them.
     """
-    root = Element("html", "", None)
-    stack, dropped = [root], [0]
-    out: list[tuple[Element, str, int]] = []
-    text: list[str] = []
-    linked = links = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if text:
-            whole = _SPACE.sub(" ", unescape("".join(text))).strip()
-            if whole and not dropped[-1]:
-                e = stack[-1]
-                while e.tag not in BLOCK and e.parent is not None:
-                    e = e.parent
-                out.append((e, whole, linked))
-            text.clear()
-        linked = 0
-
-    def close(upto: int) -> None:
-        del stack[upto:], dropped[upto:]
-
+    page = Page()
     at, n = 0, len(html)
-    for m in iter(lambda: _TOKEN.search(html, at), None):
+    while m := _TOKEN.search(html, at):
         if m.start() > at:
-            piece = html[at : m.start()]
-            text.append(piece)
-            linked += len(piece) * bool(links)
+            page.add(html[at : m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag, attrs = (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
         if not tag:
             continue
         if m[1] or m[4]:
-            if tag == "a":
-                links = max(0, links - 1)
-            if tag in BLOCK:
-                flush()
-            found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if found and not (tag not in BLOCK and any(e.tag in BLOCK for e in stack[found:])):
-                close(found)
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            page.end(tag)
+        elif tag in RAW:
+            end = _RAW_END[tag].search(html, at)
             at = end.end() if end else n
-            continue
-        if tag == "br":
-            text.append(" ")
-            continue
-        if tag in BLOCK:
-            flush()
-            if tag != "html":
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        close(i)
-                        break
-                    if stack[i].tag == tag and tag in ("li", "td", "th", "tr", "dd", "dt", "option"):
-                        close(i)
-                        break
-                    if stack[i].tag in ("ul", "ol", "table", "div", "article", "section", "body", "dl", "select"):
-                        break
-        if tag in VOID or tag == "html" or (m[3] or m[6] or "").endswith("/") and tag not in BLOCK:
-            continue
-        if tag == "a":
-            links += 1
-        e = Element(tag, m[3] or m[6] or "", stack[-1])
-        stack.append(e)
-        dropped.append(dropped[-1] or e.noise)
-    if at < n:
-        rest = html[at:]
-        text.append(rest if not re.match(r"<[a-zA-Z/!]", rest) else "")
-        linked += len(text[-1]) * bool(links)
-    flush()
-    return out
-
-
-def container_scores(found: list[tuple[Element, str, int]]) -> dict[str, float]:
-    """Score of each generalised container path of a page: text outside links, raised or lowered by its names."""
-    scores: dict[str, float] = {}
+        elif tag == "br":
+            page.add(" ")
+        else:
+            page.start(tag, attrs)
+    rest = html[at:]
+    if rest and not re.match(r"<[a-zA-Z/!]", rest):
+        page.add(rest)
+    page.close(1)
+    page.flush()
+    return _without_noise(page)
+
+
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
+def _without_noise(page: Page) -> list[tuple[Element, str, int]]:
+    """The blocks outside elements that are called like noise, but for those that hold most of the text.
+
+    An element that holds half of the page's text is kept if it also has the
+    page's headline, or a name of main text beside that of slight noise.
+    """
+    total = 0
+    for e, text, linked in page.blocks:
+        own = max(0, len(text) - linked)
+        e.size += own
+        total += own
+    for e in reversed(page.elements[1:]):
+        e.parent.size += e.size
+        e.parent.heading = e.parent.heading or e.heading
+    for e in page.elements[1:]:
+        large = 2 * e.size >= total and total > 0 and (e.heading or (e.soft == 1 and (e.named or e.tag == "form")))
+        e.hard = e.hard or (e.soft > 0 and not large) or e.parent.hard
+    return [b for b in page.blocks if not b[0].hard]
+
+
+class Paths:
+    """The different paths of a page as (hash, place of the parent's path), parents first."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[int, str], int] = {}
+        self.hashes: list[int] = []
+        self.parents: list[int] = []
+
+    def of(self, e: Element) -> int:
+        """Place of an element's path; those above it are added with it."""
+        todo = []
+        while e is not None and not e.node:
+            todo.append(e)
+            e = e.parent
+        for x in reversed(todo):
+            up = x.parent.node - 1 if x.parent is not None else -1
+            at = self.known.setdefault((up, x.own), len(self.hashes))
+            if at == len(self.hashes):
+                above = self.hashes[up] if up >= 0 else 0
+                self.hashes.append(xxh64_intdigest(f"{above}>{x.own}".encode("utf-8", "replace")) - (1 << 63))
+                self.parents.append(up)
+            x.node = at + 1
+        return (todo[0] if todo else e).node - 1
+
+
+def container_scores(found: list[tuple[Element, str, int]], paths: Paths) -> dict[int, float]:
+    """Score of each generalised container path of a page, by its place: text outside links, raised or lowered by its names."""
+    scores: dict[int, float] = {}
+    last: dict[int, Element] = {}
     for e, text, linked in found:
         own = max(0, len(text) - 2 * linked)
         if e.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "li"):
             own /= 2
-        c = e.container()
+        c: Element | None = e.box
         share = 1.0
         while c is not None and share > 0.1:
-            if c.tag in CONTAINERS or c.parent is None:
-                scores[c.path] = scores.get(c.path, 0.0) + own * share
-                share /= 1.25
-            c = c.parent
-    for path in scores:
-        last = path.rpartition(">")[2]
-        tag, _, names = last.partition(".")
+            at = paths.of(c)
+            scores[at] = scores.get(at, 0.0) + own * share
+            last[at] = c
+            share /= 1.25
+            c = c.parent.box if c.parent is not None else None
+    for at, e in last.items():
+        tag, _, names = e.own.partition(".")
         if tag in ("article", "main"):
-            scores[path] *= 1.5
+            scores[at] *= 1.5
         elif GOOD.search(names.replace(".", " ")):
-            scores[path] *= 1.3
+            scores[at] *= 1.3
         elif tag in ("body", "html"):
-            scores[path] *= 0.9
+            scores[at] *= 0.9
     return scores
 
 
@@ -179,71 +269,96 @@ def _host(url_col: str):
 
 
 def read_blocks(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Put in place of the html: ``_blocks`` (path, text), ``_best`` (path of the best container) and ``_score`` (its score)."""
+    """Put in place of the html what later passes need.
+
+    ``_hashes`` and ``_parents`` are the different paths of the page that hold
+    text (a hash, and the place of the path above), ``_blocks`` the blocks
+    (place of the path, text), ``_best`` the best container's hash, ``_score``
+    its score. So a page takes no more room than its html, however deep.
+    """
     names, at = pages.columns, pages.columns.index(html_col)
     rest = [i for i in range(len(names)) if i != at]
-    kind = "array<struct<path:string,text:string>>"
+    new = ["_hashes", "_parents", "_blocks", "_best", "_score"]
+    block = pa.list_(pa.struct([("path", pa.int32()), ("text", pa.string())]))
+    types = [pa.list_(pa.int64()), pa.list_(pa.int32()), block, pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                out: list[list] = [[], [], []]
+            for lo in range(0, batch.num_rows, 200):
+                some = batch.slice(lo, 200)
+                out: list[list] = [[] for _ in new]
                 for html in some.column(at).to_pylist():
-                    found = blocks(html or "")
-                    scores = container_scores(found)
-                    best = max(scores, key=lambda p: (scores[p], p)) if scores else None
-                    for column, v in zip(out, ([{"path": e.path, "text": t} for e, t, _ in found], best, int(scores.get(best, 0))), strict=True):
+                    found, paths = blocks(html or ""), Paths()
+                    rows = [{"path": paths.of(e), "text": t} for e, t, _ in found]
+                    scores = container_scores(found, paths)
+                    best = max(scores, key=lambda p: (scores[p], paths.hashes[p])) if scores else None
+                    values = (paths.hashes, paths.parents, rows, None if best is None else paths.hashes[best], int(scores.get(best, 0)))
+                    for column, v in zip(out, values, strict=True):
                         column.append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [*(some.column(i) for i in rest), pa.array(out[0], block), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())],
-                    names=[*(names[i] for i in rest), "_blocks", "_best", "_score"],
-                )
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in rest), *map(pa.array, out, types)], names=[*(names[i] for i in rest), *new])
 
-    schema = extended(pages.drop(html_col), f"_blocks {kind}, _best string, _score long")
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(run, extended(pages.drop(html_col), "_hashes array<long>, _parents array<int>, _blocks array<struct<path:int,text:string>>, _best long, _score long"))
 
 
 def host_paths(read: DataFrame) -> DataFrame:
-    """(_host, _path): the container path that most pages of a host score highest; ties to the higher score, then the path."""
+    """(_host, _path): the container path that most pages of a host score highest; ties to the higher score, then the path's hash."""
     votes = read.filter(F.col("_best").isNotNull()).groupBy("_host", "_best").agg(F.count("*").alias("n"), F.sum("_score").alias("score"))
     return votes.groupBy("_host").agg(F.max_by("_best", F.struct("n", "score", "_best")).alias("_path"))
 
 
+def _texts(joined: DataFrame, kept: list[str]) -> DataFrame:
+    """The kept columns and ``main_text``: the blocks under the host's path, or under the page's own best one if none is."""
+    schema = extended(joined.select(*[F.col(f"`{c}`") for c in kept]), "main_text string")
+    names = joined.columns
+    rest = [names.index(c) for c in kept]
+    hashes, parents, rows, best, path = (names.index(c) for c in ("_hashes", "_parents", "_blocks", "_best", "_path"))
+
+    def under(page: tuple, win: int | None) -> list[str]:
+        inside: list[bool] = []
+        for h, up in zip(page[0], page[1], strict=True):
+            inside.append(h == win or (up >= 0 and inside[up]))
+        return [b["text"] for b in page[2] if inside[b["path"]]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                some = batch.slice(lo, 200)
+                out = []
+                for *page, own, win in zip(*(some.column(i).to_pylist() for i in (hashes, parents, rows, best, path)), strict=True):
+                    out.append("\n".join(under(page, win) or under(page, own)))
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in rest), pa.array(out, pa.string())], names=[*kept, "main_text"])
+
+    return joined.mapInArrow(run, schema)
+
+
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """The article of each page, by its host's consensus: ``pages`` with ``main_text`` in place of the html.
 
     Each page's containers are scored by their text outside links; each page
     votes for the tag-and-class path of its best container (digits in classes
-    count as one sign); Spark counts the votes per host, where votes are summed
-    before the shuffle, so a hot host is no burden; every page is then
-    extracted at its host's winning path, or at its own best container if it
-    has no block under that path. Menus, headers, footers, sidebars, notices,
-    adverts, forms, comments, scripts and styles are left out; blocks are
-    trimmed, white space in them becomes one space, and they are joined by line
-    feeds. The pages are parsed once; their blocks are written to the shared
-    folder, and votes and extraction work on those.
+    count as one sign; a 64-bit hash stands for the path); Spark counts the
+    votes per host, where votes are summed before the shuffle, so a hot host is
+    no burden; every page is then extracted at its host's winning path, or at
+    its own best container if it has no block under that path. Menus, headers,
+    footers, sidebars, notices, adverts, forms, comments, scripts and styles are
+    left out, but names alone do not drop an element that holds most of the
+    page's text. Blocks are trimmed, white space in them becomes one space, and
+    they are joined by line feeds. The pages are parsed once; their blocks are
+    written to the shared folder, and votes and extraction work on those.
 
     The winning paths are broadcast if a count shows them within
     ``broadcast_bytes``; beyond that they are joined by host.
 
     Defined cases: null or empty html gives an empty text; pages without a host
-    in the url vote together; repeated pages vote each; an empty table gives an
-    empty result; an input column called ``main_text`` is replaced.
+    in the url vote together; repeated pages vote each; time and memory grow
+    with the html, not with its depth; an empty table gives an empty result; an
+    input column called ``main_text`` is replaced, others are kept.
     """
-    pages = without(pages, "main_text", "_host", "_path", "_blocks", "_best", "_score")
+    pages, back = sheltered(without(pages, "main_text"), url_col, html_col)
     read = materialize(read_blocks(pages, html_col), "blocks").withColumn("_host", _host(url_col))
     winners = materialize(host_paths(read), "paths")
-    size = winners.agg(F.sum(F.octet_length("_host") + F.octet_length("_path") + 16)).first()[0] or 0
+    size = winners.agg(F.sum(F.octet_length("_host") + 24)).first()[0] or 0
     joined = read.join(F.broadcast(winners) if size <= broadcast_bytes else winners, "_host", "left")
-
-    def under(path: str):
-        inside = F.filter("_blocks", lambda b: (b["path"] == F.col(path)) | b["path"].startswith(F.concat(F.col(path), F.lit(">"))))
-        return F.transform(inside, lambda b: b["text"])
-
-    voted = F.coalesce(under("_path"), F.array().cast("array<string>"))
-    own = F.coalesce(under("_best"), F.array().cast("array<string>"))
-    text = F.array_join(F.when(F.size(voted) > 0, voted).otherwise(own), "\n")
-    keep = [F.col(f"`{c}`") for c in pages.columns if c != html_col]
-    return joined.select(*keep, text.alias("main_text"))
+    kept = [c for c in pages.columns if c != html_col]
+    named = back(_texts(joined, kept).withColumn(html_col, F.col("main_text")))
+    return named.select(*[F.col(f"`{c}`") for c in named.columns if c != html_col], F.col(f"`{html_col}`").alias("main_text"))
