@@ -20,6 +20,8 @@ ONE_PARITY = 64
 GROUP = 10_000
 #: Lines tried from the front of such a group, and from just before a line.
 TRIES = 3
+#: The four parities of candidates.
+FINE = ["c0", "c1", "c2", "c3"]
 _NO_ID = -10_000_000_000_000_000_000
 
 
@@ -28,11 +30,6 @@ def _tokens(line: Column) -> Column:
     return F.split(F.when(line.rlike("[\\t\\x0B\\f\\r]"), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line), " ")
 
 
-def _words(line: Column) -> Column:
-    """Different words of a line."""
-    return F.array_remove(F.array_distinct(_tokens(line)), "")
-
-
 def _at(id_col: str) -> Column:
     """Place of a line in the order of (id, line number), null ids first."""
     return (F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(str(_NO_ID)).cast("decimal(20,0)")) * F.lit(PLACES) + F.col("no")).cast("decimal(31,0)")
@@ -69,18 +66,28 @@ def _parity(words: Column, odd: bool) -> Column:
     return F.aggregate(words, F.lit(0).cast("bigint"), turn)
 
 
-def _shared(a: str, b: str) -> Column:
-    return F.size(F.array_intersect(_words(F.col(a)), _words(F.col(b))))
+def _parities(words: Column) -> list[Column]:
+    """256 bits of a set, as four numbers."""
+
+    def quarter(i: int) -> Column:
+        def turn(bits: Column, x: Column) -> Column:
+            own = (F.shiftright(x, 6).bitwiseAND(3) == i).cast("bigint")
+            return bits.bitwiseXOR(F.call_function("shiftleft", own, x.bitwiseAND(63).cast("int")))
+
+        return F.aggregate(words, F.lit(0).cast("bigint"), turn)
 
+    return [quarter(i) for i in range(4)]
 
-def profiles(lines: DataFrame, rarity: Column, threshold: float, min_words: int, ends: bool = False) -> DataFrame:
+
+def profiles(lines: DataFrame, rarity: Column, threshold: float, min_words: int, fine: bool = False) -> DataFrame:
     """``lines`` (with k1, line), with what the filters need in place of the line.
 
     ``n`` words, parities ``b0`` and ``b1`` of the set, and ``keys``: the prefix
     of the rarest words, of which two matching sets share one. Sets so small
     that only equal ones match have one key, the hash of the set; those of
-    fewer than ``min_words`` words have none. ``ends`` adds
-    the least and the greatest hash of the words.
+    fewer than ``min_words`` words have none. ``fine`` gives four parities
+    instead, and adds the words as numbers, and the least and the greatest of
+    their hashes.
     """
     t = threshold
     kept = [c for c in lines.columns if c != "line"]
@@ -89,29 +96,39 @@ def profiles(lines: DataFrame, rarity: Column, threshold: float, min_words: int,
     prefix = F.slice("w", F.lit(1), (n - F.ceil(n * F.lit(t) - 1e-9) + 1).cast("int"))
     whole = F.array(F.xxhash64("w"))
     keys = F.when(n < max(1, min_words), F.slice("w", 1, 0)).when(n < t / (1 - t) - 1e-9 if t < 1 else F.lit(True), whole).otherwise(prefix)
-    cols = [n.alias("n"), _parity(F.col("w"), False).alias("b0"), F.when(n > ONE_PARITY, _parity(F.col("w"), True)).otherwise(F.lit(0).cast("bigint")).alias("b1"), keys.alias("keys")]
-    if ends:
+    if fine:
         hashes = F.transform("w", lambda x: F.xxhash64(x))
-        cols += [F.array_min(hashes).alias("low"), F.array_max(hashes).alias("high"), "line"]
-    return sets.select(*kept, *cols)
+        more = [*_parities(F.col("w")), F.array_min(hashes).alias("low"), F.array_max(hashes).alias("high"), F.col("w")]
+        more[:4] = [c.alias(b) for c, b in zip(more, FINE, strict=False)]
+    else:
+        more = [_parity(F.col("w"), False).alias("b0"), F.when(n > ONE_PARITY, _parity(F.col("w"), True)).otherwise(F.lit(0).cast("bigint")).alias("b1")]
+    return sets.select(*kept, n.alias("n"), keys.alias("keys"), *more)
 
 
 def postings(lines: DataFrame, *kept: str) -> DataFrame:
-    """(word, kept..., np, b0, b1) for each key of the profiles; ``np`` holds the set's size, whether it has copies, and the key's position."""
+    """(word, kept..., np) for each key of the profiles; ``np`` holds the set's size, whether it has copies, and the key's position."""
     size = (F.col("n").cast("bigint") * 2 + F.col("copied").cast("bigint")) * 65536
-    rows = lines.select(*kept, size.alias("size"), "b0", "b1", F.posexplode_outer("keys").alias("p", "word")).filter("p IS NOT NULL")
-    return rows.select("word", *kept, (F.col("size") + F.least("p", F.lit(65535))).alias("np"), "b0", "b1")
+    rows = lines.select(*kept, size.alias("size"), F.posexplode_outer("keys").alias("p", "word")).filter("p IS NOT NULL")
+    return rows.select("word", *kept, (F.col("size") + F.least("p", F.lit(65535))).alias("np"))
+
 
+def _fits(t: float, a: str, b: str, fine: bool = False) -> Column:
+    """Whether the length, positional and parity filters pass rows of the columns whose names begin like this.
 
-def _fits(t: float, a: str, b: str) -> Column:
-    """Whether the length, positional and parity filters pass rows of the columns whose names begin like this."""
+    The positional filter takes the shared word for the first one, as which it
+    must pass if the sets match: so a pair that shares many is not found for
+    each of them.
+    """
     na, nb = (F.shiftright(F.col(f"{x}np"), 17) for x in (a, b))
     pa, pb = (F.col(f"{x}np").bitwiseAND(65535) for x in (a, b))
     need = F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9)
-    both, odd = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("b0", "b1"))
-    two = F.bit_count(both.bitwiseXOR(odd)) + F.bit_count(odd)
-    differ = F.when((na > ONE_PARITY) & (nb > ONE_PARITY), two).otherwise(F.bit_count(both))
-    return (na >= nb * t - 1e-9) & (nb >= na * t - 1e-9) & (F.least(na - pa, nb - pb) + F.least(pa, pb) >= need) & (differ <= na + nb - 2 * need)
+    if fine:
+        differ = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in FINE), F.lit(0))
+    else:
+        both, odd = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("b0", "b1"))
+        two = F.bit_count(both.bitwiseXOR(odd)) + F.bit_count(odd)
+        differ = F.when((na > ONE_PARITY) & (nb > ONE_PARITY), two).otherwise(F.bit_count(both))
+    return (na >= nb * t - 1e-9) & (nb >= na * t - 1e-9) & (F.least(na - pa, nb - pb) >= need) & (differ <= na + nb - 2 * need)
 
 
 def _other(df: DataFrame, *same: str) -> DataFrame:
@@ -128,7 +145,7 @@ def candidates(docs: DataFrame, rarity: Column, threshold: float, min_words: int
     """
     profiled = profiles(lines_of(docs, id_col, text_col).select("k1", "k2", "line"), rarity, threshold, min_words)
     first = [F.first(c).alias(c) for c in ("n", "b0", "b1", "keys")]
-    one = postings(profiled.groupBy("k1", "k2").agg(*first, (F.count("*") > 1).alias("copied")), "k1")
+    one = postings(profiled.groupBy("k1", "k2").agg(*first, (F.count("*") > 1).alias("copied")), "k1", "b0", "b1")
     # both sides by one name and not renamed: so Spark sees that they are one shuffle
     partner = (F.col("b.k1") != F.col("a.k1")) & _fits(threshold, "a.", "b.")
     copied = F.shiftright("a.np", 16).bitwiseAND(1) == 1
@@ -143,26 +160,26 @@ def first_tries(lines: DataFrame, threshold: float) -> DataFrame:
     lines of the group and those just before. Near copies share a key as often
     as words, so that members of a large group are settled here, without pairs.
     """
-    keyed = lines.select("k1", "at", (F.col("n").cast("bigint") * 131072).alias("np"), "b0", "b1", F.explode(F.array_distinct(F.array("low", "high"))).alias("key"))
+    line = ["k1", "at", "np", *FINE]
+    keyed = lines.withColumn("np", F.col("n").cast("bigint") * 131072).select(*line, F.explode(F.array_distinct(F.array("low", "high"))).alias("key"))
     often = keyed.groupBy("key").agg(F.count("*").alias("of")).filter("of > 1")
     salted = keyed.join(often, "key").withColumn("salt", F.pmod(F.xxhash64("k1"), F.ceil(F.col("of") / GROUP)))
     dealt = salted.repartition(partitions(lines.sparkSession), "key", "salt")
     by_key = W.partitionBy("key", "salt").orderBy("at", "k1")
-    line = F.struct("k1", "at", "np", "b0", "b1")
     before = by_key.rowsBetween(W.unboundedPreceding, W.currentRow)
-    tried = [F.nth_value(line, i).over(before) for i in range(1, TRIES + 1)] + [F.lag(line, i).over(by_key) for i in range(1, TRIES + 1)]
-    rows = dealt.select("k1", "at", "np", "b0", "b1", F.array(*tried).alias("tried")).select("k1", "at", "np", "b0", "b1", F.explode(F.array_distinct("tried")).alias("o"))
-    rows = rows.filter("o IS NOT NULL").select("k1", "at", "np", "b0", "b1", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("k1", "at", "np", "b0", "b1")])
-    return rows.filter((F.col("o_at") < F.col("at")) & _fits(threshold, "", "o_")).select("k1", "at", "o_k1", "o_at").distinct()
+    one = F.struct(*line)
+    tried = [F.nth_value(one, i).over(before) for i in range(1, TRIES + 1)] + [F.lag(one, i).over(by_key) for i in range(1, TRIES + 1)]
+    rows = dealt.select(*line, F.array(*tried).alias("tried")).select(*line, F.explode(F.array_distinct("tried")).alias("o"))
+    rows = rows.filter("o IS NOT NULL").select(*line, *[F.col(f"o.{c}").alias(f"o_{c}") for c in line])
+    return rows.filter((F.col("o_at") < F.col("at")) & _fits(threshold, "", "o_", fine=True)).select("k1", "at", "o_k1", "o_at").distinct()
 
 
 def matches(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """(k1, at): the lines of ``pairs`` (k1, at, o_k1, o_at) whose words match the other line's."""
-    text = lines.select("k1", "at", "line")
-    both = pairs.join(text, ["k1", "at"]).join(_other(text), ["o_k1", "o_at"])
-    shared, sizes = _shared("line", "o_line"), F.size(_words(F.col("line"))) + F.size(_words(F.col("o_line")))
-    same = both.select("k1", "at", shared.alias("shared"), sizes.alias("sizes")).filter(F.col("shared") >= F.lit(threshold) * (F.col("sizes") - F.col("shared")) - 1e-9)
-    return same.select("k1", "at").distinct()
+    """(k1, at): the lines of ``pairs`` (k1, at, o_k1, o_at) whose words (by more than 56 bits of hash) match the other line's."""
+    words = lines.select("k1", "at", "w")
+    both = pairs.join(words, ["k1", "at"]).join(_other(words), ["o_k1", "o_at"])
+    same = both.select("k1", "at", F.size(F.array_intersect("w", "o_w")).alias("shared"), (F.size("w") + F.size("o_w")).alias("sizes"))
+    return same.filter(F.col("shared") >= F.lit(threshold) * (F.col("sizes") - F.col("shared")) - 1e-9).select("k1", "at").distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,14 +212,15 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1, i
     lines = lines_of(docs, id_col, text_col).drop("k2").join(some, "k1", "left_semi").withColumn("at", _at("id"))
     lines = materialize(lines, "lines")
     first = lines.groupBy("k1", "line").agg(F.min("at").alias("at"), F.lit(False).alias("copied"))
-    texts = materialize(profiles(first, rarity, t, min_words, ends=True), "line-texts")
+    texts = materialize(profiles(first, rarity, t, min_words, fine=True), "line-texts")
 
     tried = materialize(first_tries(texts, t), "line-tries")
     settled = materialize(matches(tried, texts, t), "line-settled")
 
-    short = texts.drop("line", "low", "high")
-    left = postings(short.join(settled, ["k1", "at"], "left_anti"), "k1", "at")
-    pairs = left.join(_other(postings(short, "k1", "at"), "word"), "word").filter((F.col("o_at") < F.col("at")) & _fits(t, "", "o_"))
+    short = texts.drop("w", "low", "high")
+    cols = ("k1", "at", *FINE)
+    left = postings(short.join(settled, ["k1", "at"], "left_anti"), *cols)
+    pairs = left.join(_other(postings(short, *cols), "word"), "word").filter((F.col("o_at") < F.col("at")) & _fits(t, "", "o_", fine=True))
     pairs = pairs.select("k1", "at", "o_k1", "o_at").distinct().join(tried, ["k1", "at", "o_k1", "o_at"], "left_anti")
     found = matches(materialize(pairs, "line-pairs"), texts, t)
     kept = materialize(texts.select("k1", "at").join(settled.union(found), ["k1", "at"], "left_anti"), "line-kept")
