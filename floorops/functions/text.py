@@ -57,9 +57,17 @@ def language_by_script(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Lower case with every run of digits padded to 12, so that page_2 sorts before page_10."""
+    """Lower case with the length of every run of digits before it (leading zeros aside), so that page_2 sorts before page_10.
+
+    Runs may be of any length up to 9,999 digits; those of equal value and other leading zeros tie.
+    """
+
+    def digits(x: Column) -> Column:
+        value = F.regexp_replace(x, r"^0+(?=\d)", "")
+        return F.concat(F.lpad(F.char_length(value).cast("string"), 4, "0"), value)
+
     runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, 12, "0")).otherwise(x)), "")
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d+$"), digits(x)).otherwise(x)), "")
 
 
 def fix_mojibake(c: Column) -> Column:
@@ -79,12 +87,20 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def page_type(text_len: Column, drawings: Column, rasters: Column, tables: Column) -> Column:
+def page_type(text_len: Column, drawings: Column, rasters: Column, tables: Column, vector_drawings: int = 20) -> Column:
+    """Nine kinds of page; one with ``vector_drawings`` or more and little else is a diagram."""
+    drawn = drawings >= vector_drawings
     return (
-        F.when((text_len < 20) & (rasters == 0) & (drawings == 0), "blank")
-        .when(tables > 0, F.when(text_len > 500, "text_table").otherwise("table"))
-        .when((rasters > 0) & (text_len < 100), "image")
-        .when(rasters > 0, "text_image")
-        .when(drawings > 50, F.when(text_len < 300, "drawing").otherwise("text_drawing"))
-        .otherwise("text")
+        F.when((text_len < 30) & (drawings < 5) & (rasters == 0), "empty")
+        .when(drawn & (text_len >= 3000), "diagram+text")
+        .when(drawn & (rasters <= 1), "diagram")
+        .when(tables > 0, F.when(drawings >= 10, "table+diagram").otherwise("table"))
+        .when(rasters > 0, F.when(text_len > 100, "image+text").otherwise("image"))
+        .when(text_len > 100, "text")
+        .otherwise("minimal")
     )
+
+
+def truncate_vector(c: Column, n: int) -> Column:
+    """The first ``n`` components."""
+    return F.slice(c, 1, n)

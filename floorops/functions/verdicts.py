@@ -247,3 +247,12 @@ def channel_tags(c: Column, source: str = "agent-channel") -> Column:
         return F.struct(F.coalesce(sender, F.lit("unknown")).alias("from"), F.regexp_extract(b, r'\bts="([^"]+)"', 1).alias("ts"), ustrip(F.regexp_replace(b, r"(?s)^<[^>]*>|</channel>$", "")).alias("content"))
 
     return F.filter(F.transform(blocks, one), lambda x: x["content"] != "")
+
+
+def part_swap(c: Column, parts: list[str], changes: list[str]) -> Column:
+    """Whether a text names a part and a change of it."""
+    return has_any(F.lower(c), parts) & has_any(F.lower(c), changes)
+
+
+def metadata_json(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns))

@@ -150,3 +150,13 @@ def union_tagged(tables: Mapping[str, DataFrame], tag: str = "corpus") -> DataFr
 
 def merge_graph(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
     return a.unionByName(b).dropDuplicates([key])
+
+
+def label_counts(nodes: DataFrame) -> DataFrame:
+    """How many nodes have each of their ``labels``."""
+    return nodes.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def rated(answers: DataFrame, rating: str, good: str) -> DataFrame:
+    """The answers that were rated as ``good``."""
+    return answers.filter(F.col(rating) == good)

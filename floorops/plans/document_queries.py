@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from floorops.functions import text as T
 from floorops.functions import verdicts as V
-from floorops.operators import chunks
+from floorops.operators import chunks, texts
 from floorops.plans import fixtures as fx
 from floorops.plans.queries import query
 
@@ -52,8 +52,7 @@ def is_draft(s, d):
 
 @query(f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN {first_of(f'lower({NAME})', V.MANUAL_WORDS)} IS NOT NULL THEN 'keyword' WHEN {first_of(f'lower({NAME})', V.OTHER_WORDS)} IS NOT NULL THEN 'exclude' ELSE 'other' END AS reason FROM pages) GROUP BY 1""")
 def classify_report(s, d):
-    kind = F.substring_index("reason", ":", 1)
-    return is_manual(s, d).groupBy(F.when(kind.isin("keyword", "exclude"), kind).otherwise("other").alias("reason")).agg(F.count("*").alias("n"))
+    return texts.reason_counts(is_manual(s, d), "reason", ["keyword", "exclude"])
 
 
 @query()
@@ -75,7 +74,7 @@ def curation_totals(s, d):
 
 @query("SELECT p_brand AS maker, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, maker LIMIT 20")
 def manufacturer_breakdown(s, d):
-    return fx.table(s, d, "part").groupBy(F.col("p_brand").alias("maker")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "maker").limit(20)
+    return texts.most_frequent(fx.table(s, d, "part"), "p_brand", "maker", 20)
 
 
 MAKERS, KINDS, STOP = {"ring": "Ring Works", "steel": "Steel Co"}, {"small": "catalog", "large": "manual"}, ["THE"]
@@ -124,17 +123,17 @@ def nc_from_text(s, d):
 
 @query("SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), 'ring|bolt') AND regexp_matches(lower(p_name), 'small|large')")
 def part_swap_flag(s, d):
-    return fx.table(s, d, "part").filter(F.lower("p_name").rlike("ring|bolt") & F.lower("p_name").rlike("small|large")).select("p_partkey")
+    return fx.table(s, d, "part").filter(V.part_swap(F.col("p_name"), ["ring", "bolt"], ["small", "large"])).select("p_partkey")
 
 
-@query("""SELECT page_id, CASE WHEN n < 20 AND r = 0 AND g = 0 THEN 'blank' WHEN t > 0 THEN CASE WHEN n > 500 THEN 'text_table' ELSE 'table' END WHEN r > 0 AND n < 100 THEN 'image' WHEN r > 0 THEN 'text_image'
-WHEN g > 50 THEN CASE WHEN n < 300 THEN 'drawing' ELSE 'text_drawing' END ELSE 'text' END AS type
-FROM (SELECT page_id, length(html) AS n, len(regexp_extract_all(html, '<svg')) AS g, len(regexp_extract_all(html, '<img')) AS r, len(regexp_extract_all(html, '<table')) AS t FROM pages)""")
+@query("""SELECT page_id, CASE WHEN n < 30 AND g < 5 AND r = 0 THEN 'empty' WHEN g >= 20 AND r <= 1 AND n < 3000 THEN 'diagram' WHEN g >= 20 AND n >= 3000 THEN 'diagram+text' WHEN t > 0 AND g >= 10 THEN 'table+diagram' WHEN t > 0 THEN 'table'
+WHEN r > 0 AND n > 100 THEN 'image+text' WHEN r > 0 THEN 'image' WHEN n > 100 THEN 'text' ELSE 'minimal' END AS type
+FROM (SELECT page_id, (length(html) - 1500) // 2 AS n, len(regexp_extract_all(html, '<p')) AS g, len(regexp_extract_all(html, '<img|<aside')) AS r, len(regexp_extract_all(html, '<table|<ul')) AS t FROM pages)""")
 def page_type(s, d):
     def times(tag):
         return F.regexp_count("html", F.lit(tag))
 
-    return fx.table(s, d, "pages").select("page_id", T.page_type(F.char_length("html"), times("<svg"), times("<img"), times("<table")).alias("type"))
+    return fx.table(s, d, "pages").select("page_id", T.page_type(F.expr("(char_length(html) - 1500) div 2"), times("<p"), times("<img|<aside"), times("<table|<ul")).alias("type"))
 
 
 @query("SELECT o_orderkey, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderstatus || ' | ' || o_orderpriority || ' |' || chr(10) || '| ' || o_orderkey || ' |  |' AS table_md FROM orders")
@@ -173,12 +172,12 @@ def fix_mojibake(s, d):
 
 @query("SELECT vec_id, round(list_cosine_similarity(CAST(embedding[1:16] AS DOUBLE[]), CAST(embedding[17:32] AS DOUBLE[])), 4) AS cosine FROM embeddings")
 def truncate_vector(s, d):
-    return fx.table(s, d, "embeddings").select("vec_id", F.round(T.cosine(F.slice("embedding", 1, 16), F.slice("embedding", 17, 16)), 4).alias("cosine"))
+    return fx.table(s, d, "embeddings").select("vec_id", F.round(T.cosine(T.truncate_vector(F.col("embedding"), 16), F.slice("embedding", 17, 16)), 4).alias("cosine"))
 
 
 @query("SELECT doc_id, lang, CAST(n_chars AS BIGINT) AS n FROM documents")
 def metadata_json(s, d):
-    made = fx.table(s, d, "documents").select("doc_id", F.to_json(F.struct("lang", "n_chars")).alias("metadata"))
+    made = fx.table(s, d, "documents").select("doc_id", V.metadata_json("lang", "n_chars").alias("metadata"))
     return made.select("doc_id", F.get_json_object("metadata", "$.lang").alias("lang"), F.from_json("metadata", "lang STRING, n_chars BIGINT")["n_chars"].alias("n"))
 
 
@@ -263,13 +262,12 @@ def resolve_collisions(s, d):
 
 @query("SELECT doc_id FROM documents WHERE trim(coalesce(text, '')) <> '' AND trim(coalesce(lang, '')) <> ''")
 def embeddable_rows(s, d):
-    return fx.table(s, d, "documents").filter((F.trim("text") != "") & (F.trim("lang") != "")).select("doc_id")
+    return texts.embeddable(fx.table(s, d, "documents"), "text", "lang").select("doc_id")
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE (contains(text, 'the') OR contains(role, 'the')) AND role = 'user'")
 def session_search(s, d):
-    found = F.contains("text", F.lit("the")) | F.contains("role", F.lit("the"))
-    return fx.table(s, d, "conversations").filter(found & (F.col("role") == "user")).select("conv_id", "turn")
+    return texts.session_search(fx.table(s, d, "conversations"), "the", ["text", "role"], {"role": "user"}).select("conv_id", "turn")
 
 
 @query(f"""SELECT conv_id, turn FROM (SELECT *, trim(text) AS t FROM conversations) WHERE length(t) >= 30 AND NOT (t LIKE '%?' AND length(t) < 60) AND NOT {has("split_part(t, chr(10), 1)", V.SKIP_WORDS)}""")
@@ -279,12 +277,11 @@ def is_task_message(s, d):
 
 @query("SELECT conv_id, turn, text AS content FROM conversations WHERE role = 'assistant' AND NOT contains(text, 'ready')")
 def drop_noise_messages(s, d):
-    return fx.table(s, d, "conversations").filter((F.col("role") == "assistant") & ~F.contains("text", F.lit("ready"))).select("conv_id", "turn", F.col("text").alias("content"))
+    return texts.without_noise(fx.table(s, d, "conversations").filter("role = 'assistant'"), "text", ["ready"]).select("conv_id", "turn", F.col("text").alias("content"))
 
 
 @query("""WITH f AS (SELECT doc_id, CAST(unnest(regexp_extract_all(text, '(?:figure|table|item) (\\d+)', 1)) AS BIGINT) AS no FROM documents)
 SELECT f.doc_id, string_agg(DISTINCT CAST(p_partkey AS VARCHAR), ',' ORDER BY CAST(p_partkey AS VARCHAR)) AS figures FROM f JOIN part ON p_size = no GROUP BY 1""")
 def figure_refs(s, d):
-    refs = _docs(s, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?:figure|table|item) (\d{1,18})"), F.lit(1))).alias("no")).select("doc_id", F.col("no").cast("long").alias("no")).distinct()
     figs = fx.table(s, d, "part").select(F.col("p_size").cast("long").alias("no"), F.col("p_partkey").cast("string").alias("figure"))
-    return refs.join(figs, "no").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("figure")), ",").alias("figures"))
+    return texts.figure_refs(_docs(s, d), "doc_id", "text", figs, r"(?:figure|table|item) (\d{1,18})")

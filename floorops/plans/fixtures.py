@@ -37,7 +37,10 @@ def nc_reports(spark, d):
         F.col("o_orderkey").alias("id"),
         F.try_element_at(F.create_map(*[F.lit(x) for p in (("1", "critical"), ("2", "high"), ("3", "medium"), ("5", "low")) for x in p]), F.substring("o_orderpriority", 1, 1)).alias("importance"),
         F.col("o_custkey").alias("project_id"),
-        (F.col("o_custkey") % 100).alias("manager_id"),
+        F.when(F.col("o_custkey") % 9 != 0, F.col("o_custkey") % 100).alias("manager_id"),
+        (F.col("o_orderkey") % 97).alias("reporter_id"),
+        F.concat(F.lit("NC "), "o_orderpriority").alias("title"),
+        F.timestamp_add("DAY", F.lit(6), F.col("o_orderdate").cast("timestamp")).alias("updated_at"),
         F.when(F.col("o_orderstatus") != "O", F.date_add(F.col("o_orderdate").cast("date"), 5)).alias("action_completion_date"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
         F.col("o_totalprice").cast("double").alias("cost"),
@@ -46,11 +49,14 @@ def nc_reports(spark, d):
 
 def projects(spark, d):
     status = F.when(F.col("c_mktsegment") == "BUILDING", "completed").otherwise("active")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), status.alias("status"), F.col("c_nationkey").alias("nation_id"))
+    return table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), status.alias("status"), F.col("c_nationkey").alias("nation_id"),
+        F.date_add(F.lit("2001-07-01").cast("date"), (F.col("c_custkey") % 90).cast("int")).alias("delivery_date"), (F.col("c_custkey") % 101).cast("int").alias("progress"),
+    )
 
 
 def users(spark, d):
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("username"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("username"), F.substring("s_name", 1, 8).alias("last_name"), F.substring_index("s_name", "#", -1).alias("first_name"))
 
 
 def purchases(spark, d):

@@ -15,8 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 EVENTS_AS_OF, ORDERS_AS_OF = "2024-01-31 00:00:00", "2001-09-01 00:00:00"
 NC = """(SELECT o_orderkey AS id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' WHEN '5' THEN 'low' END AS importance,
- o_custkey AS project_id, o_custkey % 100 AS manager_id, CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS DATE) + 5 END AS done, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders)"""
-PROJECTS = "(SELECT c_custkey AS id, c_name AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'completed' ELSE 'active' END AS status FROM customer)"
+ o_custkey AS project_id, CASE WHEN o_custkey % 9 <> 0 THEN o_custkey % 100 END AS manager_id, o_orderkey % 97 AS reporter_id, 'NC ' || o_orderpriority AS title, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 6 DAY AS updated_at, CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS DATE) + 5 END AS done, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders)"""
+PROJECTS = "(SELECT c_custkey AS id, c_name AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'completed' ELSE 'active' END AS status, DATE '2001-07-01' + CAST(c_custkey % 90 AS INTEGER) AS delivery_date, CAST(c_custkey % 101 AS INTEGER) AS progress FROM customer)"
+USERS = "(SELECT s_suppkey AS id, s_name AS username, substr(s_name, 1, 8) || split_part(s_name, '#', -1) AS full_name FROM supplier)"
 MESSAGES = "(SELECT conv_id AS session_id, turn, role AS sender, text AS content, TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS time FROM conversations)"
 FILES = """(SELECT source || '/' || doc_id AS path, source AS category, CAST(doc_id % 100 AS VARCHAR) AS stem, CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.docx' END AS ext,
  n_chars AS size, substr(sha256(text), 1, 16) AS hash, doc_id, text, lang FROM documents)"""
@@ -120,8 +121,8 @@ def roster_left(s, d):
     return logs.with_roster(logs.tool_stats(fx.tool_log(s, d)).filter("dim = 'agent'").select("key", "n"), roster, "key")
 
 
-@query(f"""SELECT n.id, importance, created_at, p.name AS project, s_name AS manager FROM (SELECT * FROM {NC} ORDER BY created_at DESC, id DESC LIMIT 50) n
-LEFT JOIN {PROJECTS} p ON p.id = n.project_id LEFT JOIN supplier ON s_suppkey = n.manager_id""")
+@query(f"""SELECT n.id, importance, title, created_at, p.name AS project, u.full_name AS reporter FROM (SELECT * FROM {NC} ORDER BY created_at DESC, id DESC LIMIT 50) n
+LEFT JOIN {PROJECTS} p ON p.id = n.project_id LEFT JOIN {USERS} u ON u.id = n.reporter_id""")
 def nc_recent(s, d):
     return reports.nc_recent(fx.nc_reports(s, d), fx.projects(s, d), fx.users(s, d))
 
@@ -129,21 +130,22 @@ def nc_recent(s, d):
 AGED = f"(SELECT *, CAST(floor((epoch_us(TIMESTAMP '2001-09-01') - epoch_us(created_at)) / 86400000000) AS INTEGER) AS age FROM {NC} WHERE done IS NULL)"
 
 
-@query(f"""SELECT n.id, importance, age, age - {LIMIT} AS overdue, p.name AS project, s_name AS manager FROM {AGED} n LEFT JOIN {PROJECTS} p ON p.id = n.project_id LEFT JOIN supplier ON s_suppkey = n.manager_id
+@query(f"""SELECT n.id, importance, title, p.name AS project, u.full_name AS reporter, am.username AS manager_username, am.full_name AS manager, strftime(n.created_at + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS created_local, age - {LIMIT} AS overdue
+FROM {AGED} n LEFT JOIN {PROJECTS} p ON p.id = n.project_id LEFT JOIN {USERS} u ON u.id = n.reporter_id LEFT JOIN {USERS} am ON am.id = n.manager_id
 WHERE age > {LIMIT} AND p.status NOT IN ('completed')""")
 def nc_overdue(s, d):
     return reports.nc_overdue(fx.nc_reports(s, d), fx.projects(s, d), fx.users(s, d), ORDERS_AS_OF)
 
 
-@query(f"""SELECT importance, count(*) FILTER (done IS NULL) AS open, count(*) FILTER (done IS NULL AND status <> 'completed') AS at_risk, count(*) FILTER (done >= DATE '2001-07-30') AS closed_this_week
+@query(f"""SELECT importance, count(*) FILTER (WHERE done IS NULL) AS total_open, count(*) FILTER (WHERE done IS NULL AND p.delivery_date BETWEEN DATE '2001-08-01' AND DATE '2001-08-01' + INTERVAL 30 DAY AND p.status NOT IN ('완료', '취소', 'completed', 'cancelled')) AS delivery_risk, count(*) FILTER (WHERE done IS NOT NULL AND updated_at >= date_trunc('week', TIMESTAMP '2001-08-01')) AS closed_this_week
 FROM {NC} n LEFT JOIN {PROJECTS} p ON p.id = n.project_id GROUP BY 1""")
 def nc_weekly_summary(s, d):
     return reports.nc_weekly_summary(fx.nc_reports(s, d), fx.projects(s, d), "2001-08-01 00:00:00")
 
 
-@query(f"SELECT manager_id, importance, count(*) AS n, count(*) FILTER (age >= 7) AS over_7, count(*) FILTER (age >= 100) AS over_100, max(age) AS oldest FROM {AGED} GROUP BY 1, 2")
+@query(f"SELECT n.project_id, p.name AS project, manager_id, importance, count(*) AS n, count(*) FILTER (age >= 7) AS over_7, count(*) FILTER (age >= 100) AS over_100, max(age) AS oldest, count(*) FILTER (manager_id IS NULL) AS without_manager FROM {AGED} n LEFT JOIN {PROJECTS} p ON p.id = n.project_id GROUP BY ALL")
 def nc_ageing(s, d):
-    return reports.nc_ageing(fx.nc_reports(s, d), ORDERS_AS_OF)
+    return reports.nc_ageing(fx.nc_reports(s, d), fx.projects(s, d), ORDERS_AS_OF)
 
 
 @query(f"SELECT id, importance, created_at FROM {NC} WHERE created_at >= TIMESTAMP '2001-07-29 15:00:00'")
@@ -151,7 +153,7 @@ def new_this_week(s, d):
     return reports.nc_new(fx.nc_reports(s, d), "2001-08-01 00:00:00", "Asia/Seoul").select("id", "importance", "created_at")
 
 
-@query(f"SELECT p.id, p.name, count(n.id) AS nc_count FROM {PROJECTS} p LEFT JOIN {NC} n ON n.project_id = p.id WHERE p.status = 'active' GROUP BY 1, 2")
+@query(f"SELECT p.id, p.name, delivery_date, progress, count(n.id) AS nc_count FROM {PROJECTS} p LEFT JOIN {NC} n ON n.project_id = p.id WHERE p.status = 'active' GROUP BY ALL")
 def project_overview(s, d):
     return reports.project_overview(fx.projects(s, d), fx.nc_reports(s, d))
 
@@ -164,12 +166,12 @@ def keyword_filter(s, d):
 
 @query(f"SELECT id, name FROM {PROJECTS} WHERE status = 'active'")
 def status_filter(s, d):
-    return fx.projects(s, d).filter("status = 'active'").select("id", "name")
+    return reports.with_status(fx.projects(s, d), "active").select("id", "name")
 
 
 @query(f"SELECT id, importance FROM {NC} ORDER BY created_at DESC NULLS LAST, id LIMIT 50")
 def topk_recent(s, d):
-    return fx.nc_reports(s, d).orderBy(F.desc_nulls_last("created_at"), "id").limit(50).select("id", "importance")
+    return reports.newest(fx.nc_reports(s, d), "created_at", "id", 50).select("id", "importance")
 
 
 @query(f"SELECT id, importance FROM {NC} ORDER BY created_at DESC, id LIMIT 20 OFFSET 40")
@@ -381,6 +383,6 @@ def safe_name(s, d):
     return fx.table(s, d, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"))
 
 
-@query("""SELECT url, array_to_string(list_transform(regexp_extract_all(lower(url), '([0-9]+|[^0-9]+)'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN lpad(x, 12, '0') ELSE x END), '') AS key FROM pages""")
+@query("""SELECT url, array_to_string(list_transform(regexp_extract_all(lower(url), '([0-9]+|[^0-9]+)'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN lpad(CAST(length(coalesce(nullif(ltrim(x, '0'), ''), '0')) AS VARCHAR), 4, '0') || coalesce(nullif(ltrim(x, '0'), ''), '0') ELSE x END), '') AS key FROM pages""")
 def natural_sort(s, d):
     return fx.table(s, d, "pages").select("url", T.natural_key(F.col("url")).alias("key"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from floorops.operators import neighbours, records, retrieval
+from floorops.operators import neighbours, records, reports, retrieval
 from floorops.plans import fixtures as fx
 from floorops.plans.queries import EVENTS_AS_OF, QUERY_VECTOR, VEC, query
 from floorops.plans.registry import QueryRegistry
@@ -30,12 +30,12 @@ def _messages(s, d):
     return fx.table(s, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_shipdate").alias("time"), no, kind.alias("kind"))
 
 
-@query(f"""WITH m AS (SELECT l_orderkey AS task_id, l_shipdate AS time, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS id, CASE l_returnflag WHEN 'A' THEN 'complete' WHEN 'R' THEN 'blocked' ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'progress' ELSE 'request' END END AS kind FROM lineitem WHERE l_orderkey % 2 = 0),
+@query(f"""WITH m AS (SELECT l_orderkey AS task_id, l_shipdate AS time, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS id, CASE l_returnflag WHEN 'A' THEN 'complete' WHEN 'R' THEN 'blocked' ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'progress' ELSE 'request' END END AS kind FROM lineitem),
 r AS (SELECT task_id, CASE arg_max(kind, (time, id)) WHEN 'complete' THEN 'done' WHEN 'progress' THEN 'in_progress' ELSE 'blocked' END AS status, max(time) AS time FROM m WHERE kind <> 'request' GROUP BY 1)
 SELECT task_id, coalesce(r.status, t.status) AS status, CASE WHEN r.status = 'done' THEN r.time ELSE completed_at END AS completed_at FROM {TASKS} t LEFT JOIN r USING (task_id)
 UNION ALL SELECT task_id, coalesce(r.status, 'pending'), CASE WHEN r.status = 'done' THEN r.time END FROM (SELECT DISTINCT task_id FROM m WHERE kind = 'request') q LEFT JOIN r USING (task_id) WHERE task_id NOT IN (SELECT o_orderkey FROM orders)""")
 def task_fold(s, d):
-    return records.fold_tasks(_tasks(s, d).select("task_id", "status", "completed_at"), _messages(s, d).filter("task_id % 2 = 0"))
+    return records.fold_tasks(_tasks(s, d).select("task_id", "status", "completed_at"), _messages(s, d))
 
 
 # task_fold leaves the tasks of odd keys without messages; here every message is folded
@@ -155,8 +155,8 @@ def project_code_lookup(s, d):
 
 @query("SELECT o_orderkey, o_orderdate FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
 def project_schedule(s, d):
-    c = fx.table(s, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return fx.table(s, d, "orders").join(c, "o_custkey").select("o_orderkey", "o_orderdate")
+    c = fx.table(s, d, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    return reports.project_schedule(fx.table(s, d, "orders"), c, "o_custkey", F.col("c_mktsegment") == "BUILDING").select("o_orderkey", "o_orderdate")
 
 
 @query("SELECT o_orderkey, l_partkey FROM orders LEFT JOIN (SELECT * FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS rn FROM lineitem) WHERE rn = 1) ON l_orderkey = o_orderkey")
@@ -165,12 +165,14 @@ def page_images(s, d):
     return records.lookup(fx.table(s, d, "orders").select("o_orderkey"), images, ["o_orderkey"], "l_partkey", order=["id"])
 
 
-@query("SELECT o_orderkey, n_items, idx FROM (SELECT l_orderkey AS o_orderkey, count(*) OVER (PARTITION BY l_orderkey) AS n_items, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS idx FROM lineitem)")
+@query("""WITH item AS (SELECT 'f' || (p_size % 20) AS folder, p_partkey AS seq, p_name AS item FROM part),
+listed AS (SELECT folder, item, count(*) OVER (PARTITION BY folder) AS n_items, row_number() OVER (PARTITION BY folder ORDER BY seq, item) AS idx FROM item),
+named AS (SELECT c_custkey AS code, c_mktsegment AS equipment, a.folder FROM customer LEFT JOIN (VALUES ('BUILDING', 'f1'), ('MACHINERY', 'f2'), ('FURNITURE', 'f99')) a(segment, folder) ON segment = c_mktsegment)
+SELECT code, equipment, n.folder, coalesce(n_items, 0) AS n_items, CAST(idx AS INTEGER) AS idx, item FROM named n LEFT JOIN listed l ON l.folder = n.folder""")
 def checklist_join(s, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("o_orderkey")
-    return fx.table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").select("o_orderkey", F.count("*").over(w).alias("n_items"), F.row_number().over(w.orderBy("l_partkey")).alias("idx"))
+    alias = s.createDataFrame([("BUILDING", "f1"), ("MACHINERY", "f2"), ("FURNITURE", "f99")], "equipment string, folder string")
+    items = fx.table(s, d, "part").select(F.concat(F.lit("f"), (F.col("p_size") % 20).cast("string")).alias("folder"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("item"))
+    return reports.checklist_join(fx.table(s, d, "customer").select(F.col("c_custkey").alias("code"), F.col("c_mktsegment").alias("equipment")), alias, items)
 
 
 @query("SELECT p_type AS subject, min(p_partkey) AS first FROM part WHERE NOT contains(p_type, 'ring') GROUP BY 1")
@@ -198,7 +200,7 @@ def merge_graph(s, d):
 
 @query("SELECT label, count(*) AS n FROM (SELECT unnest(['Order', o_orderstatus]) AS label FROM orders) GROUP BY 1")
 def label_counts(s, d):
-    return fx.table(s, d, "orders").select(F.explode(F.array(F.lit("Order"), "o_orderstatus")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    return records.label_counts(fx.table(s, d, "orders").select(F.array(F.lit("Order"), "o_orderstatus").alias("labels")))
 
 
 @query("SELECT p_partkey FROM part WHERE contains(p_name, 'ring') OR contains(p_brand, 'ring') OR contains(p_type, 'ring') ORDER BY p_partkey LIMIT 50")
@@ -218,7 +220,7 @@ def graph_keywords(s, d):
 
 @query("SELECT event_id, CAST(user_id AS VARCHAR) AS agent FROM events WHERE event_type = 'click'")
 def good_answers(s, d):
-    return fx.response_times(s, d).filter("channel = 'click'").select("event_id", "agent")
+    return records.rated(fx.response_times(s, d), "channel", "click").select("event_id", "agent")
 
 
 def _vectors(s, d):

@@ -39,13 +39,28 @@ def test_sessions_stream_equals_batch(spark, tmp_path):
 def test_overdue_rules(spark):
     day = dt.datetime(2024, 1, 15)
     nc = spark.createDataFrame(
-        [(1, "critical", 1, 1, None, day - dt.timedelta(days=3)), (2, "critical", 1, 1, None, day - dt.timedelta(days=4)), (3, None, 1, 1, None, day - dt.timedelta(days=15)),
-         (4, "low", None, 1, None, day - dt.timedelta(days=99)), (5, "high", 2, 1, None, day - dt.timedelta(days=99))],
-        "id long, importance string, project_id long, manager_id long, action_completion_date date, created_at timestamp",
+        [(1, "critical", 1, 1, None, day - dt.timedelta(days=3), 2, "t"), (2, "critical", 1, 1, None, day - dt.timedelta(days=4), 2, "t"), (3, None, 1, 1, None, day - dt.timedelta(days=15), None, "t"),
+         (4, "low", None, 1, None, day - dt.timedelta(days=99), 2, "t"), (5, "high", 2, 1, None, day - dt.timedelta(days=99), 2, "t")],
+        "id long, importance string, project_id long, manager_id long, action_completion_date date, created_at timestamp, reporter_id long, title string",
     )
     p = spark.createDataFrame([(1, "a", "active"), (2, "b", "completed")], "id long, name string, status string")
-    u = spark.createDataFrame([(1, "m")], "id long, username string")
-    assert sorted((r["id"], r["overdue"]) for r in reports.nc_overdue(nc, p, u, "2024-01-15 00:00:00").collect()) == [(2, 1), (3, 1)]
+    u = spark.createDataFrame([(1, "m", "Kim", "Min"), (2, "r", "Lee", "Jin")], "id long, username string, last_name string, first_name string")
+    got = reports.nc_overdue(nc, p, u, "2024-01-15 00:00:00").collect()
+    assert [(r["id"], r["overdue"]) for r in got] == [(2, 1), (3, 1)]
+    assert [(r["reporter"], r["manager"], r["manager_username"], r["created_local"]) for r in got] == [("LeeJin", "KimMin", "m", "2024-01-11 09:00:00"), (None, "KimMin", "m", "2023-12-31 09:00:00")]
+
+
+def test_page_types(spark):
+    # (characters, drawings, rasters, tables)
+    cases = {(29, 4, 0, 3): "empty", (100, 20, 1, 1): "diagram", (3000, 20, 5, 1): "diagram+text", (100, 20, 2, 1): "table+diagram", (100, 19, 0, 1): "table+diagram", (100, 9, 0, 1): "table", (101, 0, 1, 0): "image+text", (100, 0, 1, 0): "image", (101, 0, 0, 0): "text", (30, 0, 0, 0): "minimal", (2999, 25, 2, 0): "image+text"}
+    rows = spark.createDataFrame(list(cases), "n int, g int, r int, t int")
+    assert {(x.n, x.g, x.r, x.t): x.type for x in rows.withColumn("type", T.page_type(*map(F.col, "ngrt"))).collect()} == cases
+
+
+def test_natural_order(spark):
+    names = ["page_10", "page_2", "Page_2b", "a1234567890123456", "a123456789012999", "a99"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r[0] for r in rows.orderBy(T.natural_key(F.col("name"))).collect()] == ["a99", "a123456789012999", "a1234567890123456", "page_2", "Page_2b", "page_10"]
 
 
 def test_upsert_drops_tail_keeps_gap_and_repeats(spark):
