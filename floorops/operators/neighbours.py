@@ -12,45 +12,61 @@ from pyspark.sql import functions as F
 
 from floorops.functions.text import cosine
 
-#: Queries of a block; a block and one Arrow batch of the corpus are what a task holds at a time.
-BLOCK = 512
+#: Bytes of a block of queries, about.
+BLOCK = 32 << 20
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the ``k`` nearest by cosine of (id, embedding) rows for (query_id, embedding) rows.
 
-    Queries are a stated set: they go in blocks of ``BLOCK`` rows to every
-    partition of the corpus, one block of vectors in a task at a time, and each
-    batch of the corpus gives at most ``k`` rows a query, which a window merges.
+    Queries are a stated set: they go to the tasks in blocks of about ``BLOCK``
+    bytes, which bounds the broadcast, and the corpus is read where it lies,
+    once for each block. Each batch of the corpus gives at most ``k`` rows a
+    query, which a window merges.
     Null and zero vectors and vectors of another length take no part. Ties go
     to the smaller id; similarities are in double and rounded to 6 digits
     before they are ranked, so that the order of the sums does not matter.
     """
-    blocks = queries.filter("embedding IS NOT NULL").withColumn("b", F.floor(F.monotonically_increasing_id() / BLOCK))
-    blocks = blocks.groupBy("b").agg(F.collect_list("query_id").alias("ids"), F.collect_list("embedding").alias("vectors"))
-    parts = corpus.filter("embedding IS NOT NULL").withColumn("p", F.spark_partition_id())
-    parts = parts.groupBy("p", F.floor(F.monotonically_increasing_id() / F.lit(4096)).alias("batch")).agg(F.collect_list("id").alias("c_ids"), F.collect_list("embedding").alias("c_vectors")).drop("p", "batch")
+    spark = corpus.sparkSession
+    queries = queries.filter("embedding IS NOT NULL").select("query_id", "embedding")
+    size = queries.agg(F.sum(F.size("embedding") * F.lit(8).cast("bigint"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK))
 
     def unit(rows) -> tuple[np.ndarray, np.ndarray]:
         m = np.stack([np.asarray(r, float) for r in rows])
         size = np.linalg.norm(m, axis=1)
         return m / np.where(size > 0, size, 1)[:, None], size > 0
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                width = pd.Series([len(v) for v in r.vectors]), pd.Series([len(v) for v in r.c_vectors])
-                for w in set(width[0]) & set(width[1]):
-                    qi, ci = (np.flatnonzero(x == w) for x in width)
-                    (q, q_ok), (c, c_ok) = unit([r.vectors[i] for i in qi]), unit([r.c_vectors[i] for i in ci])
-                    q_ids, c_ids = np.asarray(r.ids)[qi], np.asarray(r.c_ids)[ci]
-                    sim = np.where(c_ok[None, :], np.round(q @ c.T, 6), -np.inf)
-                    order = np.lexsort((np.broadcast_to(c_ids, sim.shape), -sim), axis=1)[:, :k]
-                    got = pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "vec_id": c_ids[order].ravel(), "similarity": np.take_along_axis(sim, order, 1).ravel()})
-                    yield got[np.isfinite(got.similarity) & np.repeat(q_ok, order.shape[1])]
-
-    pairs = parts.join(blocks.drop("b"), F.lit(True))
-    found = pairs.mapInPandas(nearest, "query_id long, vec_id long, similarity double")
+    def by_width(ids, rows) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        width = np.array([len(v) for v in rows], int)
+        out = {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            out[w] = (np.asarray(ids, np.int64)[at], *unit([rows[i] for i in at]))
+        return out
+
+    def search(sent):
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for w, (c_ids, c, c_ok) in by_width(batch["id"], batch["embedding"].tolist()).items():
+                    if w not in sent.value:
+                        continue
+                    q_ids, q, q_ok = sent.value[w]
+                    for lo in range(0, len(q_ids), 512):
+                        some = slice(lo, lo + 512)
+                        sim = np.where(c_ok[None, :], np.round(q[some] @ c.T, 6), -np.inf)
+                        order = np.lexsort((np.broadcast_to(c_ids, sim.shape), -sim), axis=1)[:, :k]
+                        got = pd.DataFrame({"query_id": np.repeat(q_ids[some], order.shape[1]), "vec_id": c_ids[order].ravel(), "similarity": np.take_along_axis(sim, order, 1).ravel()})
+                        yield got[np.isfinite(got.similarity) & np.repeat(q_ok[some], order.shape[1])]
+
+        return nearest
+
+    parts, found = corpus.filter("embedding IS NOT NULL").select("id", "embedding"), None
+    for b in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+        sent = spark.sparkContext.broadcast(by_width(block["query_id"], block["embedding"].tolist()))
+        some = parts.mapInPandas(search(sent), "query_id long, vec_id long, similarity double")
+        found = some if found is None else found.unionByName(some)
     w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -104,9 +104,12 @@ def question_topics(s, d):
 LACKING = "len(regexp_extract_all(text, '없습니다\\s*[.。]|찾을 수 없|등록되어 있지 않|모르겠습니다'))"
 
 
-@query(f"""SELECT doc_id, points / 100.0 AS score, points < 50 AS needs_improvement FROM (SELECT doc_id, greatest(0, least(100, 50 + CASE WHEN length(text) < 50 THEN -20 WHEN length(text) BETWEEN 200 AND 1500 THEN 10 WHEN length(text) > 1500 THEN -5 ELSE 0 END
+POINTS = f"""greatest(0, least(100, 50 + CASE WHEN length(text) < 50 THEN -20 WHEN length(text) BETWEEN 200 AND 1500 THEN 10 WHEN length(text) > 1500 THEN -5 ELSE 0 END
 + CASE WHEN regexp_matches(text, '(?i)run-\\d+|ft-[\\d.]+|p\\.\\d+|페이지') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(text, '[①②③④⑤⑥⑦⑧⑨⑩]|\\d+\\.\\s|\\d+\\)') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(text, 'CS-\\d+') THEN 10 ELSE 0 END
-+ CASE WHEN {has('text', ['매뉴얼', '페이지', '참조:'])} THEN 10 ELSE 0 END - CASE WHEN {LACKING} > 0 THEN 10 ELSE 0 END)) AS points FROM documents)""")
++ CASE WHEN {has('text', ['매뉴얼', '페이지', '참조:'])} THEN 10 ELSE 0 END - CASE WHEN {LACKING} > 0 THEN 10 ELSE 0 END))"""
+
+
+@query(f"SELECT doc_id, points / 100.0 AS score, points < 50 AS needs_improvement FROM (SELECT doc_id, {POINTS} AS points FROM documents)")
 def answer_quality(s, d):
     return _docs(s, d).select("doc_id", V.answer_quality(F.col("text")).alias("q")).select("doc_id", "q.score", "q.needs_improvement")
 

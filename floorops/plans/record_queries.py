@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from floorops.operators import neighbours, records, reports, retrieval
+from floorops.operators import answers, neighbours, records, reports, retrieval
 from floorops.plans import fixtures as fx
+from floorops.plans.document_queries import POINTS
 from floorops.plans.queries import EVENTS_AS_OF, QUERY_VECTOR, VEC, query
 from floorops.plans.registry import QueryRegistry
 
@@ -264,6 +265,22 @@ def answer_cache_lookup(s, d):
     return neighbours.cache_lookup(v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), cache, 0.3)
 
 
+@query(f"""WITH c AS (SELECT query_id, vec_id FROM ({KNN.format('AND c.id % 20 <> 0')}) WHERE rank = 1 AND similarity >= 0.35 AND vec_id % 10 >= 5),
+part AS (SELECT query_id, 0 AS k, rank, '[CS이력] ' || substr(text, 1, 200) AS part FROM ({KNN.format('AND c.id % 3 = 1')}) JOIN documents ON doc_id = vec_id WHERE rank <= 3 AND text <> ''
+UNION ALL SELECT query_id, 1, rank, '[매뉴얼] ' || substr(text, 1, 200) FROM ({KNN.format('AND c.id % 3 = 2')}) JOIN documents ON doc_id = vec_id WHERE rank <= 3 AND text <> ''),
+p AS (SELECT query_id, string_agg(part, chr(10) ORDER BY k, rank) AS found FROM part GROUP BY 1),
+a AS (SELECT q.id AS query_id, c.vec_id AS qa_id, found, CASE WHEN c.vec_id IS NOT NULL THEN 'cached 1. CS-' || c.vec_id ELSE coalesce(found, '관련 정보를 찾지 못했습니다.') END AS text
+FROM {V} q LEFT JOIN c ON c.query_id = q.id LEFT JOIN p ON p.query_id = q.id WHERE q.id % 20 = 0)
+SELECT query_id, qa_id, text AS answer, CASE WHEN qa_id IS NULL THEN 'rag' ELSE 'cache' END AS source, points / 100.0 AS score, qa_id IS NULL AND found IS NOT NULL AND points >= 40 AS saved FROM (SELECT *, {POINTS} AS points FROM a)""")
+def answer_flow(s, d):
+    v = _vectors(s, d).select("id", "embedding")
+    text = fx.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    cache = v.filter("id % 20 <> 0").withColumns({"score": F.when(F.col("id") % 10 >= 5, 0.8).otherwise(0.2), "answer": F.concat(F.lit("cached 1. CS-"), F.col("id").cast("string"))})
+    corpus = v.join(text, "id", "left")
+    asked = corpus.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("text").alias("question"), "embedding")
+    return answers.answer_flow(asked, cache, corpus.filter("id % 3 = 1"), corpus.filter("id % 3 = 2"), 0.35).select("query_id", "qa_id", "answer", "source", "score", "saved")
+
+
 @query(f"""WITH b AS (SELECT query_id, vec_id FROM ({KNN.format('AND c.id % 20 <> 0')}) WHERE rank = 1 AND similarity >= 0.3), l AS (SELECT vec_id, max(query_id) AS q FROM b GROUP BY 1)
 SELECT id, CASE WHEN q IS NULL THEN 'old' ELSE 'new' || q END AS answer, CASE WHEN q IS NULL THEN 3 ELSE 0 END AS use_count FROM embeddings e JOIN (SELECT vec_id AS id FROM embeddings WHERE vec_id % 20 <> 0) c ON e.vec_id = c.id LEFT JOIN l ON l.vec_id = c.id
 UNION ALL SELECT vec_id, 'new' || vec_id, 0 FROM embeddings WHERE vec_id % 20 = 0 AND vec_id NOT IN (SELECT query_id FROM b)""")
