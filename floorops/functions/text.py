@@ -56,6 +56,21 @@ def language_by_script(c: Column) -> Column:
     return F.when((jp > 50) & (jp > ko), "JP").when(ko > 50, "KO").when((en > 100) & (ko < 10), "EN").otherwise("KO")
 
 
+# Marks of a language in file names, in the order in which they are tried.
+NAME_LANGUAGES = {
+    "KO": r"\(kr\)|\(kor\)|_kr\b|_kor\b|한국어|korean",
+    "EN": r"\(en\)|\(eng\)|_en\b|_eng\b|english|\ben\b.*manual",
+    "JP": r"\(jp\)|\(jpn\)|_jp\b|_jpn\b|日本語|japanese|マニュアル|取扱",
+    "CN": r"\(cn\)|\(chn\)|_cn\b|_chn\b|中文|中國|chinese|중국어|使用手册|操作说明|气压|气动",
+}
+
+
+def language_by_name(c: Column) -> Column:
+    """Language of a file by its name: the first mark, else KO for two Hangul syllables in a row, else UNKNOWN."""
+    low = F.lower(c)
+    return F.coalesce(*[F.when(low.rlike(p), lang) for lang, p in NAME_LANGUAGES.items()], F.when(c.rlike("[가-힣]{2,}"), "KO"), F.lit("UNKNOWN"))
+
+
 def natural_key(c: Column) -> Column:
     """Lower case with the length of every run of digits before it (leading zeros aside), so that page_2 sorts before page_10.
 

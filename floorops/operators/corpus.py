@@ -65,8 +65,17 @@ def pending(src: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return src.join(done.select(*keys), keys, "left_anti")
 
 
-def upsert_chunks(target: DataFrame, new: DataFrame, source: str = "source_file", index: str = "chunk_index") -> DataFrame:
-    """Replace rows by (source, index) and drop a source's tail beyond its new last index."""
+def upsert_chunks(target: DataFrame, new: DataFrame, source: str = "source_file", index: str = "chunk_index", keep: tuple[str, ...] = ("category", "created_at")) -> DataFrame:
+    """Replace rows by (source, index) and drop a source's tail beyond its new last index.
+
+    A row that is replaced keeps its old values of the columns ``keep``, as far
+    as there are such.
+    """
+    old = [c for c in target.columns if c in keep]
+    if old:
+        before = target.select(source, index, F.struct(*old).alias("_old"))
+        joined = new.join(before, [source, index], "left")
+        new = joined.select(*[F.when(F.col("_old").isNotNull(), F.col("_old")[c]).otherwise(F.col(c)).alias(c) if c in old else F.col(c) for c in new.columns])
     last = new.groupBy(source).agg(F.max(index).alias("_last"))
     kept = target.join(new.select(source, index), [source, index], "left_anti").join(last, source, "left").filter(F.col("_last").isNull() | (F.col(index) <= F.col("_last"))).drop("_last")
     return kept.unionByName(new)

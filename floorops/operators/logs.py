@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,12 +56,21 @@ def session_ids(sessions: DataFrame) -> DataFrame:
 
 
 def session_summary(turns: DataFrame) -> DataFrame:
-    """Per session: first and last time, first question (80 characters), number of turns, last speaker."""
+    """Per session: first and last time, first question (80 characters), number of turns, last speaker; the newest first.
+
+    Where there are such columns, also the first user, channel, question_source
+    and equipment_type and the last status. Turns without a session are one for
+    each time, ``legacy-`` and the time.
+    """
+    at = F.struct("time", "turn")
+    more = [F.min_by(c, at).alias(c) for c in ("user", "channel", "question_source", "equipment_type") if c in turns.columns] + [F.max_by(c, at).alias("last_status") for c in ("status",) if c in turns.columns]
+    if dict(turns.dtypes)["session_id"] == "string":
+        turns = turns.withColumn("session_id", F.coalesce(F.nullif("session_id", F.lit("")), F.concat(F.lit("legacy-"), F.coalesce(F.col("time").cast("string"), F.lit("")))))
     q = F.min_by("content", F.struct("time", "turn"))
     first = F.when(F.length(q) > 80, F.concat(F.substring(q, 1, 80), F.lit("..."))).otherwise(q)
     return turns.groupBy("session_id").agg(
-        F.min("time").alias("first_ts"), F.max("time").alias("last_ts"), first.alias("first_question"), F.count("*").alias("turns"), F.max_by("from", F.struct("time", "turn")).alias("last_from")
-    )
+        F.min("time").alias("first_ts"), F.max("time").alias("last_ts"), first.alias("first_question"), F.count("*").alias("turns"), F.max_by("from", at).alias("last_from"), *more
+    ).orderBy(F.desc("last_ts"), "session_id")
 
 
 def session_detail(turns: DataFrame, session_id: int) -> DataFrame:
@@ -89,10 +98,27 @@ def chat_search(msgs: DataFrame, q: str, offset: int, limit: int) -> DataFrame:
     return msgs.filter(hit).orderBy(F.desc("time"), F.desc("session_id"), F.desc("turn")).offset(offset).limit(limit)
 
 
-def message_dedup(msgs: DataFrame, order: list) -> DataFrame:
-    """First message of each MD5 of sender and the first 80 characters."""
-    key = F.md5(F.concat_ws("|", "from", F.substring("content", 1, 80)))
-    return msgs.withColumn("key", key).withColumn("rn", F.row_number().over(W.partitionBy("key").orderBy(*order))).filter("rn = 1").drop("rn")
+def message_key(receiver: str | None = None) -> Column:
+    """MD5 of sender, receiver and the first 80 characters."""
+    ends = ["from", receiver] if receiver else ["from"]
+    return F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ends], F.substring("content", 1, 80)))
+
+
+def message_dedup(msgs: DataFrame, order: list, receiver: str | None = None) -> DataFrame:
+    """First message of each ``message_key``."""
+    return msgs.withColumn("key", message_key(receiver)).withColumn("rn", F.row_number().over(W.partitionBy("key").orderBy(*order))).filter("rn = 1").drop("rn")
+
+
+def merge_messages(existing: DataFrame, new: DataFrame, receiver: str = "to") -> DataFrame:
+    """The log (day, id, from, to, content, time) with the new messages that it lacks.
+
+    New ones are numbered from each day's largest id on, in the order of time.
+    """
+    fresh = message_dedup(new, ["day", "time", "content"], receiver).join(existing.select(message_key(receiver).alias("key")), "key", "left_anti")
+    last = existing.groupBy("day").agg(F.max("id").alias("last"))
+    place = F.row_number().over(W.partitionBy("day").orderBy("time", "key"))
+    numbered = fresh.withColumn("place", place).join(last, "day", "left").withColumn("id", F.coalesce("last", F.lit(0)) + F.col("place"))
+    return existing.unionByName(numbered.select(*[F.col(f"`{c}`") for c in existing.columns]))
 
 
 def with_roster(counts: DataFrame, roster: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,21 +62,26 @@ def induced(rels: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, terms: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Top k documents for a bag of terms; only these terms are counted."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    base = docs.select("doc_id", words.alias("w"))
+    """Top k documents for a bag of terms (in lower case); only these terms are counted, and only where they can be.
+
+    One pass takes the length of each text and in how many each term stands; the
+    second reads the texts that hold any of the terms.
+    """
+    low = docs.select("doc_id", F.lower("text").alias("low"))
 
     def times(term: str):
-        return F.size(F.filter("w", lambda w: w == term)).cast("double")
+        whole = r"(?<![\p{L}\p{N}])" + re.escape(term) + r"(?![\p{L}\p{N}])"
+        return F.when(F.contains("low", F.lit(term)), F.regexp_count("low", F.lit(whole))).otherwise(0).cast("double")
 
     tf = [times(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = base.select("doc_id", F.size("w").alias("len"), *tf)
+    rows = low.select("doc_id", "low", F.regexp_count("low", F.lit(r"[\p{L}\p{N}]+")).alias("len"), *tf)
     s = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
         t, df = F.col(f"tf{i}"), F.col(f"df{i}")
         score = score + F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1) * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    joined = rows.join(F.broadcast(s), F.lit(True))  # one row of totals
+    some = rows.filter(reduce(Column.__or__, [F.contains("low", F.lit(t)) for t in terms]))
+    joined = some.join(F.broadcast(s), F.lit(True))  # one row of totals
     return joined.withColumn("s", score).filter("s > 0").orderBy(F.desc(F.round("s", 6)), "doc_id").limit(k).select("doc_id", F.round("s", 4).alias("score"))
 
 

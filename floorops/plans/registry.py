@@ -13,14 +13,16 @@ class QueryRegistry:
     def __init__(self, spark: SparkSession):
         self._spark, self._sql = spark, {}
 
-    def register(self, name: str, sql: str, description: str = "") -> None:
-        self._sql[name] = (sql, description)
+    def register(self, name: str, sql: str, description: str = "", defaults: dict | None = None) -> None:
+        """``defaults``: values of the markers that a run may leave out."""
+        self._sql[name] = (sql, description, defaults or {})
 
     def list(self) -> list[dict]:
         """Name, description and markers of each query."""
-        return [{"name": n, "description": d, "params": sorted(set(re.findall(r"(?<![:\w]):([A-Za-z_]\w*)", q)))} for n, (q, d) in sorted(self._sql.items())]
+        return [{"name": n, "description": d, "params": sorted(set(re.findall(r"(?<![:\w]):([A-Za-z_]\w*)", q)))} for n, (q, d, _) in sorted(self._sql.items())]
 
     def run(self, name: str, **params) -> DataFrame:
         if name not in self._sql:
             raise KeyError(f"no query named {name!r}; known: {sorted(self._sql)}")
-        return self._spark.sql(self._sql[name][0], args=params)
+        sql, _, defaults = self._sql[name]
+        return self._spark.sql(sql, args=defaults | params)
