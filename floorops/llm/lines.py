@@ -12,6 +12,8 @@ from floorops.llm.common import materialize, partitions, without
 
 #: Hash classes of words in the literal table that orders them by rarity.
 CLASSES = 65536
+#: Spark's own switch to hash joins, without sorts, where no partition is larger than this.
+HASH_JOIN = {"spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold": "64m"}
 #: A line's place is its document's id times this, plus its number.
 PLACES = 10_000_000_000
 #: Sets of up to this many words have one parity of 64 classes, larger ones two.
@@ -27,7 +29,8 @@ _NO_ID = -10_000_000_000_000_000_000
 
 def _tokens(line: Column) -> Column:
     """The words; sequences of white space and a line's ends may give empty ones."""
-    return F.split(F.when(line.rlike("[\\t\\x0B\\f\\r]"), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line), " ")
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\f"))
+    return F.split(F.when(other, F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line), " ")
 
 
 def _at(id_col: str) -> Column:
@@ -97,7 +100,7 @@ def profiles(lines: DataFrame, rarity: Column, threshold: float, min_words: int,
     whole = F.array(F.xxhash64("w"))
     keys = F.when(n < max(1, min_words), F.slice("w", 1, 0)).when(n < t / (1 - t) - 1e-9 if t < 1 else F.lit(True), whole).otherwise(prefix)
     if fine:
-        hashes = F.transform("w", lambda x: F.xxhash64(x))
+        hashes = F.transform("w", lambda x: x.bitwiseAND((1 << 56) - 1))
         more = [*_parities(F.col("w")), F.array_min(hashes).alias("low"), F.array_max(hashes).alias("high"), F.col("w")]
         more[:4] = [c.alias(b) for c, b in zip(more, FINE, strict=False)]
     else:
@@ -208,7 +211,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1, i
     """
     t = threshold
     rarity = _rarity(docs, text_col)
-    some = materialize(candidates(docs, rarity, t, min_words, id_col, text_col), "line-candidates")
+    some = materialize(candidates(docs, rarity, t, min_words, id_col, text_col), "line-candidates", **HASH_JOIN)
     lines = lines_of(docs, id_col, text_col).drop("k2").join(some, "k1", "left_semi").withColumn("at", _at("id"))
     lines = materialize(lines, "lines")
     first = lines.groupBy("k1", "line").agg(F.min("at").alias("at"), F.lit(False).alias("copied"))
@@ -222,7 +225,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1, i
     left = postings(short.join(settled, ["k1", "at"], "left_anti"), *cols)
     pairs = left.join(_other(postings(short, *cols), "word"), "word").filter((F.col("o_at") < F.col("at")) & _fits(t, "", "o_", fine=True))
     pairs = pairs.select("k1", "at", "o_k1", "o_at").distinct().join(tried, ["k1", "at", "o_k1", "o_at"], "left_anti")
-    found = matches(materialize(pairs, "line-pairs"), texts, t)
+    found = matches(materialize(pairs, "line-pairs", **HASH_JOIN), texts, t)
     kept = materialize(texts.select("k1", "at").join(settled.union(found), ["k1", "at"], "left_anti"), "line-kept")
     return lines.join(kept, ["k1", "at"], "left_anti").select("id", "text_key", "no")
 

@@ -64,8 +64,8 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     rows = [(i, " ".join(changed(rng, base, 2))) for i in range(600)]
     made = {}
 
-    def counted(df, name):
-        out = materialize(df, name)
+    def counted(df, name, **settings):
+        out = materialize(df, name, **settings)
         made[name] = out.count()
         return out
 
