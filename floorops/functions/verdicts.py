@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 
 from floorops.functions.text import ustrip
 
-# The words that decide what a file name says.
-MANUAL_WORDS = (
-    "매뉴얼 메뉴얼 취급설명서 사용자 조작 유지보수".split() + ["유지 보수", "사용설명", "작동설명", "운전매뉴얼", "운전 매뉴얼"]
-    + ["user manual", "manual", "manu_", "_manu", "instruction", "operation guide", "maintenance", "operator"]
-    + ["マニュアル", "取扱", "操作", "使用手册", "操作手册", "用户手册", "使用手冊"]
-)
-OTHER_WORDS = (
-    ["도면", "layout", "lay out", "lay-out", "외형도", "조립도", "assembly", "drawing", "배치도", "배선도", "회로도", "wiring", "schematic"]
-    + ["electrical diagram", "pneumatic diagram", "pneumatic circuit", "공압도", "(외형)", "(전체)", "외형)", "전체)", "assy", "total_assy"]
-    + ["사양서", "검사성적", "성적서", "시험성적", "검사 성적", "spec sheet", "datasheet", "data_sheet", "data sheet", "ctlg", "catalog", "카탈로그"]
-    + ["견적", "quotation", "invoice", "패킹", "packing list", "납품", "거래명세", "발주", "주문", "계약"]
-    + ["명판", "nameplate", "소모품", "consumables", "spare", "bom", "부품표", "사진", "photo", "img", "이미지", "interlock", "pneumatic", "preumatic", "~$"]
-)
+# Words of manuals in file names, in the order in which they are tried.
+MANUAL_WORDS = [
+    "매뉴얼", "메뉴얼", "취급설명서", "사용자", "조작", "유지보수", "유지 보수", "사용설명", "작동설명", "운전매뉴얼", "운전 매뉴얼", "user manual", "manual", "manu_", "_manu", "instruction",
+    "operation guide", "maintenance", "operator", "マニュアル", "取扱", "操作", "使用手册", "操作手册", "用户手册", "使用手冊",
+]
+# Words of other documents in file names, in the order in which they are tried.
+OTHER_WORDS = [
+    "도면", "layout", "lay out", "lay-out", "외형도", "조립도", "assembly", "drawing", "배치도", "배선도", "회로도", "wiring", "schematic", "electrical diagram",
+    "pneumatic diagram", "pneumatic circuit", "공압도", "(외형)", "(전체)", "외형)", "전체)", "assy", "total_assy", "사양서", "검사성적", "성적서", "시험성적", "검사 성적",
+    "spec sheet", "datasheet", "data_sheet", "data sheet", "ctlg", "catalog", "카탈로그", "견적", "quotation", "invoice", "패킹", "packing list", "납품",
+    "거래명세", "발주", "주문", "계약", "명판", "nameplate", "소모품", "consumables", "spare", "bom", "부품표", "사진", "photo", "img", "이미지", "interlock", "pneumatic",
+    "preumatic", "~$",
+]
+# Patterns of equipment in file names.
 EQUIPMENT = [r"handler\s+hp\d", r"press\s+handler", "핸들러", r"(?:loading|unloading)\s+mc", "프레스핸들러", r"프레스\s*매뉴얼", "使用说明书"]
+# Words of drafts in file names.
 DRAFT_WORDS = ["수정중", "복사본", "작업중", "편집중", "편집후", "임시", "temp", "draft", "copy", "(com)", "참고용", "출력용", "_old", "_bak"]
+# Topics of questions and their words.
 TOPICS = {
     "encoder": ["엔코더", "encoder", "리셋", "reset", "절대치", "abs", "다회전"],
     "alarm": ["알람", "alarm", "에러", "error", "E.", "경고", "fault"],
@@ -38,7 +41,9 @@ TOPICS = {
     "vision": ["비전", "카메라", "검사", "inspection", "vision"],
     "printer": ["프린터", "라벨", "마킹", "printer", "label", "zebra"],
 }
+# Words of a report of non-conformance.
 NC_WORDS = ["불량", "결함", "오류", "파손", "분실", "문제", "부적합", "이슈", "버그", "고장"]
+# Its types and their words, in the order in which they are tried.
 NC_TYPES = {
     "design_defect": ["설계", "도면", "spec", "스펙"],
     "order_error": ["발주", "주문", "오더"],
@@ -51,7 +56,9 @@ NC_TYPES = {
     "loss_damage": ["파손", "분실", "손상"],
     "cost_reduction": ["원가", "비용 절감", "저렴"],
 }
+# Its levels and their words.
 NC_LEVELS = {"critical": ["긴급", "심각", "critical", "urgent", "즉시"], "high": ["높음", "high", "중요", "빨리"], "low": ["낮음", "low", "minor", "경미"]}
+# Words of messages that ask for no work.
 SKIP_WORDS = ["재검증", "재확인", "상태 보고", "보고해주세요", "확인해주세요", "진행 상황", "중간 보고", "여전히 미동작", "미동작", "미반영"]
 
 
