@@ -82,20 +82,25 @@ def stream_stalled(stream: DataFrame, minutes: int = 15, delay: str = "1 minute"
     return rows.groupBy("task_id").applyInPandasWithState(watch, "task_id long, since timestamp", "ts timestamp", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_index(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
+def stream_index(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, source: str = "source_file"):
     """A query that chunks new or changed documents and writes each batch to its own folder of ``target``.
 
+    A document that now has no chunk leaves a row without one, so that its old
+    chunks do not stay.
+
     A batch that runs again overwrites its own folder, so that repeats change
     nothing; ``current_chunks`` reads the newest version of each document.
     """
 
     def write(batch: DataFrame, no: int) -> None:
-        chunk(batch).write.mode("overwrite").parquet(f"{target}/batch={no}")
+        made = chunk(batch)
+        bare = batch.select(source).distinct().join(made.select(source), source, "left_anti")
+        made.unionByName(bare, allowMissingColumns=True).write.mode("overwrite").parquet(f"{target}/batch={no}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
-def current_chunks(chunks: DataFrame, source: str = "source_file") -> DataFrame:
+def current_chunks(chunks: DataFrame, source: str = "source_file", index: str = "chunk_index") -> DataFrame:
     """Of each document the chunks of its newest batch; ``chunks`` is what ``stream_index`` wrote, read with its ``batch``."""
     newest = chunks.groupBy(source).agg(F.max("batch").alias("batch"))
-    return chunks.join(newest, [source, "batch"], "left_semi")
+    return chunks.join(newest, [source, "batch"], "left_semi").filter(F.col(index).isNotNull())

@@ -12,7 +12,7 @@ from floorops.functions import verdicts as V
 from floorops.operators import chunks, neighbours, records
 from floorops.plans.registry import QueryRegistry
 from floorops.sources import files
-from floorops.streaming import stateful
+from floorops.streaming import jobs, stateful
 
 
 def test_paragraphs_join_while_they_fit():
@@ -155,6 +155,20 @@ def test_index_stream_keeps_the_newest(spark, tmp_path):
     run()
     got = stateful.current_chunks(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert sorted((r.source_file, r.content) for r in got) == [("a", "changed"), ("b", "two")]
+    spark.createDataFrame([("b", ""), ("c", None)], "source_file string, text string").coalesce(1).write.mode("append").json(str(src))
+    run()
+    assert [(r.source_file, r.content) for r in stateful.current_chunks(spark.read.parquet(str(tmp_path / "out"))).collect()] == [("a", "changed")]
+
+
+def test_message_and_window_streams(spark, tmp_path):
+    ddl = "`from` string, `to` string, content string, time timestamp"
+    at = [dt.datetime(2024, 1, 1, 0, m) for m in range(4)]
+    batches = [[("a", "b", "x" * 81, at[0]), ("a", "c", "x" * 81, at[1])], [("a", "b", "x" * 80, at[2]), (None, "b", "y", at[3])]]
+    got = ran(spark, tmp_path, ddl, batches, lambda s: jobs.stream_messages(s, receiver="to"), "messages", "append")
+    assert len(got) == 3
+    (tmp_path / "w").mkdir()
+    counts = ran(spark, tmp_path / "w", "ts timestamp, tool_name string", [[(at[0], "t"), (at[3], "t")], [(at[1], "t")]], lambda s: jobs.stream_counts(s, "2 minutes"), "counts", "complete")
+    assert sorted((r.start, r.n) for r in counts) == [(at[0], 2), (at[2], 1)]
 
 
 def test_readers(spark, tmp_path):
