@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from floorops.llm.common import extended, without
+from floorops.llm.common import extended, materialize, without
 
 #: Words of the runs whose counts stand for a window's.
 RUN = 8
@@ -247,7 +247,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """
     docs = without(docs, "n_words", "n_removed", "kept", "_key", "_starts", "_settled")
     cells = sketch_cells(docs, text_col, max_cells)
-    found = repeated_windows(docs, window, id_col, text_col, cells).select(F.col("id").alias("_id"), F.col("key").alias("_k"), F.col("starts").alias("_starts"), F.col("settled").alias("_settled"))
+    found = materialize(repeated_windows(docs, window, id_col, text_col, cells), "repeated").select(F.col("id").alias("_id"), F.col("key").alias("_k"), F.col("starts").alias("_starts"), F.col("settled").alias("_settled"))
     keyed = docs.withColumn("_key", F.coalesce(F.xxhash64(text_col), F.lit(0)))
     joined = keyed.join(found, keyed[id_col].cast("long").eqNullSafe(found["_id"]) & (keyed["_key"] == found["_k"]), "left").drop("_id", "_k", "_key")
     names, at = docs.columns, docs.columns.index(text_col)
