@@ -32,25 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def materialize(df: DataFrame, name: str, **settings: str) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage, keeps the result when executors are lost, and lets later
     passes read single columns. Spark is told to remove the shuffle files of
-    the write at its end, as nothing reads them again. ``settings`` of the
-    session (dots as ``__``) hold during the write.
+    the write at its end, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/floorops-{name}-{uuid.uuid4().hex}"
-    held = {_CLEANUP: "true"} | {k.replace("__", "."): v for k, v in settings.items()}
-    before = {k: spark.conf.get(k) for k in held}
-    for k, v in held.items():
-        spark.conf.set(k, v)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
