@@ -11,6 +11,7 @@ from floorops.llm.html import extract_main_text
 from floorops.llm.lines import dedup_lines
 from floorops.llm.packing import pack
 from floorops.llm.quality import quality_scores
+from floorops.llm.runs import find_runs
 from floorops.llm.sharding import shard_by_bytes
 from floorops.llm.simhash import simhash_components
 from floorops.llm.substrings import remove_repeats
@@ -79,7 +80,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_html_extraction, op4_simhash, op5_line_dedup, op6_packing, op7_topk, op8_substrings, op9_decontamination, op10_quality)}
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "text",
+        F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"),
+        F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w"),
+    )
+    docs = docs.withColumn("n", F.size("w")).withColumn("g", F.expr("h div 10"))
+    docs = docs.withColumn("a", F.expr("cast(case when n > 0 then g % n end as int)")).withColumn("m", F.expr("cast(3 + g % 8 as int)"))
+    again = "array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, 1 + cast((n - a) div m as int)), m)), 1, n - a)), ' ')"
+    found = find_runs(docs.select("doc_id", F.when(F.expr("h % 10 = 0 and n > 0"), F.expr(again)).otherwise(F.col("text")).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.select("*", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_html_extraction, op4_simhash, op5_line_dedup, op6_packing, op7_topk, op8_substrings, op9_decontamination, op10_quality, op13_runs)}
 
 ORACLE = {
     "op7_topk": """
