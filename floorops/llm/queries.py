@@ -17,6 +17,7 @@ from floorops.llm.simhash import simhash_components
 from floorops.llm.substrings import remove_repeats
 from floorops.llm.topk import quantized, topk
 from floorops.llm.toxicity import toxicity_scores
+from floorops.llm.vectors import vector_links
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +81,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_links(table(spark, sf_dir, "embeddings"), 0.95)
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -105,7 +111,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_html_extraction, op4_simhash, op5_line_dedup, op6_packing, op7_topk, op8_substrings, op9_decontamination, op10_quality, op13_runs)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_html_extraction, op4_simhash, op5_line_dedup, op6_packing, op7_topk, op8_substrings, op9_decontamination, op10_quality, op11_vector_links, op13_runs)}
 
 ORACLE = {
     "op7_topk": """
@@ -136,6 +142,18 @@ k AS (
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        sha256(array_to_string(kept, ' ')) AS kept_sha256
 FROM k
+""",
+    "op11_vector_links": """
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), l AS (
+  SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), r(id, root) AS (SELECT id, id FROM v UNION SELECT r.id, l.b FROM r JOIN l ON r.root = l.a),
+n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(root, e.vec_id) AS component_id, coalesce(coalesce(root, e.vec_id) = e.vec_id, true) AS kept
+FROM embeddings e LEFT JOIN n ON n.id = e.vec_id LEFT JOIN c ON c.id = e.vec_id
 """,
     "op9_decontamination": r"""
 WITH d AS (
