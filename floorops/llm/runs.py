@@ -120,12 +120,12 @@ def solve(w: np.ndarray, ends: np.ndarray, octave: int, least: int) -> list[tupl
     reach = max(limit, least)
     covered: dict[int, int] = {}  # period -> boundaries before this place lie in a stretch that has been seen
     c_all, q_all = candidates(w, octave)
-    if not len(c_all):
-        return out
     text = np.searchsorted(ends, c_all, "right")
     inside = c_all + q_all < ends[text]
     c_all, q_all, text = c_all[inside], q_all[inside], text[inside]
-    first = np.flatnonzero(np.concatenate([[True], c_all[1:] != c_all[:-1]])) if len(c_all) else np.zeros(0, np.int64)
+    if not len(c_all):
+        return out
+    first = np.flatnonzero(np.concatenate([[True], c_all[1:] != c_all[:-1]]))
     for lo_hit, hi_hit in zip(first.tolist(), [*first[1:].tolist(), len(c_all)], strict=True):
         c, k = int(c_all[lo_hit]), int(text[lo_hit])
         todo = [q for q in q_all[lo_hit:hi_hit].tolist() if covered.get(q, -1) <= c]

@@ -97,3 +97,9 @@ def test_query_columns(spark, tmp_path):
         digest = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{a},{m},{q}\n" for a, m, q in found), collapsed(w, found))]
         want.append((i, len(found), *best, *digest))
     assert looped > 5 and got == sorted(want, key=repr)
+
+
+def test_candidates_that_reach_into_the_next_text():
+    w, ends = runs.coded([b"a b c d e f g h i j k l".split()] * 2)
+    for octave in runs.octaves(12):
+        assert runs.solve(w, ends, octave, 12) == []
