@@ -9,6 +9,7 @@ from floorops.llm.common import crc_mod
 from floorops.llm.decontamination import benchmark_hits
 from floorops.llm.html import extract_main_text
 from floorops.llm.lines import dedup_lines
+from floorops.llm.negatives import hard_negatives
 from floorops.llm.packing import pack
 from floorops.llm.quality import quality_scores
 from floorops.llm.runs import find_runs
@@ -86,6 +87,12 @@ def op11_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives(quantized(rows, scale=256, label_col="label"), F.col("id") % 50 == 0)
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -111,7 +118,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_html_extraction, op4_simhash, op5_line_dedup, op6_packing, op7_topk, op8_substrings, op9_decontamination, op10_quality, op11_vector_links, op13_runs)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_html_extraction, op4_simhash, op5_line_dedup, op6_packing, op7_topk, op8_substrings, op9_decontamination, op10_quality, op11_vector_links, op12_hard_negatives, op13_runs)}
 
 ORACLE = {
     "op7_topk": """
@@ -154,6 +161,24 @@ n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a),
 c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
 SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(root, e.vec_id) AS component_id, coalesce(coalesce(root, e.vec_id) = e.vec_id, true) AS kept
 FROM embeddings e LEFT JOIN n ON n.id = e.vec_id LEFT JOIN c ON c.id = e.vec_id
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.id AS anchor_id, c.id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.id <> c.id AND len(a.v) = len(c.v) WHERE a.id % 50 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3
 """,
     "op9_decontamination": r"""
 WITH d AS (

@@ -16,11 +16,26 @@ from floorops.llm.common import materialize
 LEAF = 64
 #: Candidates are taken in waves by a hash class of their id, of 64: each wave is three times as many as all before.
 WAVES = (0, 1, 4, 16, 64)
-#: Sums of products below this are exact in double precision.
-EXACT = 2.0**52
+#: Sums of products below this are exact in double precision, and below the next in 64 bits.
+EXACT, LONG = 2.0**52, 2.0**63
 LOW = np.iinfo(np.int64).min
 
 
+def products(q: np.ndarray, qf: np.ndarray, x: np.ndarray, f: np.ndarray):
+    """A function (queries, first, last) -> their exact integer inner products with the rows from first to last.
+
+    ``qf`` and ``f`` are ``q`` and ``x`` as doubles. By the components' sizes
+    doubles are multiplied, or integers where doubles would round; where 64
+    bits might not hold a sum, an error tells so.
+    """
+    most = float(np.abs(qf).max()) * float(np.abs(f).max()) * max(1, q.shape[1]) if q.size and x.size else 0.0
+    if most >= LONG:
+        raise OverflowError(f"inner products may reach {most:.3g}, beyond 64 bits: use a smaller scale")
+    if most < EXACT:
+        return lambda who, lo, hi: (qf[who] @ f[lo:hi].T).astype(np.int64)
+    return lambda who, lo, hi: q[who] @ x[lo:hi].T
+
+
 class BallTree:
     """Balls around integer vectors; a node bounds q.x by q.center + |q| * radius."""
 
@@ -34,7 +49,6 @@ class BallTree:
         if len(x):
             self._build(0, len(x))
         self.x, self.f, self.ids = x[self.order], self.f[self.order], ids[self.order]
-        self.most = float(np.abs(self.f).max()) if len(x) else 0.0
 
     def _build(self, lo: int, hi: int) -> int:
         own = self.f[self.order[lo:hi]]
@@ -71,7 +85,7 @@ class BallTree:
             return
         qf = q.astype(np.float64)
         length = np.sqrt((qf * qf).sum(axis=1))
-        exact = float(np.abs(qf).max()) * self.most * max(1, q.shape[1]) < EXACT
+        scored = products(q, qf, self.x, self.f)
         opened: list[tuple[float, int, np.ndarray, np.ndarray]] = []
 
         def open_node(node: int, who: np.ndarray) -> None:
@@ -95,7 +109,7 @@ class BallTree:
                 open_node(right, who)
                 continue
             self.leaves_scored += 1
-            score = (qf[who] @ self.f[lo:hi].T).astype(np.int64) if exact else q[who] @ self.x[lo:hi].T
+            score = scored(who, lo, hi)
             here = self.ids[lo:hi]
             score[here[None, :] == own[who][:, None]] = LOW
             hit = (score >= kth[who][:, None]).any(axis=1)
@@ -113,17 +127,31 @@ class BallTree:
                 yield i, best_id[i][ok], best[i][ok]
 
 
-def quantized(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(id, v): floor(scale * x) of each component, a bigint; vectors that are null, empty or hold null or non-finite components are left out."""
+def quantized(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64, label_col: str | None = None) -> DataFrame:
+    """(id, v), and label if a column is named for it: floor(scale * x) of each component, a bigint; vectors that are null, empty or hold null or non-finite components are left out.
+
+    A product of 2^62 or more is an error, as no bigint would hold its sums.
+    """
     x = F.col(vec_col).cast("array<double>")
+
+    def whole(v):
+        return F.when(F.abs(v * scale) < 2.0**62, F.floor(v * scale)).otherwise(F.raise_error(F.lit("a scaled component is beyond 64 bits: use a smaller scale")))
+
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return (
         vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
         .filter((F.size(vec_col) > 0) & F.coalesce(fine, F.lit(False)))
-        .select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale)).alias("v"))
+        .select(F.col(id_col).cast("long").alias("id"), F.transform(x, whole).alias("v"), *([F.col(label_col).cast("long").alias("label")] if label_col else []))
     )
 
 
+def by_wave(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` (with an id) written once, in folders by ``wave``: each wave is three times as many rows as all before, by a hash of the id."""
+    turn = F.pmod(F.xxhash64("id"), F.lit(WAVES[-1]))
+    wave = sum((turn >= hi).cast("int") for hi in WAVES[1:-1])
+    return materialize(rows.withColumn("wave", wave), name, by="wave")
+
+
 def _by_length(ids: pa.Array, vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """length -> (ids, matrix) of the vectors of that length."""
     sizes = vectors.value_lengths().to_numpy()
@@ -142,40 +170,40 @@ def topk(queries: DataFrame, candidates: DataFrame, k: int = 20, shard_rows: int
     Both inputs are (id long, v array<bigint>); a query's own row is no
     candidate of its own. Returns query_id, rank (from 1), vec_id, score.
 
-    Queries go to the tasks in blocks of about ``block_bytes``, which bounds
-    the broadcast. For each block the candidates are taken in four waves, a
-    64th first, each three times as many as all before. A task builds a ball
+    The candidates are written once, in four waves, a 64th first, each three
+    times as many as all before. Queries go to the tasks in blocks of about
+    ``block_bytes``, which bounds the broadcast; for each block every wave is
+    read once. A task builds a ball
     tree over each ``shard_rows`` rows that it reads, without a shuffle, and
     searches it for the block. After each wave the best k so far are merged,
     and each query's k-th score goes along with it into the next wave, where it
     cuts branches from the start: so shards return some ten times k rows a
-    query in all, however many shards there are. The candidates are read once
-    for each block.
+    query in all, however many shards there are. Building a tree takes some
+    thousandth of searching it for a full block, so trees are not kept.
 
     Vectors of another length than a query's are not compared with it. Repeated
     ids are candidates each, and a repeated query id is asked once, with its
-    smallest vector. Empty inputs give an empty result. Components are exact up
-    to 64 bits, and so are scores; where doubles would round, integers are
-    multiplied.
+    smallest vector. Empty inputs give an empty result. Scores are exact in 64
+    bits (``products``); if one might not fit, that is an error.
     """
     spark = candidates.sparkSession
     queries = materialize(queries.groupBy("id").agg(F.min("v").alias("v")), "queries")
     size = queries.agg(F.sum(F.size("v") * F.lit(8).cast("bigint"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    candidates = by_wave(candidates.select("id", "v"), "candidates")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     done = None
     for b in range(blocks):
         got = queries.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)) == b).toArrow().combine_chunks()
         block = _by_length(*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in got.columns)) if len(got) else {}
         running, floors = None, {}
-        for lo, hi in zip(WAVES, WAVES[1:], strict=False):
+        for wave in range(len(WAVES) - 1):
             floor = {d: np.array([floors.get(i, LOW) for i in ids.tolist()], np.int64) for d, (ids, _) in block.items()}
             sent = spark.sparkContext.broadcast((block, floor))
-            turn = F.pmod(F.xxhash64("id"), F.lit(WAVES[-1]))
-            found = candidates.filter((turn >= lo) & (turn < hi)).select("id", "v").mapInArrow(_search(sent, k, shard_rows), "query_id long, vec_id long, score long")
+            found = candidates.filter(F.col("wave") == wave).select("id", "v").mapInArrow(_search(sent, k, shard_rows), "query_id long, vec_id long, score long")
             found = found if running is None else running.unionByName(found)
             running = materialize(found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k), "topk").select("query_id", "vec_id", "score", "rank")
-            if hi < WAVES[-1]:
+            if wave < len(WAVES) - 2:
                 floors = dict(running.filter(F.col("rank") == k).select("query_id", "score").collect())  # one for each query of the block
                 running = running.drop("rank")
             sent.unpersist()
