@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder, in folders by a column if one is named, and read it back.
 
     Cuts the lineage, keeps the result when executors are lost, and lets later
@@ -44,7 +44,7 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path, compression=codec)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

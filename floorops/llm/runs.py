@@ -231,7 +231,7 @@ def find_runs(docs: DataFrame, least: int = 12, tile_words: int = 4096, id_col:
                 yield scan(batch.slice(lo, 250), least, tile_words)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(rows.mapInArrow(read, f"row long, id {kind}, n_words long, text string, parts {PARTS}"), "run-parts")
+    rows = materialize(rows.mapInArrow(read, f"row long, id {kind}, n_words long, text string, parts {PARTS}"), "run-parts", codec="zstd")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +252,7 @@ def find_runs(docs: DataFrame, least: int = 12, tile_words: int = 4096, id_col:
     tiled = rows.filter("parts is null").select("row", "text").mapInArrow(cut, "row long, at long, octaves array<bigint>, words binary")
     tiled = tiled.repartition(partitions(spark), "row", "at", "octaves").mapInArrow(part, "row long, period long, start long, end long")
     whole = rows.select("row", F.inline("parts"))
-    runs = stitched(whole.unionByName(tiled), least)
+    runs = materialize(stitched(whole.unionByName(tiled), least), "runs")
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
