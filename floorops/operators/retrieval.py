@@ -30,13 +30,6 @@ def build_context(hits: DataFrame, least: float = 0.3, per_source: int = 5) -> D
     return rows.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", line.alias("line")))), lambda x: x["line"]), "\n").alias("context"))
 
 
-def feedback_fold(events: DataFrame, key: str, good, order: list[str], start: float = 0.5) -> DataFrame:
-    """Score per key: good adds .05 up to 1, bad takes .15 down to 0, in event order."""
-    rows = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.when(good, 0.05).otherwise(-0.15).alias("d")))).alias("e"), F.count_if(good).alias("good_count"), F.count_if(~good).alias("bad_count"))
-    score = F.aggregate("e", F.lit(start), lambda s, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), s + x["d"])))
-    return rows.select(key, F.round(score, 4).alias("score"), "good_count", "bad_count")
-
-
 def expand(rels: DataFrame, seeds: DataFrame) -> DataFrame:
     """Neighbours of the seeds over relations in either direction."""
     both = rels.select("src", "dst", "type").unionByName(rels.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"))

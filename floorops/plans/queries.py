@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorops.functions import text as T
-from floorops.operators import corpus, erp, logs, reports, retrieval
+from floorops.operators import corpus, erp, feedback, logs, reports, retrieval
 from floorops.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,10 +314,36 @@ def rag_context(s, d):
     return retrieval.build_context(hits, 0.05, 5)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (
+  SELECT CAST(user_id AS VARCHAR) AS agent, event_type <> 'error' AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+), f(agent, n, twentieths) AS (
+  SELECT DISTINCT agent, CAST(0 AS BIGINT), 10 FROM e
+  UNION ALL SELECT f.agent, e.n, CASE WHEN good THEN least(20, twentieths + 1) ELSE greatest(0, twentieths - 3) END FROM f JOIN e ON e.agent = f.agent AND e.n = f.n + 1
+)
+SELECT f.agent, round(arg_max(twentieths, f.n) / 20.0, 4) AS score, max(g) AS good_count, max(b) AS bad_count
+FROM f JOIN (SELECT agent, count(*) FILTER (good) AS g, count(*) FILTER (NOT good) AS b FROM e GROUP BY agent) t ON t.agent = f.agent GROUP BY 1""")
 def feedback_fold(s, d):
     e = fx.response_times(s, d).select("agent", "ts", "event_id", "channel")
-    return retrieval.feedback_fold(e, "agent", F.col("channel") != "error", ["ts", "event_id"])
+    return feedback.feedback_fold(e, "agent", F.col("channel") != "error", ["ts", "event_id"])
+
+
+@query("""WITH RECURSIVE e AS (
+  SELECT user_id AS id, CASE event_type WHEN 'error' THEN 'bad' WHEN 'view' THEN NULL ELSE 'good' END AS rating, ts, event_id FROM events
+), r AS (SELECT id, rating, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS n FROM e WHERE rating IS NOT NULL),
+c AS (SELECT s_suppkey AS id, s_suppkey % 21 AS twentieths, CAST(s_suppkey % 3 AS BIGINT) AS good_count, CAST(0 AS BIGINT) AS bad_count FROM supplier),
+f(id, n, twentieths) AS (
+  SELECT id, CAST(0 AS BIGINT), twentieths FROM c
+  UNION ALL SELECT f.id, r.n, CASE rating WHEN 'good' THEN least(20, twentieths + 1) ELSE greatest(0, twentieths - 3) END FROM f JOIN r ON r.id = f.id AND r.n = f.n + 1
+)
+SELECT c.id, round(arg_max(f.twentieths, f.n) / 20.0, 4) AS score,
+ any_value(c.good_count) + (SELECT count(*) FROM r WHERE r.id = c.id AND rating = 'good') AS good_count, any_value(c.bad_count) + (SELECT count(*) FROM r WHERE r.id = c.id AND rating = 'bad') AS bad_count
+FROM c JOIN f ON f.id = c.id GROUP BY c.id""")
+def apply_feedback(s, d):
+    rating = F.when(F.col("event_type") == "error", "bad").when(F.col("event_type") != "view", "good")
+    events = fx.table(s, d, "events").select(F.col("user_id").cast("long").alias("id"), rating.alias("rating"), "ts", "event_id")
+    n = F.col("s_suppkey").cast("long")
+    cache = fx.table(s, d, "supplier").select(n.alias("id"), (n % 21 / 20).alias("score"), (n % 3).alias("good_count"), F.lit(0).cast("long").alias("bad_count"))
+    return feedback.apply_feedback(cache, events, "rating", ["ts", "event_id"]).withColumn("score", F.round("score", 4))
 
 
 RELS = "(SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, 'placed' AS type FROM orders)"

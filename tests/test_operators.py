@@ -4,7 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from floorops.functions import text as T
-from floorops.operators import corpus, logs, reports, retrieval
+from floorops.operators import corpus, feedback, logs, reports, retrieval
 from floorops.sources import files
 from floorops.streaming import jobs
 
@@ -95,7 +95,7 @@ def test_scalars(spark):
 
 def test_feedback_clips_at_each_step(spark):
     rows = [("k", i, "good") for i in range(12)] + [("k", 12, "bad")]
-    got = retrieval.feedback_fold(spark.createDataFrame(rows, "k string, i int, r string"), "k", F.col("r") == "good", ["i"]).first()
+    got = feedback.feedback_fold(spark.createDataFrame(rows, "k string, i int, r string"), "k", F.col("r") == "good", ["i"]).first()
     assert got["score"] == 0.85 and got["good_count"] == 12 and got["bad_count"] == 1
 
 
