@@ -42,13 +42,31 @@ def pair_traffic(msgs: DataFrame, sender: str, receiver: str, hub: str) -> DataF
     return msgs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def sessionize(msgs: DataFrame, gap: int = 600, tie: str | None = None) -> DataFrame:
-    """Sessions of one channel and user; a pause of ``gap`` seconds or more starts a new one."""
+def sessionize(msgs: DataFrame, gap: int = 600, tie: str | None = None, closes: Column | None = None) -> DataFrame:
+    """Sessions of one channel and user; a pause of ``gap`` seconds or more starts a new one.
+
+    Rows that meet ``closes`` (good ratings) are no messages: they end the
+    session before them, so that the next message starts a new one, and
+    ``closed`` tells which sessions ended so.
+    """
     order = W.partitionBy("channel", "user").orderBy("ts", *([tie] if tie else []))
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    new = F.coalesce((us - F.lag(us).over(order) >= gap * 1_000_000).cast("int"), F.lit(1))
-    marked = msgs.withColumn("new", new).withColumn("no", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy("channel", "user", "no").agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    if closes is None:
+        new = F.coalesce((us - F.lag(us).over(order) >= gap * 1_000_000).cast("int"), F.lit(1))
+        marked = msgs.withColumn("new", new).withColumn("no", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        return marked.groupBy("channel", "user", "no").agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    rated = msgs.withColumn("rating", F.coalesce(closes, F.lit(False)))
+    # of the rows before: the time of the last message, and whether a rating came after it
+    last = F.last(F.when(~F.col("rating"), us), ignorenulls=True).over(before)
+    marked = rated.withColumn("new", F.when(F.col("rating"), 0).when((us - last < gap * 1_000_000) & ~F.lag("rating").over(order), 0).otherwise(1))
+    marked = marked.withColumn("ends", F.col("rating") & (us - last < gap * 1_000_000))
+    marked = marked.withColumn("no", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    message = ~F.col("rating")
+    sessions = marked.groupBy("channel", "user", "no").agg(
+        F.min(F.when(message, F.col("ts"))).alias("start"), F.max(F.when(message, F.col("ts"))).alias("last"), F.count_if(message).alias("n"), F.max("ends").alias("closed")
+    )
+    return sessions.filter("n > 0")
 
 
 def session_ids(sessions: DataFrame) -> DataFrame:

@@ -78,6 +78,19 @@ def sessionize(s, d):
     return logs.session_ids(logs.sessionize(fx.chat(s, d), 600, "event_id"))
 
 
+@query("""WITH m AS (
+  SELECT *, event_id % 5 = 0 AS rating, lag(event_id % 5 = 0) OVER w AS after_rating,
+   epoch_us(ts) - max(epoch_us(ts)) FILTER (event_id % 5 <> 0) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pause
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), s AS (SELECT *, sum(CASE WHEN NOT rating AND (pause IS NULL OR pause >= 86400000000 OR after_rating) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM m)
+SELECT CAST(user_id AS VARCHAR) AS "user", min(ts) FILTER (NOT rating) AS start, max(ts) FILTER (NOT rating) AS last, count(*) FILTER (NOT rating) AS n, max(rating AND coalesce(pause < 86400000000, false)) AS closed
+FROM s GROUP BY user_id, no HAVING count(*) FILTER (NOT rating) > 0""")
+def sessionize_rated(s, d):
+    """One channel, a day's pause, and every fifth event a good rating."""
+    rows = fx.chat(s, d).withColumn("channel", F.lit("all"))
+    return logs.sessionize(rows, 86_400, "event_id", F.col("event_id") % 5 == 0).select("user", "start", "last", "n", "closed")
+
+
 @query(f"""SELECT session_id, min(time) AS first_ts, max(time) AS last_ts, CASE WHEN length(arg_min(content, turn)) > 80 THEN substr(arg_min(content, turn), 1, 80) || '...' ELSE arg_min(content, turn) END AS first_question,
 count(*) AS turns, arg_max(sender, turn) AS last_from FROM {MESSAGES} GROUP BY 1""")
 def session_summary(s, d):

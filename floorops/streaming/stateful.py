@@ -1,4 +1,4 @@
-"""Streams that keep state by key: task states, stalled tasks, status flips, and the index of documents."""
+"""Streams that keep state by key: task states, status flips, and the index of documents."""
 
 from __future__ import annotations
 
@@ -53,35 +53,6 @@ def stream_tasks(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return rows.groupBy("task_id").applyInPandasWithState(fold, "task_id long, status string, completed_at timestamp", "status string, at timestamp, last long", "update", GroupStateTimeout.NoTimeout)
 
 
-def stream_stalled(stream: DataFrame, minutes: int = 15, delay: str = "1 minute") -> DataFrame:
-    """Tasks in progress that the watermark finds without an update for over ``minutes``, from rows (task_id, status, ts).
-
-    A timer a task, reset by each update; tasks that are not in progress have none, and their state goes.
-    """
-    wait = minutes * 60_000
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            since = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"task_id": [key[0]], "since": pd.to_datetime([since])})
-            return
-        rows = pd.concat(list(batches)).sort_values("ts")
-        last = rows.iloc[-1]
-        if state.exists and state.get[0] > last["ts"].to_pydatetime():
-            return
-        if last["status"] != "in_progress":
-            if state.exists:
-                state.remove()
-            return
-        state.update((last["ts"].to_pydatetime(),))
-        due = int(last["ts"].timestamp() * 1000) + wait + 1
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    rows = stream.withWatermark("ts", delay)
-    return rows.groupBy("task_id").applyInPandasWithState(watch, "task_id long, since timestamp", "ts timestamp", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def stream_index(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, source: str = "source_file"):
     """A query that chunks new or changed documents and writes each batch to its own folder of ``target``.
 

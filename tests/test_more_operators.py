@@ -136,12 +136,6 @@ def test_tasks_stream_ends_as_the_fold(spark, tmp_path):
     assert {(r.task_id, r.status) for r in batch} == {(1, "done")}  # reports about tasks that nobody requested make none
 
 
-def test_stalled_stream(spark, tmp_path):
-    batches = [[(1, "in_progress", at(0)), (2, "in_progress", at(0))], [(2, "done", at(5))], [(9, "done", at(40))], [(9, "done", at(41))]]
-    got = ran(spark, tmp_path, "task_id long, status string, ts timestamp", batches, stateful.stream_stalled, "stalled", "append")
-    assert [(r.task_id, r.since) for r in got] == [(1, at(0))]
-
-
 def test_index_stream_keeps_the_newest(spark, tmp_path):
     src = tmp_path / "docs"
     spark.createDataFrame([("a", "one"), ("b", "two")], "source_file string, text string").coalesce(1).write.json(str(src))
