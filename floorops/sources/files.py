@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from floorops.functions.verdicts import channel_tags
+
 CHATLOG = "_header BOOLEAN, channel_id STRING, channel_name STRING, ts STRING, user_id STRING, username STRING, text STRING, files ARRAY<STRUCT<name STRING, type STRING, saved_path STRING>>, _bad STRING"
 SESSIONS = (
     "session_id STRING, timestamp STRING, channel STRING, user STRING, question_source STRING, language STRING, query STRING, question STRING,"
@@ -60,13 +62,61 @@ def write_sessions(df: DataFrame, combined: str, per_session: str) -> None:
 
 
 def read_transcripts(spark: SparkSession, path: str, agents: dict[str, str]) -> DataFrame:
-    """Assistant and user rows of nested transcripts; the folder's name gives the agent by a lookup, else stands itself. Content stays JSON text."""
-    schema = "type STRING, timestamp STRING, requestId STRING, message STRUCT<role: STRING, content: STRING, usage: STRUCT<input_tokens: BIGINT, output_tokens: BIGINT>>, _bad STRING"
+    """Assistant and user rows of nested transcripts, with all four kinds of tokens; lines that are no JSON are skipped.
+
+    The folder's name gives the agent by a lookup, else stands itself.
+    ``content`` is text in one row and an array of objects in the next, so it
+    is a variant.
+    """
+    usage = "input_tokens: BIGINT, output_tokens: BIGINT, cache_creation_input_tokens: BIGINT, cache_read_input_tokens: BIGINT"
+    schema = f"type STRING, timestamp STRING, requestId STRING, message STRUCT<role: STRING, content: VARIANT, usage: STRUCT<{usage}>>, _bad STRING"
     rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path).select("*", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder")).filter("_bad IS NULL AND type IN ('assistant', 'user')")
     agent = F.coalesce(*[F.when(F.col("folder") == k, F.lit(v)) for k, v in agents.items()], F.col("folder"))
     return rows.select(agent.alias("agent"), "type", "timestamp", F.col("requestId").alias("request_id"), "message.content", "message.usage.*")
 
 
+# The sources of tagged messages, the tools that send some, and who speaks by telegram.
+AGENT_SOURCE, TELEGRAM_SOURCE = "agent-channel", "plugin:telegram:telegram"
+AGENT_TOOL, TELEGRAM_TOOL = "mcp__agent-channel__send_message", "mcp__plugin_telegram_telegram__reply"
+TELEGRAM_AGENT, TELEGRAM_SENDER = "MAX", "boss"
+
+
+def transcript_messages(transcripts: DataFrame) -> DataFrame:
+    """Messages (from, to, content, type, ts) of transcripts (agent, type, timestamp, content).
+
+    User rows hold tagged messages in their text, assistant rows tool calls in
+    an array; both may be of the agents' channel, and those of one agent also
+    of telegram. A tag without a time takes its row's. Tool calls without
+    receiver or text, and contents of any other shape, give nothing.
+    """
+    kind = F.schema_of_variant("content")
+    said = F.when((F.col("type") == "user") & (kind == "STRING"), F.try_variant_get("content", "$", "string"))
+    by_max = F.col("agent") == TELEGRAM_AGENT
+    tags = F.concat(
+        F.transform(F.when(by_max, channel_tags(F.col("said"), TELEGRAM_SOURCE)).otherwise(F.array()), lambda x: F.struct(F.lit(TELEGRAM_SENDER).alias("from"), x["content"].alias("content"), F.lit("telegram").alias("type"), x["ts"].alias("ts"))),
+        F.transform(channel_tags(F.col("said"), AGENT_SOURCE), lambda x: F.struct(x["from"].alias("from"), x["content"].alias("content"), F.lit("chat").alias("type"), x["ts"].alias("ts"))),
+    )
+    tagged = transcripts.withColumn("said", said).filter("said is not null").select("agent", "timestamp", F.explode(tags).alias("m"))
+    tagged = tagged.select("m.from", F.col("agent").alias("to"), "m.content", "m.type", F.coalesce(F.nullif("m.ts", F.lit("")), "timestamp").alias("ts"))
+
+    lists = transcripts.filter((F.col("type") == "assistant") & kind.startswith("ARRAY"))
+    calls = lists.lateralJoin(transcripts.sparkSession.tvf.variant_explode(F.col("content").outer())).select("agent", "timestamp", "value")
+
+    def field(at: str):
+        return F.nullif(F.try_variant_get("value", at, "string"), F.lit(""))
+
+    calls = calls.filter(field("$.type") == "tool_use").select("agent", "timestamp", field("$.name").alias("name"), field("$.input.to").alias("to"), field("$.input.message").alias("message"), field("$.input.text").alias("text"))
+    by_telegram = (F.col("name") == TELEGRAM_TOOL) & by_max
+    sent = calls.select(
+        F.col("agent").alias("from"),
+        F.when(by_telegram, F.lit(TELEGRAM_SENDER)).when(F.col("name") == AGENT_TOOL, F.col("to")).alias("to"),
+        F.when(by_telegram, F.col("text")).when(F.col("name") == AGENT_TOOL, F.col("message")).alias("content"),
+        F.when(by_telegram, "telegram").otherwise("chat").alias("type"),
+        F.col("timestamp").alias("ts"),
+    )
+    return tagged.unionByName(sent.filter("`to` is not null and content is not null"))
+
+
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """Messages of daily files, each a JSON array."""
     return spark.read.schema('id STRING, `from` STRING, `to` STRING, content STRING, time TIMESTAMP').json(path, multiLine=True)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from floorops.sources.store import write_chunks
+
 _STATUS = {"complete": "done", "progress": "in_progress", "blocked": "blocked"}
 
 
@@ -53,25 +55,15 @@ def stream_tasks(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return rows.groupBy("task_id").applyInPandasWithState(fold, "task_id long, status string, completed_at timestamp", "status string, at timestamp, last long", "update", GroupStateTimeout.NoTimeout)
 
 
-def stream_index(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, source: str = "source_file"):
-    """A query that chunks new or changed documents and writes each batch to its own folder of ``target``.
-
-    A document that now has no chunk leaves a row without one, so that its old
-    chunks do not stay.
+def stream_index(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, source: str = "source_file", index: str = "chunk_index", parts: int = 256):
+    """A query that chunks new or changed documents and upserts their chunks into the folder ``target`` (``sources.store``).
 
-    A batch that runs again overwrites its own folder, so that repeats change
-    nothing; ``current_chunks`` reads the newest version of each document.
+    A document that now has no chunk loses its old ones. A batch rewrites only
+    the parts of its own sources, and one that runs again changes nothing;
+    ``store.read_chunks`` reads the folder.
     """
 
     def write(batch: DataFrame, no: int) -> None:
-        made = chunk(batch)
-        bare = batch.select(source).distinct().join(made.select(source), source, "left_anti")
-        made.unionByName(bare, allowMissingColumns=True).write.mode("overwrite").parquet(f"{target}/batch={no}")
+        write_chunks(chunk(batch), target, no, batch, parts, source, index)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
-
-
-def current_chunks(chunks: DataFrame, source: str = "source_file", index: str = "chunk_index") -> DataFrame:
-    """Of each document the chunks of its newest batch; ``chunks`` is what ``stream_index`` wrote, read with its ``batch``."""
-    newest = chunks.groupBy(source).agg(F.max("batch").alias("batch"))
-    return chunks.join(newest, [source, "batch"], "left_semi").filter(F.col(index).isNotNull())
