@@ -267,7 +267,7 @@ def find_runs(docs: DataFrame, least: int = 12, tile_words: int = 4096, id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.binary()).cast(pa.string())], names=["id", "n_words", "runs", "collapsed"])
 
     shape = "array<struct<start:bigint,length:bigint,period:bigint>>"
-    some = rows.filter("parts is null or size(parts) > 0").select("row", "id", "n_words", "text").join(runs, "row", "left")
+    some = rows.filter("parts is null or size(parts) > 0").select("row", "id", "n_words", "text").join(runs.hint("merge"), "row", "left")
     some = some.select("id", "n_words", "text", F.coalesce("runs", F.from_json(F.lit("[]"), shape)).alias("runs")).mapInArrow(collapse, f"id {kind}, n_words long, runs {shape}, collapsed string")
     none = rows.filter("size(parts) = 0").select("id", "n_words", F.from_json(F.lit("[]"), shape).alias("runs"), F.col("text").alias("collapsed"))
     return none.unionByName(some).withColumnRenamed("id", id_col)
