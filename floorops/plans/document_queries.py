@@ -221,11 +221,6 @@ def chunk_markdown(s, d):
     return chunks.chunk_with(docs, chunks.by_section, name_col="name")
 
 
-@query()
-def chunk_sheet(s, d):
-    return chunks.chunk_rows(fx.table(s, d, "orders"), ["o_custkey"], "o_orderkey", ["o_orderkey", "o_orderstatus", "o_orderpriority"])
-
-
 def _lines(s, d):
     return _docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
 
