@@ -26,8 +26,22 @@ def strip_html(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"\s+", " "))
 
 
-def safe_name(c: Column) -> Column:
-    """Unsafe characters to underscores, repeats collapsed, ends stripped; 12 hex digits of MD5 where nothing is left."""
+def safe_name(c: Column, mode: str = "storage") -> Column:
+    """A name fit for a store.
+
+    ``storage``: unsafe characters to underscores, repeats collapsed, ends
+    stripped; 12 hex digits of MD5 where nothing is left. ``session``:
+    characters unfit for files to hyphens, repeats collapsed, ends stripped,
+    ``unknown`` where nothing is left. ``file``: the path's last part, with
+    spaces and unfit characters as underscores.
+    """
+    if mode == "session":
+        s = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r'[<>:"/\\|?*]', "-"), "-+", "-"), "^-|-$", "")
+        return F.coalesce(F.nullif(s, F.lit("")), F.when(c.isNotNull(), F.lit("unknown")))
+    if mode == "file":
+        return F.regexp_replace(F.substring_index(c, "/", -1), r'[ /\\:*?"<>|]', "_")
+    if mode != "storage":
+        raise ValueError(f"no mode {mode}")
     s = F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_"), r"_+", "_")
     s = F.regexp_replace(s, r"^[_.]+|[_.]+$", "")
     return F.when(F.length(s) == 0, F.substring(F.md5(c), 1, 12)).otherwise(s)

@@ -61,6 +61,10 @@ NC_LEVELS = {"critical": ["긴급", "심각", "critical", "urgent", "즉시"], "
 # Words of messages that ask for no work.
 SKIP_WORDS = ["재검증", "재확인", "상태 보고", "보고해주세요", "확인해주세요", "진행 상황", "중간 보고", "여전히 미동작", "미동작", "미반영"]
 
+# The beginnings of such messages, and receivers who are given no tasks.
+TASK_PREFIXES = ["[MAX 확인]", "[MAX 전달]", "[MAX 승인]", "[MAX 확인 요청]", "[MAX 긴급]"]
+NO_TASK_FOR = ("MAX", "slack-bot", "all")
+
 
 def has_any(c: Column, words: list[str]) -> Column:
     return reduce(Column.__or__, [F.contains(c, F.lit(w)) for w in words])
@@ -263,3 +267,8 @@ def part_swap(c: Column, parts: list[str], changes: list[str]) -> Column:
 
 def metadata_json(*columns: str) -> Column:
     return F.to_json(F.struct(*columns))
+
+
+def read_metadata(c: Column, fields: str) -> Column:
+    """Struct of the named and typed ``fields`` of JSON metadata; null for what is missing, of another type, or no JSON object."""
+    return F.from_json(c, fields, {"mode": "PERMISSIVE"})

@@ -109,6 +109,60 @@ def by_section(text: str, size: int = 1000, overlap: int = 100, least: int = 50,
     return ["\n\n".join(filter(None, [" > ".join(above + ([f"섹션: {h}"] if h else [])), t])) for _, h, t in out if len(t) >= least]
 
 
+def _joined_short(texts: list[str], least: int, size: int) -> list[str]:
+    """Texts in which short ones are joined with the next long one if both fit, else stand before it; the last ones join what is before."""
+    out: list[str] = []
+    held: list[str] = []
+    for t in texts:
+        if len(t) < least:
+            held.append(t)
+            continue
+        both = "\n\n".join([*held, t])
+        out += [t] if not held else [both] if len(both) <= size else ["\n\n".join(held), t]
+        held = []
+    if held:
+        end = "\n\n".join(held)
+        if out and len(out[-1]) + 2 + len(end) <= size:
+            out[-1] += "\n\n" + end
+        else:
+            out.append(end)
+    return out
+
+
+def by_heading(text: str, size: int = 1000, overlap: int = 100, least: int = 50, table: int = 2000, name: str = "") -> list[str]:
+    """The other way to cut Markdown: the text under a heading in windows, tables whole or in parts, each with its line above it as in ``by_section``.
+
+    Short texts are joined after that, so what is joined moves up to the place
+    of the first; a joined text is under the heading of the first that it
+    holds. What stays shorter than ``least`` goes.
+    """
+    blocks: list[list] = []  # is a table, heading, lines
+    heading = ""
+    for line in text.split("\n"):
+        row = line.strip()
+        is_row = row.startswith("|") and row.endswith("|")
+        begins = re.match(r"#{1,4}(\s|$)", line)
+        if found := _HEADING.match(line):
+            heading = found[1].strip()
+        if begins or not blocks or blocks[-1][0] != is_row:
+            blocks.append([is_row, heading, []])
+        blocks[-1][2].append(line)
+    parts: list[tuple[bool, str, str]] = []
+    for is_table, under, lines in blocks:
+        whole = "\n".join(lines).strip()
+        if is_table:
+            made = _table_parts(whole.split("\n"), table - 1) if len(whole) > table else [whole]
+        else:
+            made = [whole] if len(whole) <= size else [p.strip() for p in pieces(whole, size, overlap)]
+        parts += [(is_table, under, p) for p in made if whole]
+    texts = [(t, h) for is_table, h, t in parts if not is_table]
+    exact = dict(texts)
+    joined = iter([(t, exact.get(t) or next((h for x, h in texts if x in t), "")) for t in _joined_short([t for t, _ in texts], least, size)])
+    out = [(t, h) if is_table else next(joined, None) for is_table, h, t in parts]
+    above = [f"문서: {name}"] if name else []
+    return ["\n\n".join(filter(None, [" > ".join(above + ([f"섹션: {h}"] if h else [])), t])) for t, h in filter(None, out) if len(t.strip()) >= least]
+
+
 def chunk_with(docs: DataFrame, cut: Callable[..., list[str]], text_col: str = "text", name_col: str | None = None, **how) -> DataFrame:
     """``docs`` without the text, a row for each chunk that ``cut`` makes: (chunk_index from 0, content). Null texts have none."""
 

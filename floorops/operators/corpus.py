@@ -34,11 +34,12 @@ def corpus_stats(chunks: DataFrame, source: str, has_vector) -> DataFrame:
     return chunks.agg(F.count_distinct(source).alias("sources"), F.count_distinct(F.when(has_vector, F.col(source))).alias("embedded"), F.count("*").alias("n_rows"))
 
 
-def embed_progress(files: DataFrame) -> DataFrame:
-    """Distinct files and chunks per category, with a total line, in one pass."""
+def embed_progress(files: DataFrame, target: int | None = None) -> DataFrame:
+    """Distinct files and chunks per category, with a total line, in one pass; with a ``target`` also the files' share of it in percent."""
     cat = F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("unknown"))
     got = files.withColumn("category", cat).rollup("category").agg(F.grouping("category").alias("g"), F.count_distinct("path").alias("files"), F.count("*").alias("chunks"))
-    return got.select(F.when(F.col("g") == 1, "total").otherwise(F.col("category")).alias("category"), "files", "chunks")
+    share = [] if target is None else [F.round(F.col("files") * 100.0 / target, 1).alias("share") if target else F.lit(0.0).alias("share")]
+    return got.select(F.when(F.col("g") == 1, "total").otherwise(F.col("category")).alias("category"), "files", "chunks", *share)
 
 
 def filter_report(files: DataFrame) -> DataFrame:
@@ -88,3 +89,18 @@ def replace_sources(target: DataFrame, new: DataFrame, source: str = "source_fil
 def progress_counts(rows: DataFrame, statuses: list[str]) -> DataFrame:
     got = rows.groupBy("category").pivot("status", statuses).agg(F.count(F.lit(1)))
     return got.na.fill(0)
+
+
+def progress_report(files: DataFrame, statuses: list[str], done: tuple[str, ...] = ("embedded", "skipped", "parsed")) -> DataFrame:
+    """Files (path, status) by status, in total and done, with the share done in percent: a line for each category and one overall.
+
+    The category is a path's first folder, ``unknown`` for a bare name; a
+    missing status is ``pending``; statuses of other names count in the total.
+    """
+    status = F.coalesce("status", F.lit("pending"))
+    category = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1)).otherwise("unknown")
+    rows = files.select(category.alias("category"), status.alias("status"))
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in statuses]
+    got = rows.rollup("category").agg(F.grouping("category").alias("g"), *counts, F.count("*").alias("total"), F.count_if(F.col("status").isin(*done)).alias("done"))
+    share = F.when(F.col("total") > 0, F.round(F.col("done") * 100.0 / F.col("total"), 1)).otherwise(0.0)
+    return got.select(F.when(F.col("g") == 1, "all").otherwise(F.col("category")).alias("category"), *statuses, "total", "done", share.alias("done_pct"))

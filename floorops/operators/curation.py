@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from floorops.functions.verdicts import is_draft
+from floorops.functions.verdicts import classify_filename, is_draft
 
 STAGES = ("draft", "hash_duplicate", "docx_pdf_pair", "same_stem_duplicate")
 #: log2 of a sketch's registers; its error is some 1.04 / sqrt(2 ** this), below one in a hundred.
@@ -68,3 +68,24 @@ def sketched_stats(sketches: DataFrame) -> DataFrame:
     """(sources, embedded, n_rows) of sketches of any days: the numbers of sources are estimates, rows are exact, and no chunk is read."""
     sizes = [F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in ("sources", "embedded")]
     return sketches.agg(*[F.coalesce(s, F.lit(0)).alias(c) for s, c in zip(sizes, ("sources", "embedded"), strict=True)], F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
+
+
+def classified(files: DataFrame, name: str = "name") -> DataFrame:
+    """``files`` (path, category, hash) with ``verdict``: manual, excluded or duplicate, and ``reason``, the rule that spoke.
+
+    Only manuals can be duplicates: of equal contents the first by category and path stays.
+    """
+    rows = files.withColumn("_v", classify_filename(F.col(name))).withColumn("_m", F.coalesce(F.col("_v")["is_manual"], F.lit(False)))
+    first = F.row_number().over(W.partitionBy("hash", "_m").orderBy("category", "path")) == 1
+    verdict = F.when(~F.col("_m"), "excluded").when(first | F.col("hash").isNull(), "manual").otherwise("duplicate")
+    return rows.withColumn("verdict", verdict).withColumn("reason", F.col("_v")["reason"]).drop("_v", "_m")
+
+
+def classification_report(rows: DataFrame) -> DataFrame:
+    """(dim, key, total, manual, excluded, duplicate) of classified files: overall, by category, and by the reason of excluded ones."""
+    counts = [F.count("*").alias("total"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("manual", "excluded", "duplicate")]]
+    rows = rows.select("category", "verdict", F.when(F.col("verdict") == "excluded", F.col("reason")).alias("reason"))
+    got = rows.groupingSets([[], ["category"], ["reason"]], "category", "reason").agg(F.grouping_id("category", "reason").alias("g"), *counts)
+    dim = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "category").otherwise("reason")
+    key = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, F.col("category")).otherwise(F.col("reason"))
+    return got.filter("g <> 2 or reason is not null").select(dim.alias("dim"), key.alias("key"), "total", "manual", "excluded", "duplicate")

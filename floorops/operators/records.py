@@ -31,6 +31,18 @@ def stalled(tasks: DataFrame, as_of: str, minutes: int = 15) -> DataFrame:
     return tasks.filter((F.col("status") == "in_progress") & (idle > minutes * 60_000_000)).withColumn("idle_hours", F.floor(idle / 3_600_000_000).cast("long"))
 
 
+def task_summary(tasks: DataFrame, as_of: str, statuses: list[str], minutes: int = 15) -> DataFrame:
+    """Tasks by status, active and stalled ones: a line for each agent and one overall, in one pass.
+
+    Stalled are tasks in progress that have not been updated for more than ``minutes``; those without an update are not.
+    """
+    idle = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("updated_at")
+    stalled = F.count_if((F.col("status") == "in_progress") & (idle > minutes * 60_000_000))
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in statuses]
+    got = tasks.rollup("agent").agg(F.grouping("agent").alias("g"), *counts, F.count_if(F.col("status").isin("pending", "in_progress")).alias("active"), stalled.alias("stalled"), F.count("*").alias("total"))
+    return got.select(F.when(F.col("g") == 1, "all").otherwise(F.col("agent")).alias("agent"), *statuses, "active", "stalled", "total")
+
+
 def task_status(tasks: DataFrame) -> DataFrame:
     """Per agent: pending and in-progress tasks, and both together."""
     pending, busy = F.count_if(F.col("status") == "pending"), F.count_if(F.col("status") == "in_progress")
@@ -51,10 +63,17 @@ def done_by_agent(tasks: DataFrame, day: str, n: int = 5) -> DataFrame:
     return rows.groupBy("agent").agg(F.count("*").alias("n"), names.alias("names"), F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
 
 
-def dedup_usage(usage: DataFrame, tie: str) -> DataFrame:
-    """One record per request: the one of most output tokens, the earliest of equals."""
-    w = W.partitionBy("request_id").orderBy(F.desc("output_tokens"), tie)
-    return usage.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+def dedup_usage(usage: DataFrame, tie: str, keep_missing: bool = False) -> DataFrame:
+    """One record per request: the one of most output tokens, the earliest of equals.
+
+    Records without a request are one request together; ``keep_missing`` keeps each of them.
+    """
+    w = W.partitionBy(F.coalesce("request_id", F.lit("")) if dict(usage.dtypes)["request_id"] == "string" else "request_id").orderBy(F.desc("output_tokens"), tie)
+    if not keep_missing:
+        return usage.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    missing = F.coalesce(F.col("request_id").cast("string"), F.lit("")) == ""
+    named = usage.filter(~missing).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    return named.unionByName(usage.filter(missing))
 
 
 def token_usage(usage: DataFrame, as_of: str, prices: Mapping[str, float], limit: int, tz: str, tie: str) -> DataFrame:
@@ -84,6 +103,18 @@ def cs_backlog(history: DataFrame, as_of: str) -> DataFrame:
     return history.filter("closed_at IS NULL").groupBy("region", "handler").agg(F.count("*").alias("open"), F.count_if(age > 30).alias("over_30"), F.max(age).alias("oldest"))
 
 
+def zero_stock(items: DataFrame) -> DataFrame:
+    """Items without good stock, by their code."""
+    return items.filter("good_qty = 0").orderBy("item_cd")
+
+
+def backlog_report(history: DataFrame, stock: DataFrame, as_of: str) -> DataFrame:
+    """The lines of ``cs_backlog``, and beside them a line (region ``stock``, handler null) with the number of items that are out of stock."""
+    cases = cs_backlog(history, as_of).select(F.col("region").cast("string").alias("region"), F.col("handler").cast("string").alias("handler"), "open", "over_30", "oldest")
+    empty = stock.agg(F.count_if(F.col("good_qty") == 0).alias("open"))
+    return cases.unionByName(empty.select(F.lit("stock").alias("region"), "open"), allowMissingColumns=True)
+
+
 def price_history(quotes: DataFrame, items: DataFrame) -> DataFrame:
     """Quote lines with a price under a dated header, with their margin."""
     margin = F.round((F.col("price") - F.col("cost")) / F.col("price") * 100, 2) + 0.0

