@@ -23,21 +23,35 @@ BLOCK = frozenset(
 CONTAINERS = frozenset("article body center div main section td".split())
 #: Elements that never hold main text.
 DROPPED = frozenset("nav aside footer script style noscript template iframe svg button select menu dialog head object canvas audio video map textarea title".split())
+#: Elements whose names can tell that they are no main text; headings, paragraphs, cells and inline elements only by names of adverts.
+NAMED = frozenset("div section ul ol dl form table fieldset header details center figure address dialog summary".split())
+
+
+def _words(text: str) -> re.Pattern[str]:
+    """Matches names that hold any of the words between hyphens, underscores and ends."""
+    return re.compile(rf"(?:^|[_-])(?:{'|'.join(text.split())})(?:$|[_-])")
+
+
+ADVERTS = "ads? advert adverts advertisement advertisements advertising advertorial adbox adslot sponsor sponsors sponsored promo promos promotion promotions"
 #: Words in class, id or role that mark what is no main text, whatever its size.
-FOREIGN = re.compile(
-    r"(?:^|[_-])(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|popup|modal|overlay|subscribe\w*|newsletter\w*|signup|login|comments?\w*|commentlist|replies|reply|respond|disqus"
-    r"|discussion|reactions|pagination|pager|hidden|sr-only|copyright|legal|disclaimer|contentinfo)(?:$|[_-])"
+ADVERT = _words(ADVERTS)
+FOREIGN = _words(
+    f"{ADVERTS} banner banners cookies? cookiebar cookiebanner cookieconsent consent gdpr popup modal overlay subscribe subscription newsletters? signup login comments? commentlist replies reply respond disqus"
+    " discussion reactions pagination pager hidden sr-only copyright legal disclaimer contentinfo"
 )
 #: Words that mark it unless the element holds most of the page's text.
-NOISE = re.compile(
-    r"(?:^|[_-])(?:nav\w*|menu\w*|breadcrumbs?|sidebars?|side|aside|footer|foot|masthead|site-?header|page-?header|top-?bar|toolbar|notices?|notifications?|alert|search\w*|share\w*|sharing|social\w*|related\w*"
-    r"|recommend\w*|trending|popular|widgets?|tags?|tag-?list|skip\w*|complementary|navigation)(?:$|[_-])"
+NOISE = _words(
+    "nav navs navbar navigation navlinks navmenu topnav subnav menus? menubar mainmenu submenu breadcrumbs? sidebars? side aside footer foot masthead site-?header page-?header top-?bar toolbar notices? notifications? alerts?"
+    " search searchbox searchbar searchform share shares sharebar sharebuttons sharelinks sharing socials? socialbar socialmedia related recommend recommended recommendations trending popular widgets? tags? tag-?list"
+    " skip skiplinks? skipnav complementary"
 )
 #: Class names that say what a page has or how a post is filed, not what the element is.
-ABOUT = re.compile(r"(?:has|no|with|without|is|tag|category|format|status)[_-].")
+ABOUT = re.compile(r"(?:has|no|with|without|is|tag|category|format|status)[_-].|comments?[_-](?:open|closed|on|off)$")
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content\w*|post\w*|entry\w*|story\w*|text|body|page)(?:$|[\s_-])")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+#: Attributes one after another, each with its value, so that nothing inside a value is taken for a name.
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
@@ -46,27 +60,29 @@ _DIGITS = re.compile(r"\d+")
 class Element:
     """``path`` is a hash of the tags and classes from the root, made of the parent's; ``node`` its number in the page."""
 
-    __slots__ = ("tag", "own", "parent", "node", "box", "article", "hard", "soft", "size", "heading", "named")
+    __slots__ = ("tag", "own", "parent", "node", "box", "article", "hard", "soft", "drop", "size", "heading", "named")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None):
         self.tag, self.parent = tag, parent
-        got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
+        got: dict[str, str] = {}
+        for m in _ATTR.finditer(attrs) if attrs else ():
+            got.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # of repeated attributes the first counts
         names = f"{got.get('class', '')} {got.get('id', '')} {got.get('role', '')}".lower().split()
         telling = [n for n in names if not ABOUT.match(n)]
         kept = tag in ("html", "body", "main", "article")
-        foreign = not kept and any(map(FOREIGN.search, telling))
-        noise = not kept and any(map(NOISE.search, telling))
+        foreign = not kept and any(map((FOREIGN if tag in NAMED else ADVERT).search, telling))
+        noise = tag in NAMED and any(map(NOISE.search, telling))
         hidden = "hidden" in got or got.get("aria-hidden") == "true" or bool(_HIDDEN.search(got.get("style", "")))
         self.article = tag in ("article", "main") or (parent is not None and parent.article)
         dropped = tag in DROPPED or (tag == "header" and not self.article)
-        self.hard = hidden or dropped or (tag not in BLOCK and (foreign or noise)) or (parent is not None and parent.hard)
+        self.hard = hidden or dropped or (tag not in BLOCK and foreign) or (parent is not None and parent.hard)
         #: 2: dropped if it is not the page's headline and text, 1: or if it isn't called like main text, 0: kept
         self.soft = 2 if foreign else 1 if noise or tag == "form" else 0
         self.named = bool(GOOD.search(" ".join(telling)))
         name = " ".join(sorted(_DIGITS.sub("#", got.get("class", "")).lower().split()))
         self.own = tag + ("." + name.replace(" ", ".") if name else "")
         self.box = self if tag in CONTAINERS or parent is None else parent.box
-        self.size, self.heading, self.node = 0, tag == "h1", 0
+        self.size, self.heading, self.node, self.drop = 0, tag == "h1", 0, False
 
 
 class Page:
@@ -154,6 +170,44 @@ LISTED = frozenset("li td th tr dd dt option".split())
 SCOPES = frozenset("ul ol table div article section body dl select".split())
 
 
+def _tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" if it closes, tag in lower case, attributes) of each tag; comments and declarations have no tag.
+
+    A tag ends at the first ``>`` outside quotes, or at the first one of all
+    where quotes are left open; what begins after the last ``>`` is none. The
+    search outside quotes is given up after reading the page some times over in
+    vain, so the time grows with the page's length whatever is broken.
+    """
+    n, at, last = len(html), 0, html.rfind(">")
+    room = 8 * n
+    while (lt := html.find("<", at)) >= 0:
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else n
+            yield lt, at, "", "", ""
+            continue
+        if lt > last:
+            return
+        if html[lt + 1 : lt + 2] in ("!", "?"):
+            at = html.index(">", lt) + 1
+            yield lt, at, "", "", ""
+            continue
+        m = _TAG.match(html, lt) if room > 0 else None
+        if m is None and (m := _PLAIN_TAG.match(html, lt)):
+            room -= n - lt
+        if m is None:
+            at = lt + 1
+            continue
+        at = m.end()
+        tag = m[2].lower()
+        if tag in RAW and not m[1]:  # with all that is inside
+            stop = _RAW_END[tag].search(html, at)
+            at = stop.end() if stop else n
+            yield lt, at, "", "", ""
+        else:
+            yield lt, at, m[1], tag, m[3]
+
+
 def blocks(html: str) -> list[tuple[Element, str, int]]:
     """(innermost block element, text, characters in links) of each block of text outside dropped elements, in page order.
 
@@ -163,19 +217,15 @@ def blocks(html: str) -> list[tuple[Element, str, int]]:
     block goes on after them.
     """
     page = Page()
-    at, n = 0, len(html)
-    while m := _TOKEN.search(html, at):
-        if m.start() > at:
-            page.add(html[at : m.start()])
-        at = m.end()
-        tag, attrs = (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
+    at = 0
+    for start, end, closes, tag, attrs in _tags(html):
+        if start > at:
+            page.add(html[at:start])
+        at = end
         if not tag:
             continue
-        if m[1] or m[4]:
+        if closes:
             page.end(tag)
-        elif tag in RAW:
-            end = _RAW_END[tag].search(html, at)
-            at = end.end() if end else n
         elif tag == "br":
             page.add(" ")
         else:
@@ -195,7 +245,8 @@ def _without_noise(page: Page) -> list[tuple[Element, str, int]]:
     """The blocks outside elements that are called like noise, but for those that hold most of the text.
 
     An element that holds half of the page's text is kept if it also has the
-    page's headline, or a name of main text beside that of slight noise.
+    page's headline, or a name of main text beside that of slight noise. If
+    nothing would be left, elements with a name of main text stay.
     """
     total = 0
     for e, text, linked in page.blocks:
@@ -207,8 +258,13 @@ def _without_noise(page: Page) -> list[tuple[Element, str, int]]:
         e.parent.heading = e.parent.heading or e.heading
     for e in page.elements[1:]:
         large = 2 * e.size >= total and total > 0 and (e.heading or (e.soft == 1 and (e.named or e.tag == "form")))
-        e.hard = e.hard or (e.soft > 0 and not large) or e.parent.hard
-    return [b for b in page.blocks if not b[0].hard]
+        e.drop = e.parent.drop or (e.soft > 0 and not large)
+    left = [b for b in page.blocks if not b[0].drop]
+    if left or not total:
+        return left
+    for e in page.elements[1:]:
+        e.drop = e.parent.drop or (e.soft > 0 and not e.named)
+    return [b for b in page.blocks if not b[0].drop]
 
 
 class Paths:

@@ -1,6 +1,7 @@
 """Main-text extraction on single pages."""
 
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -32,6 +33,18 @@ CASES = [
     ("<ul><li>a<li>b<p>c<li>d</ul>", "a\nb\nc\nd"),
     ("a &amp; b &#x41;&nbsp;c", "a & b A c"),
     ("<b>bold<div>x</b>y</div>", "bold\nxy"),
+    # names inside values are no attributes, and headings, paragraphs and inline elements are not judged by theirs
+    ('<p>one</p><p title="a hidden gem" data-x=\'class="ad"\'>Second paragraph.</p>', "one\nSecond paragraph."),
+    ('<div data-note="style=\'display:none\'">kept</div><div style="display : none">gone</div>', "kept"),
+    ('<h2 id="related-work">Related</h2><p>a</p><h2 id="search">Search</h2><p>b</p><h2 id="legal">Law</h2>', "Related\na\nSearch\nb\nLaw"),
+    (f'<p>{LONG}</p><section id="shareholders"><p>Who holds shares.</p></section><p class="navy">Blue.</p>', f"{LONG}\nWho holds shares.\nBlue."),
+    ('<p>Look for <mark class="search-hit">needles</mark> here and <span class="alert">there</span>.</p>', "Look for needles here and there."),
+    (f'<div class="comments-open post"><p>{LONG}</p></div>', LONG),
+    (f'<div class="comments post"><p>{LONG}</p></div>', LONG),
+    (f'<p>{LONG}</p><div class="cookie-notice"><p>We use cookies.</p></div><ul class="share-links"><li>Mail</ul><p class="advertisement">Buy</p><div class="main-nav">x</div>', LONG),
+    (f'<p class="a" class="ad">{LONG}</p>', LONG),
+    ('<a title="x > y">in</a> <b a=\'>\' c=">">bold</b>', "in bold"),
+    ('a <b class="open>left</b> c', "a left c"),
 ]
 
 
@@ -60,3 +73,56 @@ def test_other_columns_and_repeated_pages(spark):
     assert got.columns == ["_host", "page_id", "url", "_best", "main_text"]
     assert sorted(((r["_host"], r["_best"], r["main_text"]) for r in got.collect()), key=repr) == sorted([("a", "m", LONG), ("b", None, LONG), (None, None, "")], key=repr)
     assert html.extract_main_text(df.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<p x='", "<p x=\"'", "<i '>'", "<i x='>'", "<!", "<", "<!--", "</", "<a b=\"c>", "<script>", "<title x='"])
+def test_broken_markup_takes_time_by_its_length(piece):
+    t = time.process_time()
+    html.blocks(piece * (1_000_000 // len(piece)))
+    html.blocks(piece * (1_000_000 // len(piece)) + ">")
+    assert time.process_time() - t < 20
+    t = time.process_time()
+    if piece in ("<a ", "<p x='"):
+        html.blocks(piece * (1_000_000 // len(piece)))
+        assert time.process_time() - t < 2
+
+
+class Plain(HTMLParser):
+    """The blocks of the article of a well-formed page."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.out, self.blocks, self.text = False, 0, [], []
+
+    def flush(self):
+        if t := " ".join("".join(self.text).split()):
+            self.blocks.append(t)
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("article", "p", "h1", "h2", "li", "ul", "div"):
+            self.flush()
+        self.inside |= tag == "article"
+        self.out += tag in ("nav", "aside", "footer", "header", "form", "script", "style") or (tag == "div" and self.inside and ("class", "ad") in attrs)
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "p", "h1", "h2", "li", "ul", "div"):
+            self.flush()
+        self.inside &= tag != "article"
+        self.out -= tag in ("nav", "aside", "footer", "header", "form", "script", "style") or (tag == "div" and self.out > 0)
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.text.append(data)
+
+
+def test_all_given_pages_as_a_plain_parser_reads_them(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["main_text"] for r in html.extract_main_text(pages).collect()}
+    same = 0
+    for r in pages.collect():
+        p = Plain()
+        p.feed(r["html"] or "")
+        p.flush()
+        same += got[r["page_id"]] == "\n".join(p.blocks)
+    assert same == len(got) > 200
