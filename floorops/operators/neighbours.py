@@ -16,6 +16,17 @@ from floorops.functions.text import cosine
 BLOCK = 32 << 20
 
 
+def best_columns(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` best finite entries of each row, ties to the smaller id; only those from the k-th on are sorted."""
+    kth = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k] if sim.shape[1] > k else np.full(len(sim), -np.inf)
+    row, col = np.nonzero((sim >= kth[:, None]) & np.isfinite(sim))
+    order = np.lexsort((ids[col], -sim[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, row, "left")
+    some = np.arange(len(row)) - first < k
+    return row[some], col[some]
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the ``k`` nearest by cosine of (id, embedding) rows for (query_id, embedding) rows.
 
@@ -55,9 +66,9 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                     for lo in range(0, len(q_ids), 512):
                         some = slice(lo, lo + 512)
                         sim = np.where(c_ok[None, :], np.round(q[some] @ c.T, 6), -np.inf)
-                        order = np.lexsort((np.broadcast_to(c_ids, sim.shape), -sim), axis=1)[:, :k]
-                        got = pd.DataFrame({"query_id": np.repeat(q_ids[some], order.shape[1]), "vec_id": c_ids[order].ravel(), "similarity": np.take_along_axis(sim, order, 1).ravel()})
-                        yield got[np.isfinite(got.similarity) & np.repeat(q_ok[some], order.shape[1])]
+                        sim[~q_ok[some]] = -np.inf
+                        row, col = best_columns(sim, c_ids, k)
+                        yield pd.DataFrame({"query_id": q_ids[some][row], "vec_id": c_ids[col], "similarity": sim[row, col]})
 
         return nearest
 

@@ -3,23 +3,42 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from floorops.functions.text import cosine
-
 
 def vector_search(chunks: DataFrame, query: list[float], k: int, id_col: str = "vec_id", category: int | None = None) -> DataFrame:
-    """Top k by cosine for one query: one scan, k rows kept a partition."""
-    sim = cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))
-    rows = chunks.filter("embedding is not null")
+    """Top k by cosine for one query: one scan, in which each batch of rows is one product and gives its best k.
+
+    Rows whose vector is null, zero, of another length, or holds a null or
+    non-finite component are no hits.
+    """
+    q = np.asarray(query, float)
+    q = q / (np.linalg.norm(q) or np.nan)
+    rows = chunks.filter(F.col("embedding").isNotNull() & (F.size("embedding") == len(q)))
     if category is not None:
         rows = rows.filter(F.col("label") == category)
-    got = rows.withColumn("sim", sim).filter("sim is not null").orderBy(F.desc("sim"), id_col).limit(k)
-    return got.select(id_col, F.round("sim", 4).alias("similarity"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(q))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                sim = x @ q / np.linalg.norm(x, axis=1)
+            fine = np.flatnonzero(np.isfinite(sim))
+            if len(fine) > k:
+                kth = np.partition(sim[fine], len(fine) - k)[len(fine) - k]
+                fine = fine[sim[fine] >= kth]  # with all that tie
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fine)), pa.array(sim[fine])], names=["id", "sim"])
+
+    found = rows.select(F.col(id_col).alias("id"), F.col("embedding")).mapInArrow(best, f"id {chunks.schema[id_col].dataType.simpleString()}, sim double")
+    return found.orderBy(F.desc("sim"), "id").limit(k).select(F.col("id").alias(id_col), F.round("sim", 4).alias("similarity"))
 
 
 def build_context(hits: DataFrame, least: float = 0.3, per_source: int = 5) -> DataFrame:
@@ -73,8 +92,8 @@ def induced(rels: DataFrame, nodes: DataFrame, mode: str = "both") -> DataFrame:
 def bm25(docs: DataFrame, terms: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Top k documents for a bag of terms (in lower case); only these terms are counted, and only where they can be.
 
-    One pass takes the length of each text and in how many each term stands; the
-    second reads the texts that hold any of the terms.
+    One pass over the texts takes their lengths and counts; these narrow rows
+    are shuffled once, and both the totals and the scores are made of them.
     """
     low = docs.select("doc_id", F.lower("text").alias("low"))
 
@@ -83,14 +102,14 @@ def bm25(docs: DataFrame, terms: list[str], k: int, k1: float = 1.2, b: float =
         return F.when(F.contains("low", F.lit(term)), F.regexp_count("low", F.lit(whole))).otherwise(0).cast("double")
 
     tf = [times(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = low.select("doc_id", "low", F.regexp_count("low", F.lit(r"[\p{L}\p{N}]+")).alias("len"), *tf)
+    rows = low.select("doc_id", F.regexp_count("low", F.lit(r"[\p{L}\p{N}]+")).alias("len"), *tf)
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     s = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
         t, df = F.col(f"tf{i}"), F.col(f"df{i}")
         score = score + F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1) * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    some = rows.filter(reduce(Column.__or__, [F.contains("low", F.lit(t)) for t in terms]))
-    joined = some.join(F.broadcast(s), F.lit(True))  # one row of totals
+    joined = rows.join(F.broadcast(s), F.lit(True))  # one row of totals
     return joined.withColumn("s", score).filter("s > 0").orderBy(F.desc(F.round("s", 6)), "doc_id").limit(k).select("doc_id", F.round("s", 4).alias("score"))
 
 
