@@ -101,10 +101,12 @@ def bm25(docs: DataFrame, terms: list[str], k: int, k1: float = 1.2, b: float =
         whole = r"(?<![\p{L}\p{N}])" + re.escape(term) + r"(?![\p{L}\p{N}])"
         return F.when(F.contains("low", F.lit(term)), F.regexp_count("low", F.lit(whole))).otherwise(0).cast("double")
 
-    tf = [times(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = low.select("doc_id", F.regexp_count("low", F.lit(r"[\p{L}\p{N}]+")).alias("len"), *tf)
+    tf = [times(t) for t in terms]
+    # no nulls here: else Spark filters them before the shuffle, in one branch only, and counts all words again for that
+    length = F.coalesce(F.regexp_count("low", F.lit(r"[\p{L}\p{N}]+")), F.lit(-1)).alias("len")
+    rows = low.select("doc_id", length, *[F.coalesce(t, F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(tf)])
     rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    s = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    s = rows.agg(F.count("*").alias("n"), F.avg(F.when(F.col("len") >= 0, F.col("len"))).alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
         t, df = F.col(f"tf{i}"), F.col(f"df{i}")
