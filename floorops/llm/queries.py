@@ -121,6 +121,26 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_html_extraction, op4_simhash, op5_line_dedup, op6_packing, op7_topk, op8_substrings, op9_decontamination, op10_quality, op11_vector_links, op12_hard_negatives, op13_runs)}
 
 ORACLE = {
+    "op5_line_dedup": r"""
+WITH d AS (SELECT doc_id, CASE WHEN text IS NOT NULL THEN string_split(text, chr(10)) END AS a FROM documents),
+l AS (SELECT doc_id, unnest(range(len(a))) AS no, unnest(a) AS line FROM d),
+s AS (SELECT doc_id, no, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '[ \x09\x0B-\x0D]'), lambda w: w <> ''))) AS w FROM l),
+u AS (SELECT row_number() OVER () AS id, w, len(w) AS n, first FROM (SELECT w, min({'doc_id': doc_id, 'no': no}) AS first FROM s WHERE len(w) > 0 GROUP BY w)),
+x AS (SELECT id, n, unnest(w) AS word FROM u),
+f AS (SELECT word, count(*) AS df FROM x GROUP BY word),
+r AS (SELECT id, word, n, row_number() OVER (PARTITION BY id ORDER BY df, word) AS place FROM x JOIN f USING (word)),
+p AS (SELECT id, word, n FROM r WHERE place <= n - CAST(ceil(0.8 * n - 1e-9) AS BIGINT) + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.word = b.word AND a.id <> b.id AND a.n >= 0.8 * b.n - 1e-9 AND b.n >= 0.8 * a.n - 1e-9),
+m AS (
+  SELECT DISTINCT a.id FROM c JOIN u a ON a.id = c.a JOIN u b ON b.id = c.b
+  WHERE b.first < a.first AND len(list_intersect(a.w, b.w)) >= 0.8 * (a.n + b.n - len(list_intersect(a.w, b.w))) - 1e-9
+),
+gone AS (SELECT s.doc_id, s.no FROM s JOIN u ON u.w = s.w WHERE u.first <> {'doc_id': s.doc_id, 'no': s.no} OR u.id IN (SELECT id FROM m)),
+g AS (SELECT doc_id, list_sort(list(no)) AS removed FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(a), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(removed), 0) AS BIGINT) AS n_removed, coalesce(array_to_string(removed, ','), '') AS removed,
+       CASE WHEN a IS NOT NULL THEN sha256(array_to_string(CASE WHEN removed IS NULL THEN a ELSE list_filter(a, lambda y, i: NOT list_contains(removed, i - 1)) END, chr(10))) END AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+""",
     "op7_topk": """
 WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
