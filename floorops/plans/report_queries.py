@@ -179,3 +179,40 @@ NC_SQL = "(VALUES " + ", ".join("(" + ", ".join([str(i), *["NULL" if x is None e
 def nc_from_messages(s, d):
     text = F.get(F.array(*[F.lit(m[0]) for m in MESSAGES]), (F.col("o_orderkey") % len(MESSAGES)).cast("int"))
     return fx.table(s, d, "orders").select("o_orderkey", V.parse_nc(text).alias("nc")).select("o_orderkey", "nc.*")
+
+
+#: Names with their normal form, written down by hand.
+NAMES = [("Press_Unit (EN)_v1.2 20240101.pdf", "press unit"), ("A--B.docx", "a b"), ("Manual (KR).pdf", "manual"), ("[20240101] y V2.0.pdf", "y"), ("HGDCH02305001 Press.pdf", "hgdchpress"), ("noext", "noext")]
+NAMES_SQL = "(VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(NAMES)) + ") AS c(k, file, name)"
+
+
+@query(f"SELECT doc_id, file, name FROM documents JOIN {NAMES_SQL} ON doc_id % {len(NAMES)} = k")
+def normalized_names(s, d):
+    rows = fx.table(s, d, "documents").select("doc_id", F.get(F.array(*[F.lit(a) for a, _ in NAMES]), (F.col("doc_id") % len(NAMES)).cast("int")).alias("file"))
+    return rows.withColumn("name", V.normalize_name(F.col("file")))
+
+
+@query("""SELECT conv_id, turn, trim(text || ' see ') || CASE WHEN turn % 2 = 0 THEN '' ELSE '  and' END AS text, 'http://h/' || conv_id || '.png' AS images,
+ CASE WHEN turn % 2 = 0 THEN '' ELSE 'http://h/' || turn || ' page ' || turn END AS refs, CASE WHEN turn % 3 = 0 THEN 'http://x/' || conv_id ELSE '' END AS excerpts FROM conversations""")
+def media_markers(s, d):
+    odd = F.col("turn") % 2 != 0
+    said = F.concat(
+        F.trim(F.concat("text", F.lit(" see "))), F.lit("[매뉴얼 이미지: http://h/"), "conv_id", F.lit(".png]"),
+        F.when(odd, F.concat(F.lit(" [참조: http://h/"), "turn", F.lit(" page "), "turn", F.lit("] and"))).otherwise(""),
+        F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" 📎 매뉴얼 발췌본: http://x/"), "conv_id")).otherwise(""),
+    )
+    m = fx.table(s, d, "conversations").select("conv_id", "turn", V.media_markers(said).alias("m"))
+    refs = F.array_join(F.transform("m.refs", lambda r: F.concat_ws(" ", r["url"], r["label"])), ",")
+    return m.select("conv_id", "turn", "m.text", F.array_join("m.images", ",").alias("images"), refs.alias("refs"), F.array_join("m.excerpts", ",").alias("excerpts"))
+
+
+@query("""SELECT conv_id, turn, 0 AS pos, role AS sender, CAST(turn AS VARCHAR) AS ts, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS content FROM conversations
+UNION ALL SELECT conv_id, turn, 1, 'unknown', '', 'second' FROM conversations WHERE turn % 2 = 0""")
+def channel_tags(s, d):
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    said = F.concat(
+        F.lit('x <channel source="agent-channel" from="'), "role", F.lit('" ts="'), "turn", F.lit('">\n'), text, F.lit('\n</channel><channel source="other">no</channel><channel source="agent-channel"> </channel>'),
+        F.when(F.col("turn") % 2 == 0, '<channel id="7" source="agent-channel">second</channel>').otherwise(""),
+    )
+    rows = fx.table(s, d, "conversations").select("conv_id", "turn", F.posexplode(V.channel_tags(said)).alias("pos", "m"))
+    return rows.select("conv_id", "turn", "pos", F.col("m.from").alias("sender"), "m.ts", "m.content")
