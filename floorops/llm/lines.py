@@ -54,7 +54,8 @@ def _rarity(docs: DataFrame, text_col: str) -> Column:
 def _ordered(line: Column, rarity: Column) -> Column:
     """The line's different words as numbers, rare ones first: how often their class occurs, then a hash."""
     hashes = F.array_remove(F.array_distinct(F.transform(_tokens(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, lambda x: F.shiftleft(F.get(rarity, x.bitwiseAND(CLASSES - 1).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
+    often = lambda x: F.coalesce(F.get(rarity, x.bitwiseAND(CLASSES - 1).cast("int")), F.lit(1).cast("bigint"))  # noqa: E731  never null, so that numbers are sorted and no objects
+    return F.sort_array(F.transform(hashes, lambda x: F.shiftleft(often(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
 
 
 def _parity(words: Column, odd: bool) -> Column:
