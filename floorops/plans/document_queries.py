@@ -55,7 +55,16 @@ def classify_report(s, d):
     return texts.reason_counts(is_manual(s, d), "reason", ["keyword", "exclude"])
 
 
-@query()
+TAGS = r"\s*\((kr|ko|en|eng|jp|jpn|cn|chn|kor|중문|中文|중국어|한국어|일본어)\)\s*", r"_v\d+\.\d+", r"\s*v\d+\.\d+", r"\[?\d{6,8}\]?\s*"
+
+
+def _untagged(name: str) -> str:
+    for tag in TAGS:
+        name = f"regexp_replace({name}, '{tag}', '', 'g')"
+    return f"trim(regexp_replace({name}, '[\\s_\\-]+', ' ', 'g'))"
+
+
+@query("SELECT page_id, " + _untagged(f"lower(regexp_replace({NAME}, '(.)\\.[^.]*$', '\\1'))") + " AS name FROM pages")
 def normalize_name(s, d):
     return fx.table(s, d, "pages").select("page_id", V.normalize_name(_name()).alias("name"))
 
