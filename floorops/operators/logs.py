@@ -32,8 +32,17 @@ def daily_volume(msgs: DataFrame, as_of: str, days: int = 7, tz: str = "UTC", ts
 
 
 def response_stats(rt: DataFrame) -> DataFrame:
-    """Answers and mean seconds per agent; rows without a time do not count."""
-    return rt.filter("elapsed_sec is not null").groupBy("agent").agg(F.count("elapsed_sec").alias("n"), F.round(F.avg("elapsed_sec"), 1).alias("avg_sec"))
+    """Answers and mean seconds per agent; rows without a time do not count.
+
+    The mean is exact, so that no order of the sum decides a tie: each time
+    counts in whole microseconds, and the quotient of the whole numbers is
+    rounded to tenths, halves away from zero. Agents with a time that is not
+    finite or has 9e12 seconds or more have the plain mean of doubles, rounded.
+    """
+    micros = F.when(F.abs("elapsed_sec") < 9e12, F.floor(F.col("elapsed_sec") * 1_000_000 + 0.5)).cast("decimal(19,0)")
+    by = rt.filter("elapsed_sec is not null").groupBy("agent").agg(F.count("elapsed_sec").alias("n"), F.count(micros).alias("whole"), F.sum(micros).alias("s"), F.round(F.avg("elapsed_sec"), 1).alias("plain"))
+    tenths = F.expr("cast(sign(s) AS int) * ((2 * abs(s) + n * 100000BD) div (n * 200000BD))").cast("double")
+    return by.select("agent", "n", F.when(F.col("whole") == F.col("n"), tenths / 10).otherwise(F.col("plain")).alias("avg_sec"))
 
 
 def pair_traffic(msgs: DataFrame, sender: str, receiver: str, hub: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from floorops.operators import reports
+from floorops.operators import logs, reports
 
 
 def test_checklists_of_a_large_folder_are_many_tasks(spark, monkeypatch):
@@ -17,3 +17,11 @@ def test_checklists_of_a_large_folder_are_many_tasks(spark, monkeypatch):
     want = [(c, "2. none" if c % 4 == 0 else "", 0, 0, "") for c in range(400) if c % 4 < 2] + [(c, "1. press", 55, i + 1, f"item {54 - i}") for c in range(400) if c % 4 > 1 for i in range(55)]
     assert got == sorted(want)
     assert len({r["task"] for r in rows if r["folder"] == "1. press"}) == 4
+
+
+def test_means_do_not_hang_on_the_order_of_the_sum(spark):
+    # 54.35 exactly, whose sum as doubles is less; and -0.25
+    rows = [("a", x) for x in [0.1, 0.7, 108.6, 108.0] * 500] + [("b", -0.25), ("c", float("nan")), ("c", 1.0), ("d", float("inf")), ("e", None), ("f", -0.01)]
+    for order in (rows, rows[::-1]):
+        got = {r["agent"]: (r["n"], str(r["avg_sec"])) for r in logs.response_stats(spark.createDataFrame(order, "agent string, elapsed_sec double")).collect()}
+        assert got == {"a": (2000, "54.4"), "b": (1, "-0.3"), "c": (2, "nan"), "d": (1, "inf"), "f": (1, "0.0")}
