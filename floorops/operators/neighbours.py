@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from floorops.functions.text import cosine
 
-#: Bytes of a block of queries, about.
-BLOCK = 32 << 20
+#: Bytes of a block of queries and of what is kept for them, about.
+BLOCK = 16 << 20
+#: Queries and rows of the corpus that are compared at a time.
+ROWS, COLUMNS = 512, 2048
 
 
 def best_columns(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -27,26 +29,43 @@ def best_columns(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return row[some], col[some]
 
 
+def keep_best(kept: np.ndarray, kept_ids: np.ndarray, sim: np.ndarray, ids: np.ndarray) -> None:
+    """Let the entries of ``sim`` compete with the best so far of its rows, in place; rows with nothing better are left out."""
+    k = kept.shape[1]
+    some = np.flatnonzero(sim.max(axis=1) >= kept[:, -1])
+    row, col = best_columns(sim[some], ids, k)
+    both = np.full((len(some), 2 * k), -np.inf)
+    both_ids = np.zeros((len(some), 2 * k), np.int64)
+    both[:, :k], both_ids[:, :k] = kept[some], kept_ids[some]
+    place = k + np.arange(len(row)) - np.searchsorted(row, row, "left")
+    both[row, place], both_ids[row, place] = sim[some][row, col], ids[col]
+    order = np.lexsort((both_ids, -both), axis=1)[:, :k]
+    kept[some], kept_ids[some] = np.take_along_axis(both, order, 1), np.take_along_axis(both_ids, order, 1)
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the ``k`` nearest by cosine of (id, embedding) rows for (query_id, embedding) rows.
 
     Queries are a stated set: they go to the tasks in blocks of about ``BLOCK``
     bytes, which bounds the broadcast, and the corpus is read where it lies,
-    once for each block. Each batch of the corpus gives at most ``k`` rows a
-    query, which a window merges.
-    Null and zero vectors and vectors of another length take no part. Ties go
+    once for each block. Tasks compare ``ROWS`` queries with ``COLUMNS`` vectors
+    at a time and keep the best so far of each query, so that their memory
+    grows neither with the queries nor with the corpus; each task gives at most
+    ``k`` rows a query, which a window merges.
+    Null, zero and non-finite vectors and vectors of another length take no part. Ties go
     to the smaller id; similarities are in double and rounded to 6 digits
     before they are ranked, so that the order of the sums does not matter.
     """
     spark = corpus.sparkSession
     queries = queries.filter("embedding IS NOT NULL").select("query_id", "embedding")
-    size = queries.agg(F.sum(F.size("embedding") * F.lit(8).cast("bigint"))).first()[0] or 0
+    size = queries.agg(F.sum(F.size("embedding") * F.lit(8).cast("bigint") + 16 * k)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
 
     def unit(rows) -> tuple[np.ndarray, np.ndarray]:
         m = np.stack([np.asarray(r, float) for r in rows])
         size = np.linalg.norm(m, axis=1)
-        return m / np.where(size > 0, size, 1)[:, None], size > 0
+        ok = np.isfinite(size) & (size > 0)
+        return np.where(ok[:, None], m, 0) / np.where(ok, size, 1)[:, None], ok
 
     def by_width(ids, rows) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         width = np.array([len(v) for v in rows], int)
@@ -58,17 +77,25 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
     def search(sent):
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = {w: (np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)) for w, (ids, _, _) in sent.value.items()}
             for batch in batches:
                 for w, (c_ids, c, c_ok) in by_width(batch["id"], batch["embedding"].tolist()).items():
                     if w not in sent.value:
                         continue
-                    q_ids, q, q_ok = sent.value[w]
-                    for lo in range(0, len(q_ids), 512):
-                        some = slice(lo, lo + 512)
-                        sim = np.where(c_ok[None, :], np.round(q[some] @ c.T, 6), -np.inf)
-                        sim[~q_ok[some]] = -np.inf
-                        row, col = best_columns(sim, c_ids, k)
-                        yield pd.DataFrame({"query_id": q_ids[some][row], "vec_id": c_ids[col], "similarity": sim[row, col]})
+                    q, q_ok = sent.value[w][1:]
+                    for at in range(0, len(c), COLUMNS):
+                        cols = slice(at, at + COLUMNS)
+                        for lo in range(0, len(q), ROWS):
+                            some = slice(lo, lo + ROWS)
+                            sim = q[some] @ c[cols].T
+                            np.round(sim, 6, out=sim)
+                            sim[~q_ok[some]] = -np.inf
+                            sim[:, ~c_ok[cols]] = -np.inf
+                            keep_best(best[w][0][some], best[w][1][some], sim, c_ids[cols])
+            for w, (sims, ids) in best.items():
+                for lo in range(0, len(sims), ROWS):
+                    row, col = np.nonzero(np.isfinite(sims[lo : lo + ROWS]))
+                    yield pd.DataFrame({"query_id": sent.value[w][0][lo + row], "vec_id": ids[lo + row, col], "similarity": sims[lo + row, col]})
 
         return nearest
 

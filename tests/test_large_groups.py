@@ -1,8 +1,9 @@
 """Large groups, exact means and blocks of nearest neighbours on small cases."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from floorops.operators import logs, reports
+from floorops.operators import logs, neighbours, reports
 
 
 def test_checklists_of_a_large_folder_are_many_tasks(spark, monkeypatch):
@@ -25,3 +26,35 @@ def test_means_do_not_hang_on_the_order_of_the_sum(spark):
     for order in (rows, rows[::-1]):
         got = {r["agent"]: (r["n"], str(r["avg_sec"])) for r in logs.response_stats(spark.createDataFrame(order, "agent string, elapsed_sec double")).collect()}
         assert got == {"a": (2000, "54.4"), "b": (1, "-0.3"), "c": (2, "nan"), "d": (1, "inf"), "f": (1, "0.0")}
+
+
+def test_knn_keeps_a_bounded_number_of_rows_and_similarities(spark, monkeypatch):
+    seen = []
+    plain = neighbours.best_columns
+    rng = np.random.default_rng(5)
+    kept, ids = np.full((4, 3), -np.inf), np.zeros((4, 3), np.int64)
+    sims, names = rng.integers(0, 6, (4, 40)) / 4, rng.permutation(40)
+    for at in range(0, 40, 7):
+        neighbours.keep_best(kept, ids, sims[:, at : at + 7], names[at : at + 7])
+    for r in range(4):
+        want = sorted(zip(-sims[r], names, strict=True))[:3]
+        assert [(-s, i) for s, i in zip(kept[r], ids[r], strict=True)] == want
+    monkeypatch.setattr(neighbours, "best_columns", lambda sim, *x: seen.append(sim.shape) or plain(sim, *x))
+    neighbours.keep_best(kept, ids, np.full((4, 7), -1.0), names[:7])
+    assert seen == [(0, 7)]
+    v = spark.createDataFrame([(i, [1.0 + i, 2.0]) for i in range(9)], "id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    got = neighbours.knn(v.withColumnRenamed("id", "query_id"), v, 1).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in got} == {(i, i) for i in range(9)}
+
+
+def test_knn_leaves_out_infinite_vectors(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        v = spark.range(0, 1000, 1, 1).selectExpr("id", "CASE WHEN id % 10 = 3 THEN array(CAST('inf' AS DOUBLE), 1D) ELSE array(cos(id), sin(id)) END AS embedding")
+        rows = neighbours.knn(v.filter("id < 7").withColumnRenamed("id", "query_id"), v, 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    xs = {i: np.array([np.cos(i), np.sin(i)]) for i in range(1000) if i % 10 != 3}
+    want = {(q, n + 1, i) for q in range(7) if q in xs for n, (_, i) in enumerate(sorted((-round(float(xs[q] @ x), 6), i) for i, x in xs.items())[:2])}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in rows} == want
