@@ -16,18 +16,25 @@ CLASSES = 65536
 PLACES = 10_000_000_000
 #: Sets of up to this many words have one parity of 64 classes, larger ones two.
 ONE_PARITY = 64
+#: Candidates of more words than this have four.
+TWO_PARITIES = 128
+#: The two halves of a candidate's place are its quotient and remainder by this, so that pairs compare numbers and no decimals.
+HALF = 10**17
 #: Lines that share a key of the first comparison are compared in groups of about this size.
 GROUP = 10_000
 #: Lines tried from the front of such a group, and from just before a line.
 TRIES = 3
-#: The four parities of candidates.
-FINE = ["c0", "c1", "c2", "c3"]
+#: The parities of lines, and those of candidates.
+COARSE = ["b0", "b1"]
+FINE = [*COARSE, "b2", "b3"]
+#: What tells candidates apart: the line's hash and the halves of its place.
+KEY = ["k1", "hi", "lo"]
 _NO_ID = -10_000_000_000_000_000_000
 
 
 def _tokens(line: Column) -> Column:
     """The words; sequences of white space and a line's ends may give empty ones."""
-    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\f"))
+    other = line.rlike(r"[\t\x0B\f\r]")  # one search; four for single characters take longer than the split
     return F.split(F.when(other, F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line), " ")
 
 
@@ -53,32 +60,32 @@ def _rarity(docs: DataFrame, text_col: str) -> Column:
 
 def _ordered(line: Column, rarity: Column) -> Column:
     """The line's different words as numbers, rare ones first: how often their class occurs, then a hash."""
-    hashes = F.array_remove(F.array_distinct(F.transform(_tokens(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    often = lambda x: F.coalesce(F.get(rarity, x.bitwiseAND(CLASSES - 1).cast("int")), F.lit(1).cast("bigint"))  # noqa: E731  never null, so that numbers are sorted and no objects
+    hashes = F.array_except(F.transform(_tokens(line), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))  # different ones, in one pass
+    often = lambda x: F.coalesce(F.get(rarity, x.bitwiseAND(CLASSES - 1)), F.lit(1).cast("bigint"))  # noqa: E731  never null, so that numbers are sorted and no objects
     return F.sort_array(F.transform(hashes, lambda x: F.shiftleft(often(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
 
 
-def _parity(words: Column, odd: bool) -> Column:
-    """64 bits of a set: each of its words, or each with an odd number, turns the bit of its hash over."""
+def _parity(words: Column, *bits: int) -> Column:
+    """64 bits of a set: each of its words, or each whose number has all of ``bits`` set, turns the bit of its hash over.
+
+    A shift takes the last six bits of the hash, so that nothing has to be cut or cast for each word.
+    """
     one = F.lit(1).cast("bigint")
 
-    def turn(bits: Column, x: Column) -> Column:
-        return bits.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(1) if odd else one, x.bitwiseAND(63).cast("int")))
+    def turn(parity: Column, x: Column) -> Column:
+        own = one
+        for b in bits:
+            own = own.bitwiseAND(F.shiftright(x, b))
+        return parity.bitwiseXOR(F.call_function("shiftleft", own, F.hash(x)))
 
     return F.aggregate(words, F.lit(0).cast("bigint"), turn)
 
 
-def _parities(words: Column) -> list[Column]:
-    """256 bits of a set, as four numbers."""
-
-    def quarter(i: int) -> Column:
-        def turn(bits: Column, x: Column) -> Column:
-            own = (F.shiftright(x, 6).bitwiseAND(3) == i).cast("bigint")
-            return bits.bitwiseXOR(F.call_function("shiftleft", own, x.bitwiseAND(63).cast("int")))
-
-        return F.aggregate(words, F.lit(0).cast("bigint"), turn)
-
-    return [quarter(i) for i in range(4)]
+def _parities(words: Column, n: Column, fine: bool) -> list[Column]:
+    """Up to 256 bits of a set of ``n`` words, as COARSE or FINE numbers; small sets are told apart by 64, and get 0 for the others."""
+    none = F.lit(0).cast("bigint")
+    rest = [(ONE_PARITY, (6,)), (TWO_PARITIES, (7,)), (TWO_PARITIES, (6, 7))][: 3 if fine else 1]
+    return [_parity(words), *[F.when(n > most, _parity(words, *bits)).otherwise(none) for most, bits in rest]]
 
 
 def profiles(lines: DataFrame, rarity: Column, threshold: float, min_words: int, fine: bool = False) -> DataFrame:
@@ -87,9 +94,9 @@ def profiles(lines: DataFrame, rarity: Column, threshold: float, min_words: int,
     ``n`` words, parities ``b0`` and ``b1`` of the set, and ``keys``: the prefix
     of the rarest words, of which two matching sets share one. Sets so small
     that only equal ones match have one key, the hash of the set; those of
-    fewer than ``min_words`` words have none. ``fine`` gives four parities
-    instead, and adds the words as numbers, and the least and the greatest of
-    their hashes.
+    fewer than ``min_words`` words have none. ``fine`` adds parities ``b2`` and
+    ``b3``, the words as numbers, and the least and the greatest of their
+    hashes.
     """
     t = threshold
     kept = [c for c in lines.columns if c != "line"]
@@ -98,12 +105,10 @@ def profiles(lines: DataFrame, rarity: Column, threshold: float, min_words: int,
     prefix = F.slice("w", F.lit(1), (n - F.ceil(n * F.lit(t) - 1e-9) + 1).cast("int"))
     whole = F.array(F.xxhash64("w"))
     keys = F.when(n < max(1, min_words), F.slice("w", 1, 0)).when(n < t / (1 - t) - 1e-9 if t < 1 else F.lit(True), whole).otherwise(prefix)
+    more = [c.alias(b) for b, c in zip(FINE if fine else COARSE, _parities(F.col("w"), n, fine), strict=True)]
     if fine:
         hashes = F.transform("w", lambda x: x.bitwiseAND((1 << 56) - 1))
-        more = [*_parities(F.col("w")), F.array_min(hashes).alias("low"), F.array_max(hashes).alias("high"), F.col("w")]
-        more[:4] = [c.alias(b) for c, b in zip(more, FINE, strict=False)]
-    else:
-        more = [_parity(F.col("w"), False).alias("b0"), F.when(n > ONE_PARITY, _parity(F.col("w"), True)).otherwise(F.lit(0).cast("bigint")).alias("b1")]
+        more += [F.array_min(hashes).alias("low"), F.array_max(hashes).alias("high"), F.col("w")]
     return sets.select(*kept, n.alias("n"), keys.alias("keys"), *more)
 
 
@@ -119,18 +124,28 @@ def _fits(t: float, a: str, b: str, fine: bool = False) -> Column:
 
     The positional filter takes the shared word for the first one, as which it
     must pass if the sets match: so a pair that shares many is not found for
-    each of them.
+    each of them. What passes it also passes the length filter, as the smaller
+    set alone must make up the overlap.
     """
     na, nb = (F.shiftright(F.col(f"{x}np"), 17) for x in (a, b))
     pa, pb = (F.col(f"{x}np").bitwiseAND(65535) for x in (a, b))
-    need = F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9)
+    need = (na + nb) * F.lit(t / (1 + t)) - 1e-9
+    x = [F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in (FINE if fine else COARSE)]
+    differ = F.when((na > ONE_PARITY) & (nb > ONE_PARITY), F.bit_count(x[0].bitwiseXOR(x[1])) + F.bit_count(x[1])).otherwise(F.bit_count(x[0]))
     if fine:
-        differ = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in FINE), F.lit(0))
-    else:
-        both, odd = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("b0", "b1"))
-        two = F.bit_count(both.bitwiseXOR(odd)) + F.bit_count(odd)
-        differ = F.when((na > ONE_PARITY) & (nb > ONE_PARITY), two).otherwise(F.bit_count(both))
-    return (na >= nb * t - 1e-9) & (nb >= na * t - 1e-9) & (F.least(na - pa, nb - pb) >= need) & (differ <= na + nb - 2 * need)
+        both = x[0].bitwiseXOR(x[1]).bitwiseXOR(x[2]).bitwiseXOR(x[3])
+        four = F.bit_count(both) + F.bit_count(x[1].bitwiseXOR(x[3])) + F.bit_count(x[2].bitwiseXOR(x[3])) + F.bit_count(x[3])
+        differ = F.when((na > TWO_PARITIES) & (nb > TWO_PARITIES), four).otherwise(differ)
+    return (F.least(na - pa, nb - pb) >= need) & (differ <= na + nb - 2 * F.ceil(need))
+
+
+def _earlier() -> Column:
+    """Whether the other line's place comes first."""
+    return (F.col("o_hi") < F.col("hi")) | ((F.col("o_hi") == F.col("hi")) & (F.col("o_lo") < F.col("lo")))
+
+
+def _others(cols: list[str]) -> list[str]:
+    return [f"o_{c}" for c in cols]
 
 
 def _other(df: DataFrame, *same: str) -> DataFrame:
@@ -146,8 +161,8 @@ def candidates(docs: DataFrame, rarity: Column, threshold: float, min_words: int
     Both its sides are one shuffle.
     """
     profiled = profiles(lines_of(docs, id_col, text_col).select("k1", "k2", "line"), rarity, threshold, min_words)
-    first = [F.first(c).alias(c) for c in ("n", "b0", "b1", "keys")]
-    one = postings(profiled.groupBy("k1", "k2").agg(*first, (F.count("*") > 1).alias("copied")), "k1", "b0", "b1")
+    first = [F.first(c).alias(c) for c in ("n", *COARSE, "keys")]
+    one = postings(profiled.groupBy("k1", "k2").agg(*first, (F.count("*") > 1).alias("copied")), "k1", *COARSE)
     # both sides by one name and not renamed: so Spark sees that they are one shuffle
     partner = (F.col("b.k1") != F.col("a.k1")) & _fits(threshold, "a.", "b.")
     copied = F.shiftright("a.np", 16).bitwiseAND(1) == 1
@@ -156,32 +171,33 @@ def candidates(docs: DataFrame, rarity: Column, threshold: float, min_words: int
 
 
 def first_tries(lines: DataFrame, threshold: float) -> DataFrame:
-    """(k1, at, o_k1, o_at): a few earlier lines that each line may match, of those that share its least or greatest word hash.
+    """(KEY, and the other line's with o_): a few earlier lines that each line may match, of those that share its least or greatest word hash.
 
     Lines of a key are compared in groups of about ``GROUP``, with the first
     lines of the group and those just before. Near copies share a key as often
     as words, so that members of a large group are settled here, without pairs.
     """
-    line = ["k1", "at", "np", *FINE]
+    line = [*KEY, "np", *FINE]
     keyed = lines.withColumn("np", F.col("n").cast("bigint") * 131072).select(*line, F.explode(F.array_distinct(F.array("low", "high"))).alias("key"))
     often = keyed.groupBy("key").agg(F.count("*").alias("of")).filter("of > 1")
     salted = keyed.join(often, "key").withColumn("salt", F.pmod(F.xxhash64("k1"), F.ceil(F.col("of") / GROUP)))
     dealt = salted.repartition(partitions(lines.sparkSession), "key", "salt")
-    by_key = W.partitionBy("key", "salt").orderBy("at", "k1")
+    by_key = W.partitionBy("key", "salt").orderBy("hi", "lo", "k1")
     before = by_key.rowsBetween(W.unboundedPreceding, W.currentRow)
     one = F.struct(*line)
     tried = [F.nth_value(one, i).over(before) for i in range(1, TRIES + 1)] + [F.lag(one, i).over(by_key) for i in range(1, TRIES + 1)]
     rows = dealt.select(*line, F.array(*tried).alias("tried")).select(*line, F.explode(F.array_distinct("tried")).alias("o"))
     rows = rows.filter("o IS NOT NULL").select(*line, *[F.col(f"o.{c}").alias(f"o_{c}") for c in line])
-    return rows.filter((F.col("o_at") < F.col("at")) & _fits(threshold, "", "o_", fine=True)).select("k1", "at", "o_k1", "o_at").distinct()
+    return rows.filter(_earlier() & _fits(threshold, "", "o_", fine=True)).select(*KEY, *_others(KEY)).distinct()
 
 
 def matches(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """(k1, at): the lines of ``pairs`` (k1, at, o_k1, o_at) whose words (by more than 56 bits of hash) match the other line's."""
-    words = lines.select("k1", "at", "w")
-    both = pairs.join(words, ["k1", "at"]).join(_other(words), ["o_k1", "o_at"])
-    same = both.select("k1", "at", F.size(F.array_intersect("w", "o_w")).alias("shared"), (F.size("w") + F.size("o_w")).alias("sizes"))
-    return same.filter(F.col("shared") >= F.lit(threshold) * (F.col("sizes") - F.col("shared")) - 1e-9).select("k1", "at").distinct()
+    """(KEY): the lines of ``pairs`` (as of ``first_tries``) whose words (by more than 56 bits of hash) match the other line's."""
+    words = lines.select(*KEY, "w")
+    both = pairs.join(words, KEY).join(_other(words), _others(KEY))
+    # shared >= t (sizes - shared), with the words compared once
+    same = F.size(F.array_intersect("w", "o_w")) * F.lit(1 + threshold) >= F.lit(threshold) * (F.size("w") + F.size("o_w")) - 1e-9
+    return both.filter(same).select(*KEY).distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,9 +214,9 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1, i
     if their prefixes (the first n - ceil(t n) + 1 words) share a word. Of the
     pairs that do, those whose sizes differ too much fall to the length filter,
     and those whose words from the shared one on cannot make up the overlap to
-    the positional filter. Those left are compared by the parities of 64 or 128
-    hash classes of their words, which differ in no more classes than the sets
-    do in words.
+    the positional filter, which are one test. Those left are compared by the
+    parities of 64 or 128 (candidates: up to 256) hash classes of their words,
+    which differ in no more classes than the sets do in words.
 
     First, lines that pass these filters with no other line are set aside, by
     hashes alone (``candidates``). The texts of the others are fetched; equal
@@ -211,22 +227,24 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1, i
     t = threshold
     rarity = _rarity(docs, text_col)
     some = materialize(candidates(docs, rarity, t, min_words, id_col, text_col), "line-candidates")
-    lines = lines_of(docs, id_col, text_col).drop("k2").join(some, "k1", "left_semi").withColumn("at", _at("id"))
+    lines = lines_of(docs, id_col, text_col).drop("k2").join(some.hint("shuffle_hash"), "k1", "left_semi").withColumn("at", _at("id"))
     lines = materialize(lines, "lines")
     first = lines.groupBy("k1", "line").agg(F.min("at").alias("at"), F.lit(False).alias("copied"))
+    low = F.pmod("at", F.lit(str(HALF)).cast("decimal(18,0)"))
+    first = first.withColumns({"hi": F.call_function("div", F.col("at") - low, F.lit(HALF)), "lo": low.cast("bigint")})
     texts = materialize(profiles(first, rarity, t, min_words, fine=True), "line-texts")
 
     tried = materialize(first_tries(texts, t), "line-tries")
     settled = materialize(matches(tried, texts, t), "line-settled")
 
-    short = texts.drop("w", "low", "high")
-    cols = ("k1", "at", *FINE)
-    left = postings(short.join(settled, ["k1", "at"], "left_anti"), *cols)
-    pairs = left.join(_other(postings(short, *cols), "word"), "word").filter((F.col("o_at") < F.col("at")) & _fits(t, "", "o_", fine=True))
-    pairs = pairs.select("k1", "at", "o_k1", "o_at").distinct().join(tried, ["k1", "at", "o_k1", "o_at"], "left_anti")
+    short = texts.drop("w", "low", "high", "at")
+    cols = (*KEY, *FINE)
+    left = postings(short.join(settled, KEY, "left_anti"), *cols)
+    pairs = left.join(_other(postings(short, *cols), "word"), "word").filter(_earlier() & _fits(t, "", "o_", fine=True))
+    pairs = pairs.select(*KEY, *_others(KEY)).distinct().join(tried, [*KEY, *_others(KEY)], "left_anti")
     found = matches(materialize(pairs, "line-pairs"), texts, t)
-    kept = materialize(texts.select("k1", "at").join(settled.union(found), ["k1", "at"], "left_anti"), "line-kept")
-    return lines.join(kept, ["k1", "at"], "left_anti").select("id", "text_key", "no")
+    kept = materialize(texts.select(*KEY, "at").join(settled.union(found), KEY, "left_anti").select("k1", "at"), "line-kept")
+    return lines.join(kept.hint("shuffle_hash"), ["k1", "at"], "left_anti").select("id", "text_key", "no")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,7 +267,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1, id_
     gone = gone.groupBy("id", "text_key").agg(F.sort_array(F.collect_set("no")).alias("gone"))
     row = docs.select(F.struct("*").alias("row")).withColumn("text_key", F.xxhash64(F.col("row")[text_col]))
     same = F.col("row")[id_col].eqNullSafe(F.col("g.id")) & (F.col("r.text_key") == F.col("g.text_key"))
-    joined = row.alias("r").join(gone.alias("g"), same, "left").select("row", "gone")
+    joined = row.alias("r").join(gone.hint("shuffle_hash").alias("g"), same, "left").select("row", "gone")
     text = F.col("row")[text_col]
     split = F.split(text, "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
