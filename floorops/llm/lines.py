@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from floorops.llm.common import materialize, partitions, without
 
@@ -46,7 +47,9 @@ def _at(id_col: str) -> Column:
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text_key, no, k1, k2, line) of every line of the texts; ``k1`` and ``k2`` are the line's hashes, ``text_key`` the text's."""
     # outer: else Spark asks for the number of lines first, and splits the text twice; so for words and keys
-    some = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.posexplode_outer(F.split(text_col, "\n")).alias("no", "line"))
+    # a text and its hash are exploded as one row, as Spark puts off what stands beside a list until each of its lines, and hashes the text for each
+    texts = docs.select(F.col(id_col).alias("id"), F.explode_outer(F.array(F.struct(F.xxhash64(text_col).alias("key"), F.split(text_col, "\n").alias("lines")))).alias("of"))
+    some = texts.select("id", F.col("of.key").alias("text_key"), F.posexplode_outer("of.lines").alias("no", "line"))
     return some.filter("line IS NOT NULL").select("id", "text_key", "no", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), "line")
 
 
@@ -55,13 +58,20 @@ def _rarity(docs: DataFrame, text_col: str) -> Column:
     words = docs.select(F.explode_outer(F.split(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     count = dict(words.groupBy(F.xxhash64("w").bitwiseAND(CLASSES - 1).alias("c")).count().collect())
     scale = (min(127, 1 + int(4 * math.log2(1 + count.get(c, 0)))) for c in range(CLASSES))
-    return F.split(F.lit(",".join(map(str, scale))), ",").cast("array<bigint>")
+    # without nulls, so that none is asked for at each word; only ANSI casts are sure to make none
+    nulls = docs.sparkSession.conf.get("spark.sql.ansi.enabled") != "true"
+    return F.split(F.lit(",".join(map(str, scale))), ",").cast(T.ArrayType(T.LongType(), nulls))
 
 
-def _ordered(line: Column, rarity: Column) -> Column:
-    """The line's different words as numbers, rare ones first: how often their class occurs, then a hash."""
-    hashes = F.array_except(F.transform(_tokens(line), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))  # different ones, in one pass
-    often = lambda x: F.coalesce(F.get(rarity, x.bitwiseAND(CLASSES - 1)), F.lit(1).cast("bigint"))  # noqa: E731  never null, so that numbers are sorted and no objects
+def _hashes(line: Column) -> Column:
+    """Hashes of the line's different words."""
+    return F.array_except(F.transform(_tokens(line), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))  # different ones, in one pass
+
+
+def _ordered(hashes: Column, rarity: Column) -> Column:
+    """The words as numbers, rare ones first: how often their class occurs, then the hash. ``rarity`` has a power of two of classes."""
+    last = (F.size(rarity) - 1).cast("bigint")
+    often = lambda x: F.coalesce(rarity[x.bitwiseAND(last)], F.lit(1).cast("bigint"))  # noqa: E731  never null, so that numbers are sorted and no objects
     return F.sort_array(F.transform(hashes, lambda x: F.shiftleft(often(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
 
 
@@ -100,8 +110,10 @@ def profiles(lines: DataFrame, rarity: Column, threshold: float, min_words: int,
     """
     t = threshold
     kept = [c for c in lines.columns if c != "line"]
-    sets = lines.select(*lines.columns, _ordered(F.col("line"), rarity).alias("w"))
-    n = F.size("w")
+    # the hashes are used twice, so Spark keeps them as a step of its own and compiles what makes them different
+    hashed = lines.select(*kept, _hashes(F.col("line")).alias("h"))
+    sets = hashed.select(*kept, F.size("h").alias("n"), _ordered(F.col("h"), rarity).alias("w"))
+    n = F.col("n")
     prefix = F.slice("w", F.lit(1), (n - F.ceil(n * F.lit(t) - 1e-9) + 1).cast("int"))
     whole = F.array(F.xxhash64("w"))
     keys = F.when(n < max(1, min_words), F.slice("w", 1, 0)).when(n < t / (1 - t) - 1e-9 if t < 1 else F.lit(True), whole).otherwise(prefix)
@@ -109,7 +121,7 @@ def profiles(lines: DataFrame, rarity: Column, threshold: float, min_words: int,
     if fine:
         hashes = F.transform("w", lambda x: x.bitwiseAND((1 << 56) - 1))
         more += [F.array_min(hashes).alias("low"), F.array_max(hashes).alias("high"), F.col("w")]
-    return sets.select(*kept, n.alias("n"), keys.alias("keys"), *more)
+    return sets.select(*kept, "n", keys.alias("keys"), *more)
 
 
 def postings(lines: DataFrame, *kept: str) -> DataFrame:
@@ -125,18 +137,22 @@ def _fits(t: float, a: str, b: str, fine: bool = False) -> Column:
     The positional filter takes the shared word for the first one, as which it
     must pass if the sets match: so a pair that shares many is not found for
     each of them. What passes it also passes the length filter, as the smaller
-    set alone must make up the overlap.
+    set alone must make up the overlap. All sums are of doubles, as those of
+    integers are checked for overflow, which takes longer than the filters.
+    The overlap needs no rounding up, as two sets and their parities differ in
+    an even number both, or in an odd one.
     """
-    na, nb = (F.shiftright(F.col(f"{x}np"), 17) for x in (a, b))
-    pa, pb = (F.col(f"{x}np").bitwiseAND(65535) for x in (a, b))
+    na, nb = (F.shiftright(F.col(f"{x}np"), 17).cast("double") for x in (a, b))
+    pa, pb = (F.col(f"{x}np").bitwiseAND(65535).cast("double") for x in (a, b))
     need = (na + nb) * F.lit(t / (1 + t)) - 1e-9
     x = [F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in (FINE if fine else COARSE)]
-    differ = F.when((na > ONE_PARITY) & (nb > ONE_PARITY), F.bit_count(x[0].bitwiseXOR(x[1])) + F.bit_count(x[1])).otherwise(F.bit_count(x[0]))
+    bits = lambda c: F.bit_count(c).cast("double")
+    differ = F.when((na > ONE_PARITY) & (nb > ONE_PARITY), bits(x[0].bitwiseXOR(x[1])) + bits(x[1])).otherwise(bits(x[0]))
     if fine:
         both = x[0].bitwiseXOR(x[1]).bitwiseXOR(x[2]).bitwiseXOR(x[3])
-        four = F.bit_count(both) + F.bit_count(x[1].bitwiseXOR(x[3])) + F.bit_count(x[2].bitwiseXOR(x[3])) + F.bit_count(x[3])
+        four = bits(both) + bits(x[1].bitwiseXOR(x[3])) + bits(x[2].bitwiseXOR(x[3])) + bits(x[3])
         differ = F.when((na > TWO_PARITIES) & (nb > TWO_PARITIES), four).otherwise(differ)
-    return (F.least(na - pa, nb - pb) >= need) & (differ <= na + nb - 2 * F.ceil(need))
+    return (na - pa >= need) & (nb - pb >= need) & (differ <= na + nb - need * F.lit(2.0))
 
 
 def _earlier() -> Column:

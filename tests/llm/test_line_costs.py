@@ -55,3 +55,18 @@ def test_words_of_a_pair_are_compared_once(spark):
     out = lines.matches(pairs, line, 0.8)
     assert [tuple(r) for r in out.collect()] == [(2, 0, 1)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
+
+
+def test_no_null_is_asked_for_at_each_word_and_a_text_is_hashed_once(spark):
+    docs = spark.createDataFrame([(1, "a b c\nb c d"), (2, "a b c")], "doc_id long, text string")
+    split = lines.lines_of(docs, "doc_id", "text")
+    some = lines.profiles(split.select("k1", "line"), lines._rarity(docs, "text"), 0.8, 1)
+    assert "coalesce" not in some._jdf.queryExecution().optimizedPlan().toString()
+    # the hash of a text lies below the lists of lines, not above them
+    plan = split.select("text_key", "k1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(text" not in plan.split("Generate")[0] and plan.count("xxhash64(text") == 1
+    one = some.select("k1", *lines.COARSE, (F.col("n").cast("bigint") * 131072).alias("np"))
+    fits = one.crossJoin(lines._other(one)).filter(lines._fits(0.8, "", "o_"))
+    assert fits.count() == 5  # two equal lines with each other and themselves, the third with itself
+    condition = str(lines._fits(0.8, "", "o_", fine=True))
+    assert "ceil" not in condition.lower()
