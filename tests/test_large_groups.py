@@ -20,6 +20,33 @@ def test_checklists_of_a_large_folder_are_many_tasks(spark, monkeypatch):
     assert len({r["task"] for r in rows if r["folder"] == "1. press"}) == 4
 
 
+def test_checklists_are_rows_that_files_keep_in_little_space(spark, tmp_path):
+    p = spark.range(1500).selectExpr("id * 7919 AS code", "'press' AS equipment")
+    alias = spark.createDataFrame([("press", "1. press")], "equipment string, folder string")
+    items = spark.range(3001).selectExpr("'1. press' AS folder", "id AS seq", "concat('item ', id % 64) AS item")
+    reports.checklist_join(p, alias, items).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    got = out.agg(F.count("*"), F.count_distinct("code", "idx"), F.sum("idx"), F.sum("code")).first()
+    assert tuple(got) == (1500 * 3001, 1500 * 3001, 1500 * 3001 * 3002 // 2, 3001 * 7919 * 1499 * 1500 // 2)
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert size < 0.3 * 1500 * 3001
+
+
+def test_checklists_keep_projects_without_a_code_and_equal_ones(spark, monkeypatch):
+    for name, size in (("ITEMS", 10), ("PROJECTS", 20), ("LIST", 4), ("RUN", 8)):
+        monkeypatch.setattr(reports, name, size, raising=False)
+    codes = [None] * 130 + [5] * 90 + list(range(100))
+    p = spark.createDataFrame([(c, ("press", "lathe", "saw")[i % 3]) for i, c in enumerate(codes)], "code long, equipment string")
+    alias = spark.createDataFrame([("press", "1. press"), ("lathe", "1. press")], "equipment string, folder string")
+    items = spark.range(25).selectExpr("'1. press' AS folder", "id AS seq", "CASE WHEN id <> 3 THEN concat('item ', id) END AS item")
+    out = reports.checklist_join(p, alias, items)
+    assert out.dtypes == [("code", "bigint"), ("equipment", "string"), ("folder", "string"), ("n_items", "bigint"), ("idx", "int"), ("item", "string")]
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    each = [(c, ("press", "lathe", "saw")[i % 3]) for i, c in enumerate(codes)]
+    want = [(c, e, None, 0, None, None) for c, e in each if e == "saw"] + [(c, e, "1. press", 25, i + 1, None if i == 3 else f"item {i}") for c, e in each if e != "saw" for i in range(25)]
+    assert got == sorted(want, key=repr)
+
+
 def test_means_do_not_hang_on_the_order_of_the_sum(spark):
     # 54.35 exactly, whose sum as doubles is less; and -0.25
     rows = [("a", x) for x in [0.1, 0.7, 108.6, 108.0] * 500] + [("b", -0.25), ("c", float("nan")), ("c", 1.0), ("d", float("inf")), ("e", None), ("f", -0.01)]
